@@ -113,7 +113,7 @@ def mix_rows(docs: DataFrame, weights: Sequence[float] = WEIGHTS, seed: int = 42
     targets = materialise(targets.withColumn("_slots", F.ceil(total / F.col("_words")).cast("long")), "mix-targets")
     uses = schedule(targets, F.col("_words"), F.col("_slots"))
     # 3. where each document lies in its source's shuffled stream
-    placed = narrow.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("source", "_source")
+    placed = narrow.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     placed = placed.withColumn("_hash", F.xxhash64(F.lit(seed), "doc_id", "_text"))
     placed = running_totals(placed, ["sid"], ["_hash", "doc_id", "_text", "size"], F.col("size") * F.col("copies"), "_at")
     placed = materialise(placed.select("sid", "doc_id", "source", "_text", "size", "copies", "source_size", "target", "_words", "_at", F.xxhash64("sid", "_at", "doc_id", "_text", "size").alias("_row")), "mix-placed")

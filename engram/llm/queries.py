@@ -6,14 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from engram.llm.decontamination import op1_benchmark_hits
+from engram.llm.html import op9_main_text
+from engram.llm.langid import op8_language_id
+from engram.llm.licenses import op3_license_scan
 from engram.llm.media import op6_media_digest
 from engram.llm.mixing import op2_source_mix
+from engram.llm.ngram_join import op7_ngram_components
+from engram.llm.pii import op10_personal_data
 from engram.llm.sharding import op5_rendezvous_shards
 from engram.llm.tokens import op4_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_source_mix, op4_token_counts, op5_rendezvous_shards, op6_media_digest)}
+    operators = (
+        op1_benchmark_hits,
+        op2_source_mix,
+        op3_license_scan,
+        op4_token_counts,
+        op5_rendezvous_shards,
+        op6_media_digest,
+        op7_ngram_components,
+        op8_language_id,
+        op9_main_text,
+        op10_personal_data,
+    )
+    return {f.__name__: f for f in operators}
 
 
 def oracle_sql() -> dict[str, str]:

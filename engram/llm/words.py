@@ -114,13 +114,17 @@ def batches(texts: list[bytes], is_word: np.ndarray, lower: bool = True) -> Iter
         i = j
 
 
+def grams(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of n words, in their order; len(hashes) must be n at least."""
+    with np.errstate(over="ignore"):
+        x = np.full(len(hashes) - n + 1, n, np.uint64)
+        for i in range(n):
+            x = mix(x * np.uint64(_P) + hashes[i : len(hashes) - n + 1 + i])
+    return x
+
+
 def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
     """Sorted distinct n-word shingles; fewer words make one shingle, none make none."""
     if not len(hashes):
         return np.empty(0, np.uint64)
-    with np.errstate(over="ignore"):
-        k = min(n, len(hashes))
-        x = np.full(len(hashes) - k + 1, k, np.uint64)
-        for i in range(k):
-            x = mix(x * np.uint64(_P) + hashes[i : len(hashes) - k + 1 + i])
-    return np.unique(x)
+    return np.unique(grams(hashes, min(n, len(hashes))))
