@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from engram.functions.vectors import let
+
 #: Stop words of the keyword analyzer.
 STOP_WORDS = "a an and are as at be by for from has he in is it its of on that the to was will with".split()
 #: Exclusion rules on lower-cased, stripped text.
@@ -65,8 +67,8 @@ def words_lower(text: Column) -> Column:
 
 def analyze(text: Column) -> Column:
     """Lower-case ASCII alphanumeric tokens of two characters or more, without stop words."""
-    tokens = F.split(F.lower(text), r"[^\p{L}\p{N}_]+")
-    return F.filter(tokens, lambda t: t.rlike("^[a-z0-9]+$") & ~t.isin(STOP_WORDS) & (F.length(t) > 1))
+    tokens = F.regexp_extract_all(F.lower(text), F.lit(r"(?<![\p{L}\p{N}_])[a-z0-9]{2,}+(?![\p{L}\p{N}_])"), F.lit(0))
+    return F.filter(tokens, lambda t: ~t.isin(STOP_WORDS))
 
 
 def entropy(text: Column) -> Column:
@@ -83,26 +85,39 @@ def clock(seconds: Column) -> Column:
     return F.format_string("%d:%02d:%02d", F.floor(s / 3600).cast("long"), F.floor(s % 3600 / 60).cast("long"), s % 60)
 
 
+def _word_counts(text: Column) -> Column:
+    """struct(n, diversity, dated): counts of words, computed once."""
+    return let(
+        words(text),
+        lambda w: F.struct(
+            F.size(w).alias("n"), (F.size(F.array_distinct(F.transform(w, lambda x: F.lower(x)))) / F.greatest(F.size(w), F.lit(1))).alias("diversity"), F.exists(w, lambda x: (F.length(x) == 10) & x.contains("-")).alias("dated")
+        ),
+    )
+
+
 def quality(text: Column, confidence: Column, staleness: Column, verified: Column, verification: Column) -> Column:
     """struct(overall, specificity, flags)."""
-    w = words(text)
-    n = F.size(w)
-    diversity = F.size(F.array_distinct(F.transform(w, lambda x: F.lower(x)))) / F.greatest(n, F.lit(1))
-    specific = (n >= 5) & (diversity > 0.5)
     numbers, dates = text.rlike(r"\d+\.?\d*"), text.rlike(r"\d{4}[-/]\d{2}[-/]\d{2}")
-    spec = F.least(F.lit(1.0), F.when(specific, 0.4).otherwise(0.0) + F.when(numbers, 0.3).otherwise(0.0) + F.when(dates, 0.3).otherwise(0.0))
-    overall = F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence)) * 0.30 + F.greatest(F.lit(0.0), 1 - staleness) * 0.25 + spec * 0.25 + F.when(verified, verification).otherwise(0.0) * 0.20
-    flags = F.array_compact(F.array(F.when(n < 5, "too_short"), F.when(diversity < 0.3, "low_diversity"), F.when(~specific & ~numbers, "vague")))
-    return F.struct(overall.alias("overall"), spec.alias("specificity"), flags.alias("flags"))
+    base = F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence)) * 0.30 + F.greatest(F.lit(0.0), 1 - staleness) * 0.25 + F.when(verified, verification).otherwise(0.0) * 0.20
+
+    def struct(c: Column) -> Column:
+        specific = (c["n"] >= 5) & (c["diversity"] > 0.5)
+        spec = F.least(F.lit(1.0), F.when(specific, 0.4).otherwise(0.0) + F.when(c["numbers"], 0.3).otherwise(0.0) + F.when(c["dates"], 0.3).otherwise(0.0))
+        flags = F.array_compact(F.array(F.when(c["n"] < 5, "too_short"), F.when(c["diversity"] < 0.3, "low_diversity"), F.when(~specific & ~c["numbers"], "vague")))
+        return F.struct((c["base"] + spec * 0.25).alias("overall"), spec.alias("specificity"), flags.alias("flags"))
+
+    counted = let(_word_counts(text), lambda c: F.struct(c["n"].alias("n"), c["diversity"].alias("diversity"), numbers.alias("numbers"), dates.alias("dates"), base.alias("base")))
+    return let(counted, struct)
 
 
 def keyword_density(text: Column, confidence: Column, staleness: Column) -> Column:
-    w = words(text)
-    n = F.size(w)
-    diversity = F.size(F.array_distinct(F.transform(w, lambda x: F.lower(x)))) / F.greatest(n, F.lit(1))
-    spec = F.when(diversity > 0.5, 0.3).otherwise(0.0) + F.when(text.rlike(r"\p{Nd}"), 0.2).otherwise(0.0)
-    spec = spec + F.when(F.exists(w, lambda x: (F.length(x) == 10) & x.contains("-")), 0.2).otherwise(0.0) + F.when(n >= 10, 0.3).otherwise(0.0)
-    return F.when(n == 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), confidence * 0.3 + (1 - staleness) * 0.3 + spec * 0.4)))
+    digits = text.rlike(r"\p{Nd}")
+
+    def score(c: Column) -> Column:
+        spec = F.when(c["diversity"] > 0.5, 0.3).otherwise(0.0) + F.when(digits, 0.2).otherwise(0.0) + F.when(c["dated"], 0.2).otherwise(0.0) + F.when(c["n"] >= 10, 0.3).otherwise(0.0)
+        return F.when(c["n"] == 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), confidence * 0.3 + (1 - staleness) * 0.3 + spec * 0.4)))
+
+    return let(_word_counts(text), score)
 
 
 def _any(text: Column, patterns: tuple[str, ...]) -> Column:
@@ -111,17 +126,21 @@ def _any(text: Column, patterns: tuple[str, ...]) -> Column:
 
 def exclusion_reason(text: Column, topic: Column, least: int = 10, most: int = 5000) -> Column:
     """Why a text isn't stored, or null; the first rule that holds counts."""
-    t = F.trim(F.lower(text), F.lit(" \t\n\r\x0b\x0c"))
-    code = reduce(lambda a, b: a + b, (t.rlike(p).cast("int") for p in CODE))
-    return (
-        F.when(F.length(t) < least, "too_short")
-        .when(F.length(t) > most, "too_long")
-        .when(F.lower(F.trim(topic)).isin(BLOCKED_TOPICS), "blocked_topic")
-        .when(_any(t, SECRETS), "secret")
-        .when(_any(t, DEBUG), "debug")
-        .when(code >= 2, "code")
-        .when(_any(t, BLOCKED), "blocked_pattern")
-    )
+    lowered = F.trim(F.lower(text), F.lit(" \t\n\r\x0b\x0c"))
+
+    def reason(t: Column) -> Column:
+        code = reduce(lambda a, b: a + b, (t.rlike(p).cast("int") for p in CODE))
+        return (
+            F.when(F.length(t) < least, "too_short")
+            .when(F.length(t) > most, "too_long")
+            .when(F.lower(F.trim(topic)).isin(BLOCKED_TOPICS), "blocked_topic")
+            .when(_any(t, SECRETS), "secret")
+            .when(_any(t, DEBUG), "debug")
+            .when(code >= 2, "code")
+            .when(_any(t, BLOCKED), "blocked_pattern")
+        )
+
+    return let(lowered, reason)
 
 
 def negated(text: Column, negations: list[str] = NEGATIONS, word_boundary: bool = False) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -11,6 +13,11 @@ EPS = 1e-9
 BITS = (4, 6, 8)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once for a row however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def as_double(v: Column | str) -> Column:
     return F.col(v).cast("array<double>") if isinstance(v, str) else v.cast("array<double>")
 
@@ -23,14 +30,18 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def _parts(a: Column, b: Column) -> Column:
+    return F.struct(dot(a, b).alias("ab"), norm(a).alias("a"), norm(b).alias("b"))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """0 if either vector is shorter than EPS; vectors are normalised by their length plus EPS."""
-    return F.when((norm(a) < EPS) | (norm(b) < EPS), F.lit(0.0)).otherwise(dot(a, b) / ((norm(a) + EPS) * (norm(b) + EPS)))
+    return let(_parts(a, b), lambda p: F.when((p["a"] < EPS) | (p["b"] < EPS), F.lit(0.0)).otherwise(p["ab"] / ((p["a"] + EPS) * (p["b"] + EPS))))
 
 
 def cosine_plain(a: Column, b: Column) -> Column:
     """Without an epsilon; 0 for a zero vector."""
-    return F.coalesce(F.try_divide(dot(a, b), norm(a) * norm(b)), F.lit(0.0))
+    return let(_parts(a, b), lambda p: F.coalesce(F.try_divide(p["ab"], p["a"] * p["b"]), F.lit(0.0)))
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
@@ -42,7 +53,7 @@ def euclidean(a: Column, b: Column) -> Column:
 
 
 def l2_normalize(a: Column) -> Column:
-    return F.transform(a, lambda x: x / (norm(a) + EPS))
+    return let(norm(a) + EPS, lambda n: F.transform(a, lambda x: x / n))
 
 
 def _check(bits: int) -> int:
@@ -55,12 +66,16 @@ def quantize(v: Column, bits: int = 6) -> Column:
     """struct(bits, scale, qmax, dim, values): symmetric, half-to-even, values from 0 to 2 * qmax."""
     qmax = _check(bits)
     scale = (F.array_max(F.transform(v, lambda x: F.abs(x))) + EPS) / qmax
-    values = F.transform(v, lambda x: (F.greatest(F.lit(-float(qmax)), F.least(F.lit(float(qmax)), F.rint(x / scale))) + qmax).cast("int"))
-    return F.struct(F.lit(bits).alias("bits"), scale.alias("scale"), F.lit(qmax).alias("qmax"), F.size(v).alias("dim"), values.alias("values"))
+
+    def struct(s: Column) -> Column:
+        values = F.transform(v, lambda x: (F.greatest(F.lit(-float(qmax)), F.least(F.lit(float(qmax)), F.rint(x / s))) + qmax).cast("int"))
+        return F.struct(F.lit(bits).alias("bits"), s.alias("scale"), F.lit(qmax).alias("qmax"), F.size(v).alias("dim"), values.alias("values"))
+
+    return let(scale, struct)
 
 
 def dequantize(q: Column) -> Column:
-    return F.transform(q["values"], lambda u: (u - q["qmax"]) * q["scale"])
+    return let(q, lambda r: F.transform(r["values"], lambda u: (u - r["qmax"]) * r["scale"]))
 
 
 def quantize_fixed(v: Column, bits: int = 6) -> Column:
@@ -75,14 +90,16 @@ def dequantize_fixed(values: Column, bits: int = 6) -> Column:
 
 def quantize_affine4(v: Column) -> Column:
     """struct(scale, zero, dim, values from 0 to 15); a flat vector has scale 1 and values 0."""
-    low, high = F.array_min(v), F.array_max(v)
-    scale = F.when(high == low, F.lit(1.0)).otherwise((high - low) / 15)
-    values = F.transform(v, lambda x: F.greatest(F.lit(0.0), F.least(F.lit(15.0), F.rint((x - low) / scale))).cast("int"))
-    return F.struct(scale.alias("scale"), low.alias("zero"), F.size(v).alias("dim"), values.alias("values"))
+
+    def struct(r: Column) -> Column:
+        scale = F.when(r["high"] == r["low"], F.lit(1.0)).otherwise((r["high"] - r["low"]) / 15)
+        return let(scale, lambda s: F.struct(s.alias("scale"), r["low"].alias("zero"), F.size(v).alias("dim"), F.transform(v, lambda x: F.greatest(F.lit(0.0), F.least(F.lit(15.0), F.rint((x - r["low"]) / s))).cast("int")).alias("values")))
+
+    return let(F.struct(F.array_min(v).alias("low"), F.array_max(v).alias("high")), struct)
 
 
 def dequantize_affine4(q: Column) -> Column:
-    return F.transform(q["values"], lambda u: u * q["scale"] + q["zero"])
+    return let(q, lambda r: F.transform(r["values"], lambda u: u * r["scale"] + r["zero"]))
 
 
 def compression_ratio(bits: Column) -> Column:
@@ -126,5 +143,5 @@ def embed_hashed(text: Column, dim: int = 64) -> Column:
     """A deterministic bag-of-words vector of length 1: tokens are counted by their hash."""
     tokens = F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != "")
     slots = F.transform(tokens, lambda t: F.conv(F.substring(F.md5(t), 1, 7), 16, 10).cast("int") % dim)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    return F.transform(counts, lambda x: x / (F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, y: s + y * y)) + EPS))
+    counts = let(slots, lambda own: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(own, lambda s: s == i)).cast("double")))
+    return let(counts, l2_normalize)

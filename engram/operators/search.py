@@ -110,7 +110,8 @@ def memory_query(chunks: DataFrame, query: Sequence[float], k: int = 5, topics:
 
 def tokens_of(docs: DataFrame, analyzer: Callable[[Column], Column]) -> DataFrame:
     """(doc_id, tokens, len)."""
-    tokens = docs.select("doc_id", analyzer(F.coalesce("text", F.lit(""))).alias("tokens"))
+    # a generator keeps the optimizer from copying the analyzer into every use of its result
+    tokens = docs.select("doc_id", F.explode(F.array(analyzer(F.coalesce("text", F.lit(""))))).alias("tokens"))
     return tokens.withColumn("len", F.size("tokens"))
 
 
