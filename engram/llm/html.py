@@ -26,9 +26,11 @@ from engram.llm.common import map_arrow, materialise, pieces, table
 
 #: Words of a run that counts as long.
 RUN = 8
-#: Pages, and bytes of blocks, that are compared with one another.
-GROUP_PAGES, GROUP_BYTES = 128, 1 << 22
+#: Pages, and bytes of their html, that are compared with one another.
+GROUP_PAGES, GROUP_BYTES = 128, 1 << 23
 BATCH_BYTES = 1 << 21
+#: A table of hosts of at most this many bytes is broadcast.
+BROADCAST_BYTES = 32 << 20
 #: Of an undecided block, the share of words that may be repeated, and of characters in links.
 COVERED, LINKED = 0.5, 0.6
 
@@ -259,14 +261,15 @@ def extract_pages(pages: DataFrame, run_words: int = RUN) -> DataFrame:
             found = [page_blocks(x or "") for x in batch.column(2).to_pylist()]
             blocks = pa.array([[x.text for x in page] for page in found], pa.list_(pa.string()))
             kept = pa.array([[x.kept for x in page] for page in found], pa.list_(pa.bool_()))
-            size = pa.array([sum(len(x.text) for x in page) for page in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), blocks, kept, size], names=["page_id", "url", "host", "blocks", "kept", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), blocks, kept], names=["page_id", "url", "host", "blocks", "kept"])
 
-    cut_pages = map_arrow(pages.select("page_id", "url", "html", host.alias("host")), cut, f"page_id {kinds['page_id']}, url string, host string, blocks array<string>, kept array<boolean>, size long")
-    cut_pages = materialise(cut_pages, "blocks")
-    hosts = cut_pages.groupBy("host").agg(F.greatest(F.ceil(F.count(F.lit(1)) / GROUP_PAGES), F.ceil(F.sum("size") / GROUP_BYTES)).cast("long").alias("groups"))
+    cut_pages = map_arrow(pages.select("page_id", "url", "html", host.alias("host")), cut, f"page_id {kinds['page_id']}, url string, host string, blocks array<string>, kept array<boolean>")
+    n_bytes = F.sum(F.coalesce(F.octet_length("html"), F.lit(0)).cast("long"))
+    hosts = pages.select(host.alias("host"), "html").groupBy("host").agg(F.greatest(F.ceil(F.count(F.lit(1)) / GROUP_PAGES), F.ceil(n_bytes / GROUP_BYTES)).cast("long").alias("groups"))
     hosts = materialise(hosts, "hosts")
-    grouped = cut_pages.join(hosts, "host").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.col("groups")))
+    # a row is a host name and a number; broadcast the table only if it is small
+    small = (hosts.agg(F.sum(F.octet_length("host") + 32)).first()[0] or 0) <= BROADCAST_BYTES
+    grouped = cut_pages.join(F.broadcast(hosts) if small else hosts, "host").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.col("groups")))
 
     def extract(group: pa.Table) -> pa.Table:
         blocks = group.column("blocks").to_pylist()
