@@ -6,9 +6,11 @@ node; nodes with equal prefixes and sizes are one group; groups that share a pre
 filtered by size and position, expanded to their members, filtered by bit maps, and verified on
 their whole sets.
 
-A bucket of a prefix element is never expanded into all pairs.  First every member is held
-against the bucket's first group only.  What these links connect need not be compared again: only
-pairs from different components remain, and a bucket of one component is done.
+A bucket of a prefix element is never expanded into all pairs.  First every group is held against
+one leader of each of its buckets only, and every member against its group's first.  What these
+links connect need not be compared again: only pairs from different components remain, and a
+bucket of one component is done.  Leaders differ from bucket to bucket, so that a large group of
+near copies, which share many buckets, is connected by few comparisons of each.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from engram.llm.components import components
 
 #: Elements are counted by the first COUNT_BITS bits of their hashes; a bit map has MAP_BITS bits.
 COUNT_BITS, MAP_BITS = 18, 1024
+COARSE = 8
 BATCH_BYTES = 1 << 21
 #: A table of at most this many bytes may be broadcast.
 BROADCAST_BYTES = 32 << 20
@@ -120,13 +123,23 @@ def _by_position(a: str, b: str, percent: int) -> Column:
     return _reaches(most, F.col(f"{a}.size"), F.col(f"{b}.size"), percent)
 
 
-def _by_bits(a: Column, b: Column, size_a: Column, size_b: Column, percent: int) -> Column:
-    differ = reduce(lambda x, y: x + y, (F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i))) for i in range(MAP_BITS // 64)))
+def _by_bits(a: list[Column], b: list[Column], size_a: Column, size_b: Column, percent: int) -> Column:
+    differ = reduce(lambda x, y: x + y, (F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b, strict=True)))
     return ((size_a + size_b) - differ) * (100 + percent) >= (size_a + size_b) * 2 * percent
 
 
+def _bits(column: str) -> list[Column]:
+    return [F.get(column, i) for i in range(MAP_BITS // 64)]
+
+
+def _folded(column: str) -> list[Column]:
+    """A bit map of COARSE words that has the parities of unions of the finer one's classes."""
+    words = _bits(column)
+    return [reduce(lambda x, y: x.bitwiseXOR(y), words[i::COARSE]) for i in range(COARSE)]
+
+
 def whole_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(node, elements) of the wanted nodes, computed from the whole texts again.
+    """(id, elements) of the wanted (id, node), computed from the whole texts again.
 
     A filter of a fixed size (a bit for each hash of 23 bits) keeps most other texts from being
     shuffled; a join does the rest.  A task sends a text once, however many copies it holds.
@@ -152,14 +165,14 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array([s.tobytes() for s in _sets(texts, n)], pa.binary())], names=["node", "elements"])
 
     sets = map_arrow(docs.select("text"), run, "node binary, elements binary")
-    return sets.join(wanted, "node").dropDuplicates(["node"])
+    return sets.join(wanted, "node").dropDuplicates(["node"]).select("id", "elements")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets are similar enough."""
-    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
-    sets = materialise(whole_sets(docs, wanted, n), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b")
+def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of ids whose whole sets are similar enough."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes.select("id", "node"), "id")
+    sets = materialise(whole_sets(docs, materialise(wanted, "wanted"), n), "sets")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("elements").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,7 +183,7 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame
                 keep.append(100 * shared >= percent * (len(p) + len(q) - shared))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return map_arrow(both.select("a", "b", "x", "y"), run, "a binary, b binary")
+    return map_arrow(both.select("a", "b", "x", "y"), run, "a long, b long")
 
 
 def similar_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -184,53 +197,71 @@ def similar_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     docs = docs.select("doc_id", "text")
     described = materialise(describe(docs, n, percent), "described")
     nodes = described.where(F.col("size") > 0).groupBy("node").agg(F.max("size").alias("size"), F.first("prefix", ignorenulls=True).alias("prefix"), F.first("bits", ignorenulls=True).alias("bits"))
-    nodes = materialise(nodes.withColumns({"k1": F.xxhash64("prefix"), "k2": F.xxhash64(F.lit(1), "prefix")}), "nodes")
-    # groups of equal prefixes and sizes; the first member names the group
-    groups = nodes.groupBy("size", "k1", "k2").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("members"))
-    groups = materialise(groups, "groups")
-    of_group = materialise(nodes.join(groups, ["size", "k1", "k2"]).select("node", "first", "size", "members", "bits", F.when(F.col("node") == F.col("first"), F.col("prefix")).alias("prefix")), "members")
-    # prefix elements that at least two groups have
-    postings = of_group.where(F.col("prefix").isNotNull()).select("first", "size", F.posexplode("prefix").alias("pos", "element"))
-    shared = postings.groupBy("element").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("size", "first", "pos")).alias("head")).where(F.col("n") > 1).select("element", "head")
-    postings = materialise(postings.join(shared, "element"), "postings")
-    # 1. every group against its buckets' first groups, and every member against its group's first
-    star = postings.alias("p").select("p.*", F.col("head.first").alias("other")).where(F.col("other") != F.col("first"))
-    star = star.select(F.struct("size", "pos").alias("x"), F.struct(F.col("head.size").alias("size"), F.col("head.pos").alias("pos")).alias("y"), "first", "other")
-    star = star.where(_fits(F.col("x.size"), F.col("y.size"), percent) & _by_position("x", "y", percent)).select("first", "other").distinct()
-    small = of_group.select("node", "first", "size", "bits")
-    expanded = star.join(small.select("first", "node"), "first").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-    inner = small.where(F.col("node") != F.col("first")).select(F.col("first").alias("a"), F.col("node").alias("b"))
-    left = small.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("bits").alias("bits_a"))
-    right = small.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("bits").alias("bits_b"))
+    # the written table fixes the ids
+    nodes = materialise(nodes.withColumns({"k1": F.xxhash64("prefix"), "k2": F.xxhash64(F.lit(1), "prefix"), "id": F.monotonically_increasing_id()}), "nodes")
+    # groups of equal prefixes and sizes; the first member names the group, the others follow it
+    groups = nodes.groupBy("size", "k1", "k2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
+    followers = nodes.select("id", "size", "k1", "k2").join(groups, ["size", "k1", "k2"]).where(F.col("id") != F.col("first")).select("id", "first")
+    followers = materialise(followers, "followers")
+    # prefix elements that at least two groups have, each with one group as its leader
+    postings = nodes.select("id", "size", "prefix").join(followers, "id", "left_anti").select("id", F.col("size").cast("int").alias("size"), F.posexplode("prefix").alias("pos", "element"))
+    shared = postings.groupBy("element").agg(F.count(F.lit(1)).alias("n"), F.min_by("id", F.xxhash64("element", "id")).alias("leader")).where(F.col("n") > 1)
+    postings = materialise(postings.join(shared.select("element", "leader"), "element"), "postings")
+    coarse = [f"m{i}" for i in range(COARSE)]
+    maps = nodes.select("id", *(c.alias(m) for c, m in zip(_folded("bits"), coarse, strict=True)))
+
+    def held_by(pairs: DataFrame, words: DataFrame, names: list[str]) -> DataFrame:
+        def side(name: str) -> DataFrame:
+            return words.select(F.col("id").alias(name), F.col("size").alias(f"size_{name}"), *(F.col(c).alias(f"{c}_{name}") for c in names))
+
+        held = pairs.join(side("a"), "a").join(side("b"), "b")
+        near = _by_bits([F.col(f"{c}_a") for c in names], [F.col(f"{c}_b") for c in names], F.col("size_a"), F.col("size_b"), percent)
+        return held.where(_fits(F.col("size_a"), F.col("size_b"), percent) & near).select("a", "b")
+
+    fine = [f"w{i}" for i in range(MAP_BITS // 64)]
 
     def filtered(pairs: DataFrame) -> DataFrame:
-        held = pairs.join(left, "a").join(right, "b")
-        held = held.where(_fits(F.col("size_a"), F.col("size_b"), percent) & _by_bits(F.col("bits_a"), F.col("bits_b"), F.col("size_a"), F.col("size_b"), percent))
-        return held.select("a", "b")
-
-    tried = materialise(filtered(expanded.unionByName(inner).distinct()), "star-pairs")
-    links = materialise(verify(tried, docs, n, percent), "star-links")
-    roots = materialise(components(links), "star-roots")
+        """Pairs (a, b) whose sizes and bit maps let them link; the small maps are tried first."""
+        some = held_by(pairs, nodes.select("id", "size", *(c.alias(m) for c, m in zip(_folded("bits"), coarse, strict=True))), coarse)
+        return held_by(some, nodes.select("id", "size", *(c.alias(w) for c, w in zip(_bits("bits"), fine, strict=True))), fine)
+
+    # 1. every group against its buckets' leaders, and every member against its group's first
+    star = postings.where(F.col("id") != F.col("leader")).select("id", "leader").distinct()
+    after = star.join(followers.withColumnRenamed("id", "follower"), star["id"] == followers["first"]).select(F.col("follower").alias("id"), "leader")
+    star = star.unionByName(after).unionByName(followers.select("id", F.col("first").alias("leader")))
+    tried = materialise(filtered(star.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()), "star-pairs")
+    links = materialise(verify(tried, nodes, docs, n, percent), "star-links")
+    roots = materialise(components(links), "star-roots").withColumnRenamed("node", "id")
     # 2. what is left: members of different components that share a bucket
-    member = small.join(roots.select("node", "root"), "node", "left").select("first", "node", "bits", F.coalesce("root", "node").alias("root"))
-    member = materialise(member, "member-roots")
-    per_node = postings.select("element", "first", "size", "pos").join(member, "first")
-    mixed = per_node.groupBy("element").agg(F.min("root").alias("least"), F.max("root").alias("most")).where(F.col("least") != F.col("most")).select("element")
-    mixed = materialise(mixed, "mixed-elements")
-    open_ = materialise(per_node.join(mixed, "element").select("element", "node", "size", "pos", "root", "bits"), "open")
+    members = postings.select("element", "id", "size", "pos")
+    joined = members.withColumnRenamed("id", "_first").join(followers, F.col("_first") == followers["first"]).select("element", "id", "size", "pos")
+    members = members.unionByName(joined).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    members = materialise(members, "postings-roots")
+    mixed = members.groupBy("element").agg(F.min("root").alias("least"), F.max("root").alias("most")).where(F.col("least") != F.col("most")).select("element")
+    open_ = members.join(mixed, "element").join(maps, "id")
     a, b = open_.alias("a"), open_.alias("b")
-    near = (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & _fits(F.col("a.size"), F.col("b.size"), percent) & _by_position("a", "b", percent)
-    near &= _by_bits(F.col("a.bits"), F.col("b.bits"), F.col("a.size"), F.col("b.size"), percent)
-    rest = a.join(b, (F.col("a.element") == F.col("b.element")) & near).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    near = (F.col("a.id") < F.col("b.id")) & (F.col("a.root") != F.col("b.root")) & _fits(F.col("a.size"), F.col("b.size"), percent) & _by_position("a", "b", percent)
+    near &= _by_bits([F.col(f"a.{m}") for m in coarse], [F.col(f"b.{m}") for m in coarse], F.col("a.size"), F.col("b.size"), percent)
+    rest = a.join(b, (F.col("a.element") == F.col("b.element")) & near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
     # members of one group share all their prefix, but a bucket is listed only if groups share it
-    alone = small.where(F.col("node") != F.col("first")).select("first").distinct()
-    groups_open = member.join(alone, "first")
-    x, y = groups_open.alias("x"), groups_open.alias("y")
-    within = x.join(y, (F.col("x.first") == F.col("y.first")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    rest = rest.unionByName(filtered(within)).distinct().join(tried, ["a", "b"], "left_anti")
-    more = verify(materialise(rest, "rest-pairs"), docs, n, percent)
-    roots = materialise(components(links.unionByName(more)), "roots")
-    named = materialise(nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "named")
+    alone = followers.unionByName(followers.select(F.col("first").alias("id"), "first").distinct()).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    alone = materialise(alone, "group-roots")
+    x, y = alone.alias("x"), alone.alias("y")
+    within = x.join(y, (F.col("x.first") == F.col("y.first")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    rest = materialise(filtered(rest.unionByName(within).distinct()).join(tried, ["a", "b"], "left_anti"), "rest-pairs")
+    # one pair of each member first: most others' ends are then connected already
+    some = rest.groupBy("a").agg(F.min_by("b", F.xxhash64("a", "b")).alias("b"))
+    links = materialise(links.unionByName(verify(materialise(some, "some-pairs"), nodes, docs, n, percent)), "links")
+    roots = materialise(components(links), "some-roots")
+
+    def root_of(name: str) -> DataFrame:
+        return roots.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
+
+    apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
+    rest = rest.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").where(apart).select("a", "b").join(some, ["a", "b"], "left_anti")
+    more = verify(materialise(rest, "last-pairs"), nodes, docs, n, percent)
+    roots = materialise(components(links.unionByName(more)), "roots").withColumnRenamed("node", "id")
+    named = materialise(nodes.select("id", "node").join(roots, "id", "left").select("node", F.coalesce("root", "id").alias("root")), "named")
     return described.select("doc_id", "node", "size").join(named, "node", "left").select("doc_id", "node", "size", "root")
 
 
