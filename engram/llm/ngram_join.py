@@ -29,6 +29,7 @@ from engram.llm.common import map_arrow, materialise, pieces, table, utf8
 from engram.llm.components import components
 
 #: Elements are counted by the first COUNT_BITS bits of their hashes; a bit map has MAP_BITS bits.
+#: A set of more than MAP_BITS elements has a wide one too, of at least as many bits as elements.
 COUNT_BITS, MAP_BITS = 18, 1024
 COARSE = 8
 BATCH_BYTES = 1 << 21
@@ -71,16 +72,21 @@ def prefix_length(size: int, percent: int) -> int:
     return size - (percent * size + 99) // 100 + 1
 
 
-def bit_map(elements: np.ndarray) -> np.ndarray:
-    """Parities of MAP_BITS classes of elements: two sets differ in at least as many elements as their maps in bits."""
-    odd = np.bincount((elements & np.uint64(MAP_BITS - 1)).astype(np.int64), minlength=MAP_BITS) & 1
+def bit_map(elements: np.ndarray, width: int = MAP_BITS) -> np.ndarray:
+    """Parities of width classes of elements: two sets differ in at least as many elements as their maps in bits."""
+    odd = np.bincount((elements & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8)).view("<i8")
 
 
+def wide_map(elements: np.ndarray) -> np.ndarray | None:
+    """A map as wide as the set is large, as MAP_BITS classes of a large set say nothing."""
+    return bit_map(elements, 1 << (len(elements) - 1).bit_length()) if len(elements) > MAP_BITS else None
+
+
 def describe(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(doc_id, node, size, prefix, bits) for every row; node is the MD5 of the text.
+    """(doc_id, node, size, prefix, bits, wide) for every row; node is the MD5 of the text.
 
-    A text that the same task has seen has no prefix and no bits again.
+    A text that the same task has seen has no prefix and no maps again.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(bucket_counts(docs, n))
 
@@ -92,19 +98,20 @@ def describe(docs: DataFrame, n: int, percent: int) -> DataFrame:
             fresh = [i for i, x in enumerate(nodes) if x not in seen and not seen.update({x: -1})]
             prefixes: list = [None] * len(texts)
             maps: list = [None] * len(texts)
+            wide: list = [None] * len(texts)
             for i, elements in zip(fresh, _sets([texts[i] for i in fresh], n), strict=True):
                 seen[nodes[i]] = len(elements)
                 if len(elements):
                     rank = ranks.value[(elements >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
                     order = np.lexsort((elements, rank))[: prefix_length(len(elements), percent)]
-                    prefixes[i], maps[i] = elements[order].view(np.int64), bit_map(elements)
+                    prefixes[i], maps[i], wide[i] = elements[order].view(np.int64), bit_map(elements), wide_map(elements)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(nodes, pa.binary()), pa.array([seen[x] for x in nodes], pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(maps, pa.list_(pa.int64()))],
-                names=["doc_id", "node", "size", "prefix", "bits"],
+                [batch.column(0), pa.array(nodes, pa.binary()), pa.array([seen[x] for x in nodes], pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(maps, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64()))],
+                names=["doc_id", "node", "size", "prefix", "bits", "wide"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, node binary, size long, prefix array<bigint>, bits array<bigint>")
+    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, node binary, size long, prefix array<bigint>, bits array<bigint>, wide array<bigint>")
 
 
 def _fits(size_a: Column, size_b: Column, percent: int) -> Column:
@@ -123,9 +130,26 @@ def _by_position(a: str, b: str, percent: int) -> Column:
     return _reaches(most, F.col(f"{a}.size"), F.col(f"{b}.size"), percent)
 
 
+def _near(differ: Column, size_a: Column, size_b: Column, percent: int) -> Column:
+    """Whether sets that differ in this many elements, or more, can be similar enough."""
+    return ((size_a + size_b) - differ) * (100 + percent) >= (size_a + size_b) * 2 * percent
+
+
 def _by_bits(a: list[Column], b: list[Column], size_a: Column, size_b: Column, percent: int) -> Column:
     differ = reduce(lambda x, y: x + y, (F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b, strict=True)))
-    return ((size_a + size_b) - differ) * (100 + percent) >= (size_a + size_b) * 2 * percent
+    return _near(differ, size_a, size_b, percent)
+
+
+def _by_wide(a: Column, b: Column, size_a: Column, size_b: Column, percent: int) -> Column:
+    """The same with wide maps; one of twice the other's width is folded, and any other pair passes."""
+
+    def folded(x: Column, y: Column) -> Column:
+        half = (F.size(x) / 2).cast("int")
+        return F.when(F.size(x) == F.size(y) * 2, F.zip_with(F.slice(x, 1, half), F.slice(x, half + 1, half), lambda v, w: v.bitwiseXOR(w))).otherwise(x)
+
+    x, y = folded(a, b), folded(b, a)
+    differ = F.aggregate(F.zip_with(x, y, lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda total, n: total + n)
+    return a.isNull() | b.isNull() | (F.size(x) != F.size(y)) | _near(differ, size_a, size_b, percent)
 
 
 def _bits(column: str) -> list[Column]:
@@ -196,7 +220,7 @@ def similar_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     """
     docs = docs.select("doc_id", "text")
     described = materialise(describe(docs, n, percent), "described")
-    nodes = described.where(F.col("size") > 0).groupBy("node").agg(F.max("size").alias("size"), F.first("prefix", ignorenulls=True).alias("prefix"), F.first("bits", ignorenulls=True).alias("bits"))
+    nodes = described.where(F.col("size") > 0).groupBy("node").agg(F.max("size").alias("size"), F.first("prefix", ignorenulls=True).alias("prefix"), F.first("bits", ignorenulls=True).alias("bits"), F.first("wide", ignorenulls=True).alias("wide"))
     # the written table fixes the ids
     nodes = materialise(nodes.withColumns({"k1": F.xxhash64("prefix"), "k2": F.xxhash64(F.lit(1), "prefix"), "id": F.monotonically_increasing_id()}), "nodes")
     # groups of equal prefixes and sizes; the first member names the group, the others follow it
@@ -221,9 +245,13 @@ def similar_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     fine = [f"w{i}" for i in range(MAP_BITS // 64)]
 
     def filtered(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) whose sizes and bit maps let them link; the small maps are tried first."""
+        """Pairs (a, b) whose sizes and bit maps let them link; the small maps are tried first, the wide ones last."""
         some = held_by(pairs, nodes.select("id", "size", *(c.alias(m) for c, m in zip(_folded("bits"), coarse, strict=True))), coarse)
-        return held_by(some, nodes.select("id", "size", *(c.alias(w) for c, w in zip(_bits("bits"), fine, strict=True))), fine)
+        some = held_by(some, nodes.select("id", "size", *(c.alias(w) for c, w in zip(_bits("bits"), fine, strict=True))), fine)
+        large = nodes.where(F.col("wide").isNotNull())
+        for name in ("a", "b"):
+            some = some.join(large.select(F.col("id").alias(name), F.col("size").alias(f"size_{name}"), F.col("wide").alias(f"wide_{name}")), name, "left")
+        return some.where(_by_wide(F.col("wide_a"), F.col("wide_b"), F.col("size_a"), F.col("size_b"), percent)).select("a", "b")
 
     # 1. every group against its buckets' leaders, and every member against its group's first
     star = postings.where(F.col("id") != F.col("leader")).select("id", "leader").distinct()
