@@ -33,6 +33,8 @@ from engram.llm.components import components
 COUNT_BITS, MAP_BITS = 18, 1024
 COARSE = 8
 BATCH_BYTES = 1 << 21
+#: A task that verifies pairs keeps sets of about this many bytes at hand.
+SETS_BYTES = 32 << 20
 #: A table of at most this many bytes may be broadcast.
 BROADCAST_BYTES = 32 << 20
 
@@ -162,8 +164,16 @@ def _folded(column: str) -> list[Column]:
     return [reduce(lambda x, y: x.bitwiseXOR(y), words[i::COARSE]) for i in range(COARSE)]
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(id, elements) of the wanted (id, node), computed from the whole texts again.
+def _pack(text: bytes, codec: pa.Codec) -> bytes:
+    return len(text).to_bytes(8, "little") + codec.compress(text, asbytes=True)
+
+
+def _unpack(packed: bytes, codec: pa.Codec) -> bytes:
+    return codec.decompress(packed[8:], int.from_bytes(packed[:8], "little"), asbytes=True)
+
+
+def whole_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, packed) of the wanted (id, node): whole texts, compressed to a third of their sets' size.
 
     A filter of a fixed size (a bit for each hash of 23 bits) keeps most other texts from being
     shuffled; a join does the rest.  A task sends a text once, however many copies it holds.
@@ -176,6 +186,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
+        codec = pa.Codec("zstd", compression_level=3)
         for batch in pieces(batches, "text", BATCH_BYTES):
             nodes, texts = [], []
             for text in utf8(batch.column(0)):
@@ -184,25 +195,39 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 if int(bits.value[at >> 6]) >> (at & 63) & 1 and node not in seen:
                     seen.add(node)
                     nodes.append(node)
-                    texts.append(text)
+                    texts.append(_pack(text, codec))
             if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array([s.tobytes() for s in _sets(texts, n)], pa.binary())], names=["node", "elements"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(texts, pa.binary())], names=["node", "packed"])
 
-    sets = map_arrow(docs.select("text"), run, "node binary, elements binary")
-    return sets.join(wanted, "node").dropDuplicates(["node"]).select("id", "elements")
+    texts = map_arrow(docs.select("text"), run, "node binary, packed binary")
+    return texts.join(wanted, "node").dropDuplicates(["node"]).select("id", "packed")
 
 
 def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) of ids whose whole sets are similar enough."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes.select("id", "node"), "id")
-    sets = materialise(whole_sets(docs, materialise(wanted, "wanted"), n), "sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("elements").alias("y")), "b")
+    texts = materialise(whole_texts(docs, materialise(wanted, "wanted")), "texts")
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("packed").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("packed").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd")
+        known: dict[int, np.ndarray] = {}
+        held = 0
+
+        def elements(node: int, packed: pa.Scalar) -> np.ndarray:
+            nonlocal held
+            if node not in known:
+                if held > SETS_BYTES:
+                    known.clear()
+                    held = 0
+                [known[node]] = _sets([_unpack(packed.as_py(), codec)], n)
+                held += known[node].nbytes
+            return known[node]
+
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                p, q = elements(a, x), elements(b, y)
                 shared = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(100 * shared >= percent * (len(p) + len(q) - shared))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))

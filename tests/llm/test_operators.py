@@ -253,6 +253,10 @@ def test_ngram_join(spark, docs, n, percent):
             for _ in range(random.integers(0, 6)):
                 w[random.integers(0, len(w))] = f"n{random.integers(0, 10**6)}"
             texts.append(" ".join(w) + ("\n" + common if random.random() < 0.5 else ""))
+    passage = [f"p{x}" for x in range(60)]
+    for words in (1030, 2060, 2060, 4000):  # sets with wide maps, some of them around a power of two
+        base = [f"w{x}" for x in random.integers(0, 3000, words)]
+        texts += [" ".join(base), " ".join(base[:-20]), " ".join(base[: words // 2]), " ".join(base + passage)]
     sets, roots = plain_components(texts, n, percent)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     got = sorted((r.doc_id, r.size, r.root) for r in ngram_join.similar_components(df, n, percent).collect())
