@@ -6,18 +6,20 @@ streams of the pages of one host are concatenated, and a suffix array of them gi
 substrings that repeat across distinct pages.  What the markup names as the article stays whole;
 of all other blocks the repeated, covered runs go and the unique runs stay.
 
-A host's pages are taken in groups of about GROUP_PAGES, so that a host may be of any size.
+A run of RUN words is an interval of that suffix array.  Its hash stands for it, so that a host's
+pages are compared as a whole, in many tasks, whatever the size of the host.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,10 +28,10 @@ from engram.llm.common import map_arrow, materialise, pieces, table
 
 #: Words of a run that counts as long.
 RUN = 8
-#: Pages, and bytes of their html, that are compared with one another.
-GROUP_PAGES, GROUP_BYTES = 128, 1 << 23
 BATCH_BYTES = 1 << 21
-#: A table of hosts of at most this many bytes is broadcast.
+#: Runs that are handed on at a time.
+EMITTED = 1 << 16
+#: A table of repeated runs of at most this many bytes is broadcast.
 BROADCAST_BYTES = 32 << 20
 #: Of an undecided block, the share of words that may be repeated, and of characters in links.
 COVERED, LINKED = 0.5, 0.6
@@ -245,41 +247,125 @@ def main_text(blocks: list[tuple[str, bool]], covered: list[np.ndarray]) -> str:
     return "\n\n".join(out)
 
 
+def page_runs(blocks: list[str], host: str, n: int = RUN) -> tuple[int, list[np.ndarray], list[np.ndarray]]:
+    """A page's key, and for each block the hashes and the minimizers of its runs of n words.
+
+    The key stands for the host and the blocks' words, so copies of a page have one key.  A block
+    of fewer words is one run, its own minimizer.  A run's minimizer is the least hash of the
+    shorter runs in it: equal runs have equal ones.
+    """
+    own = W.mix(W.scan(host.encode(), np.ones(256, bool))[0].sum(keepdims=True, dtype=np.uint64) + np.uint64(len(host)))
+    m, runs, least, key = (n + 1) // 2, [], [], own
+    with np.errstate(over="ignore"):
+        for text in blocks:
+            h = W.words(text.encode(), W.NON_SPACE, lower=False)[0]
+            run = W.mix(W.grams(h, min(n, len(h))) ^ own)
+            runs.append(run.view(np.int64))
+            short = sliding_window_view(W.mix(W.grams(h, m) ^ own), n - m + 1).min(axis=1) if len(h) >= n else run
+            least.append(short.view(np.int64))
+            key = W.grams(np.concatenate([key, W.grams(h, len(h))]), 2)
+    return int(key.view(np.int64)[0]), runs, least
+
+
+def covered_words(runs: list[np.ndarray], sizes: list[int], repeated: np.ndarray, n: int = RUN) -> list[np.ndarray]:
+    """For each block's words, whether one of the repeated runs covers them."""
+    out = []
+    for run, size in zip(runs, sizes, strict=True):
+        cover = np.zeros(size + n + 1, np.int64)
+        at = np.flatnonzero(np.isin(run, repeated))
+        cover[at] += 1
+        cover[at + min(n, size)] -= 1
+        out.append(np.cumsum(cover)[:size] > 0)
+    return out
+
+
+def _if_small(df: DataFrame) -> DataFrame:
+    """A written table of longs, to be broadcast only if it is small."""
+    return F.broadcast(df) if df.count() * 32 <= BROADCAST_BYTES else df
+
+
+def _on_two_pages(runs: DataFrame, run: str) -> DataFrame:
+    """The distinct runs that occur on pages of two keys at least."""
+    ends = runs.groupBy(run).agg(F.min("key").alias("_least"), F.max("key").alias("_most"))
+    return materialise(ends.where("_least <> _most").select(run), f"repeated-{run}")
+
+
 def extract_pages(pages: DataFrame, run_words: int = RUN) -> DataFrame:
     """page_id, url, text and n_chars for every row of pages.
 
     A null or empty html has an empty text.  Pages without a url, or with one that isn't absolute,
     are one host.  Blocks are joined by two line feeds; white space within a block becomes one
-    space.  Repeated rows keep their own rows, and count as distinct pages of their host; an empty
-    table gives an empty table; other columns are ignored.
+    space.  Repeated rows keep their own rows, and pages of a host with the same blocks count as
+    one page; an empty table gives an empty table; other columns are ignored.
     """
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
     host = F.coalesce(F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit(""))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    source = pages.select("page_id", "url", "html", host.alias("host"))
+    emitted = EMITTED
+
+    def found(batch: pa.RecordBatch) -> Iterator[tuple[list[Block], int, list[np.ndarray], list[np.ndarray]]]:
+        for text, name in zip(batch.column("html").to_pylist(), batch.column("host").to_pylist(), strict=True):
+            blocks = page_blocks(text or "")
+            yield blocks, *page_runs([x.text for x in blocks], name, run_words)
+
+    def emit(columns: list[str], parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*parts, strict=True)], names=columns)
+
+    def cut(columns: list[str], rows_of: Callable[[int, list[np.ndarray], list[np.ndarray]], list[np.ndarray]]) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in pieces(batches, "html", BATCH_BYTES):
+                parts: list[list[np.ndarray]] = []
+                size = 0
+                for blocks, key, runs, least in found(batch):
+                    if blocks:
+                        parts.append(rows_of(key, runs, least))
+                        size += len(parts[-1][0])
+                    if size >= emitted:
+                        yield emit(columns, parts)
+                        parts, size = [], 0
+                if parts:
+                    yield emit(columns, parts)
+
+        return run
+
+    def least_rows(key: int, runs: list[np.ndarray], least: list[np.ndarray]) -> list[np.ndarray]:
+        x = np.unique(np.concatenate(least))
+        return [x, np.full(len(x), key)]
+
+    def run_rows(key: int, runs: list[np.ndarray], least: list[np.ndarray]) -> list[np.ndarray]:
+        x, at = np.unique(np.concatenate(runs), return_index=True)
+        return [np.concatenate(least)[at], x, np.full(len(x), key)]
+
+    # a run on two pages has its minimizer on both: only such runs are dealt out whole
+    minimizers = map_arrow(source, cut(["least", "key"], least_rows), "least long, key long")
+    likely = _if_small(_on_two_pages(minimizers, "least"))
+    runs = map_arrow(source, cut(["least", "run", "key"], run_rows), "least long, run long, key long")
+    runs = materialise(runs.join(likely, "least", "left_semi").select("run", "key").distinct(), "likely-runs")
+    repeated = runs.join(_if_small(_on_two_pages(runs, "run")), "run", "left_semi")
+    covers = materialise(repeated.groupBy("key").agg(F.collect_set("run").alias("runs")), "covers")
+    size = covers.agg(F.sum(F.size("runs") * 8 + 64)).first()[0] or 0
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "html", BATCH_BYTES):
-            found = [page_blocks(x or "") for x in batch.column(2).to_pylist()]
-            blocks = pa.array([[x.text for x in page] for page in found], pa.list_(pa.string()))
-            kept = pa.array([[x.kept for x in page] for page in found], pa.list_(pa.bool_()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), blocks, kept], names=["page_id", "url", "host", "blocks", "kept"])
-
-    cut_pages = map_arrow(pages.select("page_id", "url", "html", host.alias("host")), cut, f"page_id {kinds['page_id']}, url string, host string, blocks array<string>, kept array<boolean>")
-    n_bytes = F.sum(F.coalesce(F.octet_length("html"), F.lit(0)).cast("long"))
-    hosts = pages.select(host.alias("host"), "html").groupBy("host").agg(F.greatest(F.ceil(F.count(F.lit(1)) / GROUP_PAGES), F.ceil(n_bytes / GROUP_BYTES)).cast("long").alias("groups"))
-    hosts = materialise(hosts, "hosts")
-    # a row is a host name and a number; broadcast the table only if it is small
-    small = (hosts.agg(F.sum(F.octet_length("host") + 32)).first()[0] or 0) <= BROADCAST_BYTES
-    grouped = cut_pages.join(F.broadcast(hosts) if small else hosts, "host").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.col("groups")))
-
-    def extract(group: pa.Table) -> pa.Table:
-        blocks = group.column("blocks").to_pylist()
-        kept = group.column("kept").to_pylist()
-        covered = repeated_words([[b.split(" ") for b in page] for page in blocks])
-        texts = [main_text(list(zip(b, k, strict=True)), c) for b, k, c in zip(blocks, kept, covered, strict=True)]
-        return pa.table({"page_id": group.column("page_id"), "url": group.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
-
-    rows = grouped.select("host", "part", "page_id", "url", "blocks", "kept")
-    return rows.groupBy("host", "part").applyInArrow(extract, f"page_id {kinds['page_id']}, url string, text string, n_chars long")
+            rows = [(key, [x.text for x in blocks], [x.kept for x in blocks]) for blocks, key, _, _ in found(batch)]
+            keys, texts, kept = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("page_id"), batch.column("url"), batch.column("host"), pa.array(keys, pa.int64()), pa.array(texts, pa.list_(pa.string())), pa.array(kept, pa.list_(pa.bool_()))],
+                names=["page_id", "url", "host", "key", "blocks", "kept"],
+            )
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for name, blocks, kept, gone in zip(*(batch.column(c).to_pylist() for c in ("host", "blocks", "kept", "runs")), strict=True):
+                _, own, _ = page_runs(blocks, name, run_words)
+                covered = covered_words(own, [b.count(" ") + 1 for b in blocks], np.array(gone or [], np.int64), run_words)
+                texts.append(main_text(list(zip(blocks, kept, strict=True)), covered))
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    cut_pages = map_arrow(source, keyed, f"page_id {kinds['page_id']}, url string, host string, key long, blocks array<string>, kept array<boolean>")
+    joined = cut_pages.join(F.broadcast(covers) if size <= BROADCAST_BYTES else covers, "key", "left")
+    return map_arrow(joined.select("page_id", "url", "host", "blocks", "kept", "runs"), extract, f"page_id {kinds['page_id']}, url string, text string, n_chars long")
 
 
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -336,6 +336,16 @@ def test_repeated_words_against_plain():
             assert (got == expected).all()
 
 
+def test_html_compares_a_host_whole(spark):
+    """Runs on just two of a host's many pages go, with the pages far apart."""
+    def words(k):
+        return " ".join(f"w{k}x{i}" for i in range(30))
+    shared = {k: " ".join(f"s{k % 150}y{i}" for i in range(12)) for k in range(300)}
+    pages = [(k, f"http://hot.example/{k}", f"<div>{words(k)}</div><div>{shared[k]}</div>") for k in range(300)]
+    got = {r.page_id: r.text for r in html.extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {k: words(k) for k in range(300)}
+
+
 def test_personal_data(docs, empty):
     model = pii.train_on(docs)
     got = {r.doc_id: r for r in pii.find_personal_data(docs, model).collect()}
