@@ -3,8 +3,8 @@
 A page is cut into blocks of text by its markup; menus, headers, footers, sidebars, notices,
 adverts, forms, scripts and reader comments go by their tags, roles and class names.  The token
 streams of the pages of one host are concatenated, and a suffix array of them gives the long
-substrings that repeat across distinct pages.  What the markup names as the article stays whole;
-of all other blocks the repeated, covered runs go and the unique runs stay.
+substrings that repeat across distinct pages.  Of all blocks the repeated, covered runs go and the
+unique runs stay; only an article that is mostly a copy of another page's stays whole.
 
 A run of RUN words is an interval of that suffix array.  Its hash stands for it, so that a host's
 pages are compared as a whole, in many tasks, whatever the size of the host.
@@ -14,8 +14,9 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +30,14 @@ from engram.llm.common import map_arrow, materialise, pieces, table
 #: Words of a run that counts as long.
 RUN = 8
 BATCH_BYTES = 1 << 21
-#: Runs that are handed on at a time.
-EMITTED = 1 << 16
+#: Pages whose repeated words are looked up at a time.
+PAGES = 256
 #: A table of repeated runs of at most this many bytes is broadcast.
 BROADCAST_BYTES = 32 << 20
 #: Of an undecided block, the share of words that may be repeated, and of characters in links.
 COVERED, LINKED = 0.5, 0.6
+#: An article with more than this share of repeated words may be a copy with changes.
+COPIED = 0.5
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -170,9 +173,7 @@ def page_blocks(source: str) -> list[Block]:
             at = end.start() if end else len(source)
     b.add(source[at:])
     b.end_block()
-    if any(x.kept for x in b.blocks):
-        return [x for x in b.blocks if x.kept]
-    return [x for x in b.blocks if x.linked <= LINKED * sum(map(len, x.words))]
+    return [x for x in b.blocks if x.kept or x.linked <= LINKED * sum(map(len, x.words))]
 
 
 def run_ranks(tokens: np.ndarray, depth: int = RUN) -> np.ndarray:
@@ -237,46 +238,83 @@ def repeated_words(pages: list[list[list[str]]]) -> list[list[np.ndarray]]:
 
 
 def main_text(blocks: list[tuple[str, bool]], covered: list[np.ndarray]) -> str:
-    """The kept blocks, and the unique runs of the others, joined in page order."""
+    """The unique words of the blocks, joined in page order.
+
+    An article that is mostly repeated stays whole, as a copy that the host shows elsewhere with
+    changes, unless the blocks outside have more unique words: then it is but a teaser.
+    """
+    size = sum(len(f) for (_, kept), f in zip(blocks, covered, strict=True) if kept)
+    gone = sum(int(f.sum()) for (_, kept), f in zip(blocks, covered, strict=True) if kept)
+    outside = sum(int((~f).sum()) for (_, kept), f in zip(blocks, covered, strict=True) if not kept)
+    copied = gone > COPIED * size and outside <= size
     out = []
     for (text, kept), flags in zip(blocks, covered, strict=True):
-        if kept or not flags.any():
+        if not flags.any() or (kept and copied):
             out.append(text)
-        elif flags.mean() < COVERED:
-            out.append(" ".join(w for w, gone in zip(text.split(), flags, strict=True) if not gone))
+        elif not flags.all() and (kept or flags.mean() < COVERED):
+            out.append(" ".join(w for w, gone in zip(text.split(" "), flags, strict=True) if not gone))
     return "\n\n".join(out)
 
 
-def page_runs(blocks: list[str], host: str, n: int = RUN) -> tuple[int, list[np.ndarray], list[np.ndarray]]:
-    """A page's key, and for each block the hashes and the minimizers of its runs of n words.
-
-    The key stands for the host and the blocks' words, so copies of a page have one key.  A block
-    of fewer words is one run, its own minimizer.  A run's minimizer is the least hash of the
-    shorter runs in it: equal runs have equal ones.
-    """
-    own = W.mix(W.scan(host.encode(), np.ones(256, bool))[0].sum(keepdims=True, dtype=np.uint64) + np.uint64(len(host)))
-    m, runs, least, key = (n + 1) // 2, [], [], own
-    with np.errstate(over="ignore"):
-        for text in blocks:
-            h = W.words(text.encode(), W.NON_SPACE, lower=False)[0]
-            run = W.mix(W.grams(h, min(n, len(h))) ^ own)
-            runs.append(run.view(np.int64))
-            short = sliding_window_view(W.mix(W.grams(h, m) ^ own), n - m + 1).min(axis=1) if len(h) >= n else run
-            least.append(short.view(np.int64))
-            key = W.grams(np.concatenate([key, W.grams(h, len(h))]), 2)
-    return int(key.view(np.int64)[0]), runs, least
-
-
-def covered_words(runs: list[np.ndarray], sizes: list[int], repeated: np.ndarray, n: int = RUN) -> list[np.ndarray]:
-    """For each block's words, whether one of the repeated runs covers them."""
-    out = []
-    for run, size in zip(runs, sizes, strict=True):
-        cover = np.zeros(size + n + 1, np.int64)
-        at = np.flatnonzero(np.isin(run, repeated))
-        cover[at] += 1
-        cover[at + min(n, size)] -= 1
-        out.append(np.cumsum(cover)[:size] > 0)
-    return out
+@dataclass
+class Runs:
+    """The runs of n words of some pages' blocks; a block of fewer words is one run."""
+
+    keys: np.ndarray  # of each page
+    sizes: np.ndarray  # words of each block
+    at: np.ndarray  # the runs' places among all words
+    lengths: np.ndarray
+    owners: np.ndarray  # the runs' pages
+    hashes: np.ndarray
+    least: np.ndarray  # the runs' minimizers
+
+    @classmethod
+    def of(cls, pages: list[list[str]], hosts: list[str], n: int = RUN) -> Runs:
+        """A page's key stands for its host and its blocks' words, so copies of a page have one key.
+
+        A run's minimizer is the least hash of the shorter runs in it: equal runs have equal ones.
+        """
+        texts = [t for page in pages for t in page]
+        sizes = np.array([t.count(" ") + 1 for t in texts], np.int64)
+        page = np.repeat(np.arange(len(pages)), [len(p) for p in pages])
+        own = np.array([int.from_bytes(blake2b(x.encode(), digest_size=8).digest(), "little") for x in hosts], np.uint64)
+        if not texts:
+            none = np.empty(0, np.int64)
+            return cls(own.view(np.int64), sizes, none, none, none, none, none)
+        h = W.words("\n".join(texts).encode(), W.NON_SPACE, lower=False)[0]
+        begin = np.cumsum(sizes) - sizes
+        block, word_page = np.repeat(np.arange(len(sizes)), sizes), np.repeat(page, sizes)
+        words = np.bincount(word_page, minlength=len(pages))
+        starts = np.zeros(len(h), np.uint64)
+        starts[begin] = 1
+        keys = own.copy()
+        with np.errstate(over="ignore"):
+            place = np.arange(len(h)) - np.repeat(np.cumsum(words) - words, words)
+            np.add.at(keys, word_page, W.mix(h + W.mix(np.uint64(2) * place.astype(np.uint64) + starts)))
+            inner = (np.arange(len(h)) - begin[block]).astype(np.uint64)
+            whole = W.mix(np.add.reduceat(W.mix(h + W.mix(inner)), begin) + sizes.astype(np.uint64))
+        short = np.flatnonzero(sizes < n)
+        at, hashes, least = np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
+        if len(h) >= n:
+            m = (n + 1) // 2
+            at = np.flatnonzero(block[: len(h) - n + 1] == block[n - 1 :])
+            hashes = W.mix(W.grams(h, n)[at] ^ own[word_page[at]])
+            shorter = W.mix(W.grams(h, m) ^ own[word_page[: len(h) - m + 1]])
+            least = sliding_window_view(shorter, n - m + 1).min(axis=1)[at]
+        ends = W.mix(whole[short] ^ own[page[short]])
+        lengths = np.concatenate([np.full(len(at), n), sizes[short]])
+        at = np.concatenate([at, begin[short]])
+        hashes, least = np.concatenate([hashes, ends]).view(np.int64), np.concatenate([least, ends]).view(np.int64)
+        return cls(keys.view(np.int64), sizes, at, lengths, word_page[at], hashes, least)
+
+    def covered(self, repeated: np.ndarray) -> list[np.ndarray]:
+        """For each block's words, whether one of the repeated runs covers them."""
+        total = int(self.sizes.sum())
+        here = np.isin(self.hashes, repeated)
+        cover = np.zeros(total + 1, np.int64)
+        np.add.at(cover, self.at[here], 1)
+        np.add.at(cover, self.at[here] + self.lengths[here], -1)
+        return np.split(np.cumsum(cover)[:total] > 0, np.cumsum(self.sizes)[:-1]) if total else []
 
 
 def _if_small(df: DataFrame) -> DataFrame:
@@ -301,45 +339,27 @@ def extract_pages(pages: DataFrame, run_words: int = RUN) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
     host = F.coalesce(F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit(""))
     source = pages.select("page_id", "url", "html", host.alias("host"))
-    emitted = EMITTED
-
-    def found(batch: pa.RecordBatch) -> Iterator[tuple[list[Block], int, list[np.ndarray], list[np.ndarray]]]:
-        for text, name in zip(batch.column("html").to_pylist(), batch.column("host").to_pylist(), strict=True):
-            blocks = page_blocks(text or "")
-            yield blocks, *page_runs([x.text for x in blocks], name, run_words)
-
-    def emit(columns: list[str], parts: list[list[np.ndarray]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*parts, strict=True)], names=columns)
-
-    def cut(columns: list[str], rows_of: Callable[[int, list[np.ndarray], list[np.ndarray]], list[np.ndarray]]) -> Callable:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in pieces(batches, "html", BATCH_BYTES):
-                parts: list[list[np.ndarray]] = []
-                size = 0
-                for blocks, key, runs, least in found(batch):
-                    if blocks:
-                        parts.append(rows_of(key, runs, least))
-                        size += len(parts[-1][0])
-                    if size >= emitted:
-                        yield emit(columns, parts)
-                        parts, size = [], 0
-                if parts:
-                    yield emit(columns, parts)
-
-        return run
-
-    def least_rows(key: int, runs: list[np.ndarray], least: list[np.ndarray]) -> list[np.ndarray]:
-        x = np.unique(np.concatenate(least))
-        return [x, np.full(len(x), key)]
-
-    def run_rows(key: int, runs: list[np.ndarray], least: list[np.ndarray]) -> list[np.ndarray]:
-        x, at = np.unique(np.concatenate(runs), return_index=True)
-        return [np.concatenate(least)[at], x, np.full(len(x), key)]
+
+    def found(batch: pa.RecordBatch) -> tuple[list[list[Block]], Runs]:
+        cut = [page_blocks(x or "") for x in batch.column("html").to_pylist()]
+        return cut, Runs.of([[x.text for x in page] for page in cut], batch.column("host").to_pylist(), run_words)
+
+    def minimizers_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "html", BATCH_BYTES):
+            _, r = found(batch)
+            first = np.ones(len(r.least), bool)  # neighbouring runs mostly share one
+            first[1:] = (r.least[1:] != r.least[:-1]) | (r.owners[1:] != r.owners[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(r.least[first]), pa.array(r.keys[r.owners[first]])], names=["least", "key"])
+
+    def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "html", BATCH_BYTES):
+            _, r = found(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(r.least), pa.array(r.hashes), pa.array(r.keys[r.owners])], names=["least", "run", "key"])
 
     # a run on two pages has its minimizer on both: only such runs are dealt out whole
-    minimizers = map_arrow(source, cut(["least", "key"], least_rows), "least long, key long")
+    minimizers = map_arrow(source, minimizers_of, "least long, key long")
     likely = _if_small(_on_two_pages(minimizers, "least"))
-    runs = map_arrow(source, cut(["least", "run", "key"], run_rows), "least long, run long, key long")
+    runs = map_arrow(source, runs_of, "least long, run long, key long")
     runs = materialise(runs.join(likely, "least", "left_semi").select("run", "key").distinct(), "likely-runs")
     repeated = runs.join(_if_small(_on_two_pages(runs, "run")), "run", "left_semi")
     covers = materialise(repeated.groupBy("key").agg(F.collect_set("run").alias("runs")), "covers")
@@ -347,21 +367,21 @@ def extract_pages(pages: DataFrame, run_words: int = RUN) -> DataFrame:
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "html", BATCH_BYTES):
-            rows = [(key, [x.text for x in blocks], [x.kept for x in blocks]) for blocks, key, _, _ in found(batch)]
-            keys, texts, kept = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("page_id"), batch.column("url"), batch.column("host"), pa.array(keys, pa.int64()), pa.array(texts, pa.list_(pa.string())), pa.array(kept, pa.list_(pa.bool_()))],
-                names=["page_id", "url", "host", "key", "blocks", "kept"],
-            )
+            cut, r = found(batch)
+            texts = pa.array([[x.text for x in page] for page in cut], pa.list_(pa.string()))
+            kept = pa.array([[x.kept for x in page] for page in cut], pa.list_(pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), batch.column("host"), pa.array(r.keys), texts, kept], names=["page_id", "url", "host", "key", "blocks", "kept"])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for name, blocks, kept, gone in zip(*(batch.column(c).to_pylist() for c in ("host", "blocks", "kept", "runs")), strict=True):
-                _, own, _ = page_runs(blocks, name, run_words)
-                covered = covered_words(own, [b.count(" ") + 1 for b in blocks], np.array(gone or [], np.int64), run_words)
-                texts.append(main_text(list(zip(blocks, kept, strict=True)), covered))
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+        for whole in batches:
+            for first in range(0, whole.num_rows, PAGES):
+                batch = whole.slice(first, PAGES)
+                blocks, kept, gone = (batch.column(c).to_pylist() for c in ("blocks", "kept", "runs"))
+                # what repeats is a matter of the host, whose name is in the hash
+                repeated = np.array([x for page in gone for x in page or ()], np.int64)
+                flags = iter(Runs.of(blocks, batch.column("host").to_pylist(), run_words).covered(repeated))
+                texts = [main_text(list(zip(b, k, strict=True)), [next(flags) for _ in b]) for b, k in zip(blocks, kept, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     cut_pages = map_arrow(source, keyed, f"page_id {kinds['page_id']}, url string, host string, key long, blocks array<string>, kept array<boolean>")
     joined = cut_pages.join(F.broadcast(covers) if size <= BROADCAST_BYTES else covers, "key", "left")

@@ -346,6 +346,19 @@ def test_html_compares_a_host_whole(spark):
     assert got == {k: words(k) for k in range(300)}
 
 
+def test_html_article_pages(spark):
+    """A story beside an article with a teaser stays, a notice in every article goes, a changed copy stays."""
+    def words(k, n=30):
+        return " ".join(f"w{k}x{i}" for i in range(n))
+    teaser, notice = words("teaser", 10), words("notice", 10)
+    pages = [(k, f"<div>{words(k)}</div><article>{teaser}</article>") for k in (1, 2)]
+    pages += [(k, f"<article><p>{words(k)}<p>{notice}</article>") for k in (3, 4)]
+    pages += [(k, f"<article><p>{words('copy')} changed {k}</article>") for k in (5, 6)]
+    df = spark.createDataFrame([(k, "http://a.example/", h) for k, h in pages], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract_pages(df).collect()}
+    assert got == {k: words(k) for k in (1, 2, 3, 4)} | {k: f"{words('copy')} changed {k}" for k in (5, 6)}
+
+
 def test_personal_data(docs, empty):
     model = pii.train_on(docs)
     got = {r.doc_id: r for r in pii.find_personal_data(docs, model).collect()}
