@@ -34,8 +34,6 @@ BATCH_BYTES = 1 << 21
 PAGES = 256
 #: A table of repeated runs of at most this many bytes is broadcast.
 BROADCAST_BYTES = 32 << 20
-#: Of an undecided block, the share of words that may be repeated, and of characters in links.
-COVERED, LINKED = 0.5, 0.6
 #: An article with more than this share of repeated words may be a copy with changes.
 COPIED = 0.5
 
@@ -65,7 +63,6 @@ _COMMENT_NAMES = frozenset("comment comments commentlist disqus discussion repli
 class Block:
     words: list[str]
     kept: bool  # the markup names it as part of the article
-    linked: int = 0  # characters in links
 
     @property
     def text(self) -> str:
@@ -78,7 +75,6 @@ class _Open:
     dropped: bool
     firm: bool  # dropped by its tag, its role or as comments; an article in it is dropped, too
     article: bool
-    linked: bool
 
 
 @dataclass
@@ -86,23 +82,19 @@ class _Builder:
     blocks: list[Block] = field(default_factory=list)
     stack: list[_Open] = field(default_factory=list)
     text: list[str] = field(default_factory=list)
-    linked: int = 0
 
     def top(self) -> _Open:
-        return self.stack[-1] if self.stack else _Open("", False, False, False, False)
+        return self.stack[-1] if self.stack else _Open("", False, False, False)
 
     def end_block(self) -> None:
         words = "".join(self.text).split()
         if words:
-            self.blocks.append(Block(words, self.top().article, self.linked))
-        self.text, self.linked = [], 0
+            self.blocks.append(Block(words, self.top().article))
+        self.text = []
 
     def add(self, raw: str) -> None:
         if not self.top().dropped:
-            text = entities.unescape(raw)
-            self.text.append(text)
-            if self.top().linked:
-                self.linked += sum(map(len, text.split()))
+            self.text.append(entities.unescape(raw))
 
     def open(self, tag: str, attributes: str) -> None:
         if tag == "br":
@@ -130,7 +122,7 @@ class _Builder:
         # an article may stand in a badly named or unclosed wrapper
         inherited = above.firm if article else above.dropped
         dropped, firm = inherited or dropped, above.firm or firm
-        self.stack.append(_Open(tag, dropped, firm, (above.article or article) and not dropped, above.linked or tag == "a"))
+        self.stack.append(_Open(tag, dropped, firm, (above.article or article) and not dropped))
 
     def close_implied(self, tag: str) -> None:
         """Ends an open element of this name, unless a container that may hold another stands between."""
@@ -173,7 +165,7 @@ def page_blocks(source: str) -> list[Block]:
             at = end.start() if end else len(source)
     b.add(source[at:])
     b.end_block()
-    return [x for x in b.blocks if x.kept or x.linked <= LINKED * sum(map(len, x.words))]
+    return b.blocks
 
 
 def run_ranks(tokens: np.ndarray, depth: int = RUN) -> np.ndarray:
@@ -251,7 +243,7 @@ def main_text(blocks: list[tuple[str, bool]], covered: list[np.ndarray]) -> str:
     for (text, kept), flags in zip(blocks, covered, strict=True):
         if not flags.any() or (kept and copied):
             out.append(text)
-        elif not flags.all() and (kept or flags.mean() < COVERED):
+        elif not flags.all():
             out.append(" ".join(w for w, gone in zip(text.split(" "), flags, strict=True) if not gone))
     return "\n\n".join(out)
 

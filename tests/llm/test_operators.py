@@ -359,6 +359,17 @@ def test_html_article_pages(spark):
     assert got == {k: words(k) for k in (1, 2, 3, 4)} | {k: f"{words('copy')} changed {k}" for k in (5, 6)}
 
 
+def test_html_keeps_unique_words(spark):
+    """Unique words of a mostly covered block, link lists and copies of one page stay."""
+    def words(k, n):
+        return " ".join(f"w{k}x{i}" for i in range(n))
+    shared = words("shared", 60)
+    pages = [(k, f"<div>{shared} {words(k, 55)}</div>") for k in (1, 2)] + [(3, f"<div><a href='/'>{words(3, 20)}</a></div>")] + [(k, f"<div>{words(4, 40)}</div>") for k in (4, 5, 5)]
+    df = spark.createDataFrame([(k, "http://a.example/", h) for k, h in pages], "page_id long, url string, html string")
+    got = sorted((r.page_id, r.text) for r in html.extract_pages(df).collect())
+    assert got == [(1, words(1, 55)), (2, words(2, 55)), (3, words(3, 20)), *[(k, words(4, 40)) for k in (4, 5, 5)]]
+
+
 def test_personal_data(docs, empty):
     model = pii.train_on(docs)
     got = {r.doc_id: r for r in pii.find_personal_data(docs, model).collect()}
