@@ -1,9 +1,10 @@
 """Mixing sources to target weights with a low-discrepancy schedule (operator 2) [native].
 
 Every source is a shuffled stream of its documents' words, cut into blocks of equal numbers of
-words.  The mix is a sequence of slots.  Slot i has the golden-ratio point frac(i * phi); mapped
-through the cumulative target weights it names a source, and the k-th slot of a source takes the
-source's k-th block, starting anew after the last one.
+words, the number being each source's own.  The mix is a sequence of slots.  Slot i has the
+golden-ratio point frac(i * phi); mapped through the cumulative numbers of blocks that meet the
+targets it names a source, and the k-th slot of a source takes the source's k-th block, starting
+anew after the last one.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ PHI = (math.sqrt(5) - 1) / 2
 WEIGHTS = (3.0, 1.0, 2.0)
 #: The mix's words for a word of the corpus; no source gives more than EPOCHS times its words.
 SHARE, EPOCHS = 1.5, 2
-#: Slots of a schedule: this many, or this many for each source if that is more.
+#: Blocks that meet the targets, at least, where a block has more than a word: this many dealt
+#: evenly to the sources, or this many for each source if that is more.
 SLOTS, SLOTS_A_SOURCE = 1 << 17, 1 << 10
 #: Slots whose ranks one task finds.
 SLOT_RANGE = 1 << 14
@@ -57,17 +59,17 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     return sizes.select("source", "source_size", "sid", target.alias("target"))
 
 
-def schedule(targets: DataFrame, block_words: Column, slots: Column) -> DataFrame:
+def schedule(targets: DataFrame, block_words: Column, blocks: Column) -> DataFrame:
     """(sid, block, uses): how often the mix takes each block of each source.
 
-    ``targets`` has sid, source_size, target; ``block_words`` and ``slots`` are columns of it that
-    are the same in every row.
+    ``targets`` has sid and source_size; ``block_words`` and ``blocks`` are columns of it, the words
+    of a block of the source and the number of blocks that meet its target.
     """
     upto = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bounds = targets.withColumns({"_upto": F.sum("target").over(upto), "_all": F.sum("target").over(Window.partitionBy()), "_words": block_words, "_slots": slots})
-    bounds = bounds.withColumn("_from", F.coalesce(F.lag("_upto").over(Window.orderBy("sid")), F.lit(0.0)))
+    bounds = targets.withColumns({"_upto": F.sum(blocks).over(upto), "_slots": F.sum(blocks).over(Window.partitionBy()), "_words": block_words})
+    bounds = bounds.where(F.col("_slots") > 0)
     # one row for the cumulative weights; a point finds its source in it
-    whole = bounds.agg(F.max("_slots").alias("_slots"), F.array_sort(F.collect_list(F.struct((F.col("_upto") / F.col("_all")).alias("upto"), "sid", "source_size", "_words"))).alias("_cum"))
+    whole = bounds.agg(F.max("_slots").alias("_slots"), F.array_sort(F.collect_list(F.struct((F.col("_upto") / F.col("_slots")).alias("upto"), "sid", "source_size", "_words"))).alias("_cum"))
     whole = whole.where(F.col("_slots") > 0)
     ranges = whole.select("_cum", "_slots", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_slots") - 1) / SLOT_RANGE).cast("long"))).alias("_range")).repartition("_range")
     begin = F.col("_range") * SLOT_RANGE
@@ -107,11 +109,10 @@ def mix_rows(docs: DataFrame, weights: Sequence[float] = WEIGHTS, seed: int = 42
     narrow = materialise(narrow, "mix-sizes")
     # 2. the sources' targets: a row for each source
     targets = source_targets(narrow.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size")), weights)
-    slots = F.greatest(F.lit(SLOTS), F.count(F.lit(1)).over(Window.partitionBy()) * SLOTS_A_SOURCE)
-    total = F.sum("target").over(Window.partitionBy())
-    targets = targets.withColumn("_words", F.greatest(F.lit(1), F.ceil(total / slots)).cast("long"))
-    targets = materialise(targets.withColumn("_slots", F.ceil(total / F.col("_words")).cast("long")), "mix-targets")
-    uses = schedule(targets, F.col("_words"), F.col("_slots"))
+    least = F.greatest(F.lit(SLOTS_A_SOURCE), F.floor(F.lit(SLOTS) / F.count(F.lit(1)).over(Window.partitionBy())))
+    targets = targets.withColumn("_words", F.greatest(F.lit(1), F.floor(F.col("target") / least)).cast("long"))
+    targets = materialise(targets.withColumn("_blocks", F.ceil(F.col("target") / F.col("_words")).cast("long")), "mix-targets")
+    uses = schedule(targets, F.col("_words"), F.col("_blocks"))
     # 3. where each document lies in its source's shuffled stream
     placed = narrow.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     placed = placed.withColumn("_hash", F.xxhash64(F.lit(seed), "doc_id", "_text"))

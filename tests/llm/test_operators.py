@@ -142,6 +142,15 @@ def test_mixing(docs, empty):
     assert times[6] == 1 and mixing.mixed_documents(docs).columns == docs.columns
 
 
+def test_mixing_small_source(spark):
+    """A source of fewer words than a large one's block is taken as often as its target says."""
+    large = [(k, "a " * 200_000, f"s{k:02}") for k in range(20) if k != 7]
+    small = [(7, "a " * 20, "s07")]
+    found = mixing.mix_documents(spark.createDataFrame(large + small, "doc_id long, text string, source string")).collect()
+    for r in found:
+        assert abs(r.taken - r.target) <= 0.01 * r.target + 4
+
+
 def test_licenses(docs, empty):
     got = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
     assert (got[16].license, got[16].coverage, got[16].n_licenses) == ("Apache-2.0", 1.0, 1) and got[1].license is None and got[6].licenses == ""
