@@ -7,6 +7,7 @@ share of the template's words that the alignment matches.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
@@ -140,32 +141,27 @@ class Template:
     def slack(self) -> int:
         return int(len(self.words) * SLACK) + 2
 
-    def cover(self, text: list[int], places: dict[int, list[int]]) -> tuple[float, int, int]:
-        """The best coverage, and the words [start, end) of the text that give it.
+    def cover(self, text: list[int], places: dict[int, list[int]], least: float) -> list[tuple[float, int, int]]:
+        """The coverages of at least ``least``, and the words [start, end) of the text that give them.
 
-        A stretch of text is looked at around each occurrence of the template word that the text
-        has the fewest of (ties: the first in the template): a template that occurs repeatedly has
-        no word unique to the whole text, but one stretch for each occurrence has.
+        A find lacks a bounded number of the template's words, so of one more words of the template
+        it has one.  The words that the text has the fewest of are taken, each at its own place in
+        the template, and a stretch of text is looked at around each of their occurrences, unless
+        it has too few of the template's words.
         """
-        here = [(len(places[x]), j, x) for j, x in enumerate(self.words) if x in places]
-        if not here:
-            return 0.0, 0, 0
-        best = (0.0, 0, 0)
-        # any of the words may be the one that an altered notice lacks: try the two rarest
-        tried: set[int] = set()
-        for _, j, x in sorted(here):
-            if x in tried:
-                continue
-            tried.add(x)
-            for at in places[x]:
-                begin, end = max(0, at - j - self.slack()), min(len(text), at + len(self.words) - j + self.slack())
-                matches = patience(text[begin:end], self.words)
-                coverage = len(matches) / len(self.words)
-                if matches and coverage > best[0]:
-                    best = (coverage, begin + matches[0][0], begin + matches[-1][0] + 1)
-            if len(tried) == 2:
-                break
-        return best
+        size = len(self.words)
+        lacking = size - math.ceil(least * size - 1e-9)
+        rarest = sorted((len(places.get(x, ())), j, x) for j, x in enumerate(self.words))[: lacking + 1]
+        own = np.sort(np.concatenate([np.array(places[x], np.int64) for x in set(self.words) if x in places] or [np.empty(0, np.int64)]))
+        shifts = np.unique(np.concatenate([np.array(places.get(x, ()), np.int64) - j for _, j, x in rarest]))
+        begins, ends = np.maximum(shifts - self.slack(), 0), np.minimum(shifts + size + self.slack(), len(text))
+        enough = np.searchsorted(own, ends) - np.searchsorted(own, begins) >= size - lacking
+        found = set()
+        for begin, end in zip(begins[enough].tolist(), ends[enough].tolist(), strict=True):
+            matches = patience(text[begin:end], self.words)
+            if matches and len(matches) / size >= least:
+                found.add((len(matches) / size, begin + matches[0][0], begin + matches[-1][0] + 1))
+        return sorted(found)
 
 
 class Scanner:
@@ -193,15 +189,15 @@ class Scanner:
             if most < self.coverage * len(template.words):
                 continue
             text = hashes.tolist() if text is None else text
-            coverage, start, end = template.cover(text, places)
-            if coverage >= self.coverage:
+            for coverage, start, end in template.cover(text, places, self.coverage)[-1:]:
                 candidates.append((-coverage * len(template.words), -coverage, template.name, start, end))
         # what overlaps a find of more words is no find of its own
         found: dict[str, tuple[float, int, int]] = {}
         taken: list[tuple[int, int]] = []
         for _, coverage, name, start, end in sorted(candidates):
-            if all(end <= s or e <= start for s, e in taken):
-                taken.append((start, end))
+            k = bisect_left(taken, (start, end))
+            if (not k or taken[k - 1][1] <= start) and (k == len(taken) or end <= taken[k][0]):
+                taken.insert(k, (start, end))
                 found.setdefault(name, (-coverage, start, end))
         return [(name, *x) for name, x in found.items()]
 

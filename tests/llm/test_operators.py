@@ -162,6 +162,15 @@ def test_licenses(docs, empty):
     assert scanner.scan(W.words(b"the license of the version under discussion", W.ALNUM)[0]) == []
 
 
+def test_licenses_lacking_words():
+    """A notice that lacks two words, which occur once elsewhere in the text, is found."""
+    notice = "This work is licensed under the GNU General Public License, version 3."
+    altered = notice.replace("work ", "").replace("General ", "")
+    far = " ".join(f"x{i}" for i in range(300))
+    text = f"work {far} general {far} {altered} {far} " + "this is under the license version 3 gnu public licensed " * 2
+    assert ("GPL-3.0", 10 / 12) in [x[:2] for x in licenses.Scanner().scan(W.words(text.encode(), W.ALNUM)[0])]
+
+
 def test_patience_is_a_common_subsequence():
     random = np.random.default_rng(3)
     for _ in range(200):
