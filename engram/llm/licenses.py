@@ -189,7 +189,7 @@ class Scanner:
             if most < self.coverage * len(template.words):
                 continue
             text = hashes.tolist() if text is None else text
-            for coverage, start, end in template.cover(text, places, self.coverage)[-1:]:
+            for coverage, start, end in template.cover(text, places, self.coverage):
                 candidates.append((-coverage * len(template.words), -coverage, template.name, start, end))
         # what overlaps a find of more words is no find of its own
         found: dict[str, tuple[float, int, int]] = {}

@@ -171,6 +171,11 @@ def test_licenses_lacking_words():
     assert ("GPL-3.0", 10 / 12) in [x[:2] for x in licenses.Scanner().scan(W.words(text.encode(), W.ALNUM)[0])]
 
 
+def test_licenses_in_places_of_their_own():
+    text = "Licensed under CC BY-NC 4.0. " + "some other words " * 20 + "Licensed under CC BY 4.0."
+    assert sorted(x[0] for x in licenses.Scanner().scan(W.words(text.encode(), W.ALNUM)[0])) == ["CC-BY-4.0", "CC-BY-NC-4.0"]
+
+
 def test_patience_is_a_common_subsequence():
     random = np.random.default_rng(3)
     for _ in range(200):
