@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -53,6 +54,12 @@ VAGUE = (
     r"\broughly|approximately|about\b",
 )
 VAGUE_LITERALS = ("maybe", "perhaps", "possibly", "might", "could", "seems like", "I think", "I believe", "it seems", "apparently", "kind of", "sort of", "type of", "more or less")
+#: Patterns of the quality score.
+NUMBER, QUALITY_DATE, DIGIT = r"\d+\.?\d*", r"\d{4}[-/]\d{2}[-/]\d{2}", r"\p{Nd}"
+#: Patterns of entities, and the words that tell a document's kind.
+EMAIL, URL, PHONE = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", r"https?://[^\s]+", r"\+?\d[\d\s\-]{7,}\d"
+MONEY, ISO_DATE = r"(\d+(?:\.\d+)?)\s?((?i)usd|eur|czk|gbp|\$|€|kč)", r"\b\d{4}-\d{2}-\d{2}\b"
+KINDS_OF_DOCUMENT = (("invoice", ("invoice", "amount due", "iban")), ("contract", ("contract", "agreement")), ("meeting_notes", ("meeting", "agenda")), ("log", ("error", "exception")))
 DATE = r"\b(\d{4}[-/]\d{2}[-/]\d{2}|\d{2}[-/]\d{2}[-/]\d{4})\b"
 
 
@@ -71,6 +78,29 @@ def analyze(text: Column) -> Column:
     return F.filter(tokens, lambda t: ~t.isin(STOP_WORDS))
 
 
+def n_words(text: Column) -> Column:
+    """How many tokens words_lower gives, counted without making them."""
+    return F.regexp_count(text, F.lit(r"\S+"))
+
+
+def n_analyzed(text: Column) -> Column:
+    """How many tokens analyze gives."""
+    stop = "|".join(STOP_WORDS)
+    return F.regexp_count(F.lower(text), F.lit(rf"(?<![\p{{L}}\p{{N}}_])(?!(?:{stop})(?![\p{{L}}\p{{N}}_]))[a-z0-9]{{2,}}+(?![\p{{L}}\p{{N}}_])"))
+
+
+def word_frequency(text: Column, term: str) -> Column:
+    """How often words_lower gives the term."""
+    return F.regexp_count(F.lower(text), F.lit(r"(?<!\S)" + re.escape(term) + r"(?!\S)"))
+
+
+def analyzed_frequency(text: Column, term: str) -> Column:
+    """How often analyze gives the term; never, if it gives no such token."""
+    if term in STOP_WORDS or not re.fullmatch(r"[a-z0-9]{2,}", term):
+        return F.lit(0)
+    return F.regexp_count(F.lower(text), F.lit(rf"(?<![\p{{L}}\p{{N}}_]){term}(?![\p{{L}}\p{{N}}_])"))
+
+
 def entropy(text: Column) -> Column:
     return F.least(F.lit(1.0), F.length(text) / F.lit(500.0))
 
@@ -97,7 +127,7 @@ def _word_counts(text: Column) -> Column:
 
 def quality(text: Column, confidence: Column, staleness: Column, verified: Column, verification: Column) -> Column:
     """struct(overall, specificity, flags)."""
-    numbers, dates = text.rlike(r"\d+\.?\d*"), text.rlike(r"\d{4}[-/]\d{2}[-/]\d{2}")
+    numbers, dates = text.rlike(NUMBER), text.rlike(QUALITY_DATE)
     base = F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence)) * 0.30 + F.greatest(F.lit(0.0), 1 - staleness) * 0.25 + F.when(verified, verification).otherwise(0.0) * 0.20
 
     def struct(c: Column) -> Column:
@@ -111,7 +141,7 @@ def quality(text: Column, confidence: Column, staleness: Column, verified: Colum
 
 
 def keyword_density(text: Column, confidence: Column, staleness: Column) -> Column:
-    digits = text.rlike(r"\p{Nd}")
+    digits = text.rlike(DIGIT)
 
     def score(c: Column) -> Column:
         spec = F.when(c["diversity"] > 0.5, 0.3).otherwise(0.0) + F.when(digits, 0.2).otherwise(0.0) + F.when(c["dated"], 0.2).otherwise(0.0) + F.when(c["n"] >= 10, 0.3).otherwise(0.0)
@@ -213,22 +243,25 @@ def entities(text: Column) -> Column:
     def found(pattern: str, group: int = 0) -> Column:
         return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
-    money = r"(\d+(?:\.\d+)?)\s?((?i)usd|eur|czk|gbp|\$|€|kč)"
-    amounts = F.zip_with(found(money, 1), found(money, 2), lambda a, c: F.struct(a.cast("double").alias("amount"), F.upper(c).alias("currency")))
-    dates = F.filter(found(r"\b\d{4}-\d{2}-\d{2}\b"), lambda d: F.try_to_date(d).isNotNull())
+    amounts = F.zip_with(found(MONEY, 1), found(MONEY, 2), lambda a, c: F.struct(a.cast("double").alias("amount"), F.upper(c).alias("currency")))
+    dates = F.filter(found(ISO_DATE), lambda d: F.try_to_date(d).isNotNull())
     return F.struct(
-        F.array_sort(F.array_distinct(found(r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"))).alias("emails"),
-        F.array_sort(F.array_distinct(found(r"https?://[^\s]+"))).alias("urls"),
-        F.array_sort(F.array_distinct(F.transform(found(r"\+?\d[\d\s\-]{7,}\d"), lambda p: F.trim(p)))).alias("phones"),
+        F.array_sort(F.array_distinct(found(EMAIL))).alias("emails"),
+        F.array_sort(F.array_distinct(found(URL))).alias("urls"),
+        F.array_sort(F.array_distinct(F.transform(found(PHONE), lambda p: F.trim(p)))).alias("phones"),
         F.array_sort(F.array_distinct(dates)).alias("dates"),
         amounts.alias("money"),
     )
 
 
 def schema_of(text: Column) -> Column:
-    t = F.lower(text)
+    t, kind = F.lower(text), None
+    for name, needles in KINDS_OF_DOCUMENT:
+        has = reduce(lambda a, b: a | b, (t.contains(x) for x in needles))
+        kind = F.when(has, name) if kind is None else kind.when(has, name)
+    return kind.otherwise("generic_text")
 
-    def has(*needles: str) -> Column:
-        return reduce(lambda a, b: a | b, (t.contains(x) for x in needles))
 
-    return F.when(has("invoice", "amount due", "iban"), "invoice").when(has("contract", "agreement"), "contract").when(has("meeting", "agenda"), "meeting_notes").when(has("error", "exception"), "log").otherwise("generic_text")
+def schema_of_chunks(text: Column, first: int = 5) -> Column:
+    """The kind of a document, from its first chunks joined by spaces."""
+    return schema_of(F.array_join(F.transform(F.slice(chunks(text), 1, first), lambda c: c["chunk"]), " "))

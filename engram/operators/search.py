@@ -2,12 +2,15 @@
 
 Query vectors, centroids and query terms are the only things that are broadcast; the functions
 take one query (or a bounded list of terms) and say so.  Batches of queries go through
-``batch_topk``, which compares blocks of queries with blocks of vectors.
+``batch_topk``, which broadcasts them in parts of a bounded size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
+from functools import partial
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +22,12 @@ from engram.functions import vectors as V
 from engram.session import ship_package
 
 
+#: Topics among which assign_topic chooses, at most.
+CENTROIDS = 1024
+#: Queries of at most this many bytes are broadcast together.
+BROADCAST_BYTES = 32 << 20
+
+
 def literal_vector(v: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(x)) for x in v])
 
@@ -37,44 +46,59 @@ def exact(vectors: DataFrame, query: Sequence[float], k: int, similarity: Callab
 def batch_topk(queries: DataFrame, vectors: DataFrame, k: int, block: int = 1024) -> DataFrame:
     """(query_id, vec_id, score, rank): the k vectors of largest cosine for each query but itself.
 
-    Queries and vectors are packed into blocks by a hash; a task multiplies two blocks and keeps
-    the k best of each query, so what is merged is k rows for a query and block, and neither side
-    is ever held whole.
+    Every batch of vectors is multiplied with a matrix of queries; a task keeps the k best of each
+    query among all its vectors, so what is merged is k rows for a query and task.  Queries are
+    broadcast in parts of at most BROADCAST_BYTES, with one pass over the vectors for each part.
     """
-    ship_package(vectors.sparkSession)
-
-    def packed(df: DataFrame, name: str) -> DataFrame:
-        blocks = max(1, -(-df.count() // block))
-        return df.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias(f"{name}_block")).agg(F.collect_list(F.struct("vec_id", "embedding")).alias(name))
-
-    q = packed(queries, "q")
-    v = packed(vectors, "v")
-    pairs = v.crossJoin(q).repartition(max(1, vectors.sparkSession.sparkContext.defaultParallelism), "v_block", "q_block")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def unit(rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-            ids = rows.field(0).to_numpy(zero_copy_only=False)
-            m = np.array(rows.field(1).to_pylist(), np.float64).reshape(len(ids), -1)
-            n = np.sqrt((m * m).sum(axis=1, keepdims=True))
-            return ids, np.where(n < V.EPS, 0.0, m / (n + V.EPS))
-
-        for batch in batches:
-            for i in range(batch.num_rows):
-                v_ids, v_m = unit(batch.column(1)[i].values)
-                q_ids, q_m = unit(batch.column(3)[i].values)
-                s = q_m @ v_m.T
-                s[q_ids[:, None] == v_ids[None, :]] = -2.0
-                n = min(k, s.shape[1])
-                best = np.lexsort((np.broadcast_to(v_ids, s.shape), -np.round(s, 9)), axis=1)[:, :n]
-                score = np.take_along_axis(s, best, axis=1)
-                keep = score.ravel() > -2.0
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, n)[keep]), pa.array(v_ids[best].ravel()[keep]), pa.array(score.ravel()[keep])], names=["query_id", "vec_id", "score"])
-
-    found = pairs.select("v_block", "v", "q_block", "q").mapInArrow(run, "query_id long, vec_id long, score double")
+    spark = vectors.sparkSession
+    ship_package(spark)
+    dim = queries.select(F.max(F.size("embedding"))).first()[0] or 0
+    rows = queries.select(F.col("vec_id").cast("long").alias("query_id"), "embedding")
+    n = rows.count()
+    fitting = max(1, BROADCAST_BYTES // max(1, 4 * dim + 16))
+    parts = max(1, -(-n // fitting))
+    found = None
+    for part in range(parts):
+        own = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
+        table = own.toArrow()
+        if not table.num_rows:
+            continue
+        matrix = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in table["embedding"].chunks]).reshape(-1, dim).astype(np.float32)
+        held = spark.sparkContext.broadcast((table["query_id"].to_numpy(), matrix))
+        best = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(partial(_best_of, held, dim, k, block), "query_id long, vec_id long, score double")
+        found = best if found is None else found.unionByName(best)
+    if found is None:
+        found = vectors.select(F.col("vec_id").cast("long").alias("query_id"), F.col("vec_id").cast("long").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _unit(m: np.ndarray) -> np.ndarray:
+    m = m.astype(np.float64)
+    n = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.where(n < V.EPS, 0.0, m / (n + V.EPS))
+
+
+def _best_of(held: Any, dim: int, k: int, block: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The k best of a task's vectors for each query, block by block."""
+    q_ids, matrix = held.value
+    q = _unit(matrix)
+    ids, scores = np.full((len(q), 0), 0, np.int64), np.zeros((len(q), 0))
+    for batch in batches:
+        for at in range(0, batch.num_rows, block):
+            part = batch.slice(at, block)
+            own = part.column(0).to_numpy()
+            v = _unit(part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
+            s = q @ v.T
+            s[q_ids[:, None] == own[None, :]] = -2.0
+            ids = np.concatenate([ids, np.broadcast_to(own, s.shape)], axis=1)
+            scores = np.concatenate([scores, s], axis=1)
+            order = np.lexsort((ids, -np.round(scores, 9)), axis=1)[:, :k]
+            ids, scores = np.take_along_axis(ids, order, axis=1), np.take_along_axis(scores, order, axis=1)
+    keep = scores.ravel() > -2.0
+    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, ids.shape[1])[keep]), pa.array(ids.ravel()[keep]), pa.array(scores.ravel()[keep])], names=["query_id", "vec_id", "score"])
+
+
 def centroids(vectors: DataFrame, topic: str = "topic") -> DataFrame:
     """(topic, pos, value): element-wise means, pre-aggregated before the shuffle."""
     return vectors.select(topic, F.posexplode(V.as_double("embedding")).alias("pos", "x")).groupBy(topic, "pos").agg(F.avg("x").alias("value"))
@@ -86,6 +110,20 @@ def centroid_vectors(vectors: DataFrame, topic: str = "topic") -> DataFrame:
     return listed.select(topic, F.transform("p", lambda p: p["value"]).alias("centroid"))
 
 
+def assign_topic(vectors: DataFrame, centroids_: DataFrame, topic: str = "topic", centroid: str = "centroid") -> DataFrame:
+    """vectors with ``assigned``: the topic of the largest inner product, ties to the first by name.
+
+    Centroids are collected up to CENTROIDS of them; a larger table is refused, as that is no
+    small set of topics any more.
+    """
+    listed = centroids_.select(F.col(topic).alias("t"), F.col(centroid).alias("c")).limit(CENTROIDS + 1).collect()
+    if len(listed) > CENTROIDS:
+        raise ValueError(f"more than {CENTROIDS} centroids")
+    e = V.as_double("embedding")
+    best = V.let(e, lambda v: F.array_min(F.array(*[F.struct((-F.round(V.dot(v, literal_vector(r["c"])), 9)).alias("d"), F.lit(r["t"]).alias("t")) for r in listed])))
+    return vectors.withColumn("assigned", best["t"] if listed else F.lit(None).cast("string"))
+
+
 def prefilter(vectors: DataFrame, query: Sequence[float], topics: int, similarity: Callable[[Column, Column], Column] = V.cosine) -> DataFrame:
     """(topic, score): the topics whose centroids are most similar to the query."""
     scored = centroid_vectors(vectors).select("topic", similarity(F.col("centroid"), literal_vector(query)).alias("score"))
@@ -108,37 +146,52 @@ def memory_query(chunks: DataFrame, query: Sequence[float], k: int = 5, topics:
     return topk(rows.withColumn("score", memory_score(V.cosine(V.as_double("embedding"), literal_vector(query)))), k)
 
 
-def tokens_of(docs: DataFrame, analyzer: Callable[[Column], Column]) -> DataFrame:
-    """(doc_id, tokens, len)."""
-    # a generator keeps the optimizer from copying the analyzer into every use of its result
-    tokens = docs.select("doc_id", F.explode(F.array(analyzer(F.coalesce("text", F.lit(""))))).alias("tokens"))
-    return tokens.withColumn("len", F.size("tokens"))
+@dataclass(frozen=True)
+class Analyzer:
+    """How a text becomes tokens: the tokens, their number, and how often a term is among them."""
+
+    tokens: Callable[[Column], Column]
+    length: Callable[[Column], Column]
+    frequency: Callable[[Column, str], Column]
+
+
+ANALYZED = Analyzer(X.analyze, X.n_analyzed, X.analyzed_frequency)
+SPACED = Analyzer(X.words_lower, X.n_words, X.word_frequency)
 
 
-def bm25(docs: DataFrame, query: Sequence[str], analyzer: Callable[[Column], Column] = X.analyze, k1: float = 1.5, b: float = 0.75, keep_zero: bool = False) -> DataFrame:
-    """(doc_id, score) for a query of a few terms, repeated terms counting repeatedly.
+def frequencies(docs: DataFrame, query: Sequence[str], analyzer: Analyzer = ANALYZED, key: str = "doc_id") -> DataFrame:
+    """(key, len, tf0, tf1 ...): the length of each document, and each distinct term's frequency.
 
-    A term's frequency in a document is counted within its row, so nothing is exploded; one pass
-    gives the statistics (a row) and another the scores.
+    The texts are read once and only numbers go on; they are kept, as statistics and scores both
+    need them.
     """
-    rows = tokens_of(docs, analyzer)
     terms = list(dict.fromkeys(query))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(key, analyzer.length(text).alias("len"), *(analyzer.frequency(text, t).alias(f"tf{i}") for i, t in enumerate(terms)))
+    return rows.persist()
 
-    def frequency(term: str) -> Column:
-        return F.size(F.filter("tokens", lambda t: t == F.lit(term)))
 
-    tf = [frequency(q) for q in terms]
-    rows = rows.select("doc_id", "len", *(c.alias(f"tf{i}") for i, c in enumerate(tf)))
+def bm25(docs: DataFrame, query: Sequence[str], analyzer: Analyzer = ANALYZED, k1: float = 1.5, b: float = 0.75, keep_zero: bool = False, key: str = "doc_id") -> DataFrame:
+    """(doc_id, score) for a query of a few terms, repeated terms counting repeatedly."""
+    terms = list(dict.fromkeys(query))
+    rows = frequencies(docs, query, analyzer, key)
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.greatest(F.lit(1.0), F.avg("len")).alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
     joined = rows.crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)
     for i, q in enumerate(terms):
         idf = F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5) + 1)
         score = score + query.count(q) * idf * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
-    scored = joined.select("doc_id", score.alias("score"))
+    scored = joined.select(key, score.alias("score"))
     return scored if keep_zero else scored.where(F.col("score") > 0)
 
 
+def index_statistics(docs: DataFrame, analyzer: Analyzer = ANALYZED) -> DataFrame:
+    """One row: documents, mean length, distinct terms."""
+    text = F.coalesce("text", F.lit(""))
+    sizes = docs.agg(F.count(F.lit(1)).alias("doc_count"), F.avg(analyzer.length(text)).alias("avg_doc_len"))
+    return sizes.crossJoin(F.broadcast(term_statistics(docs, analyzer.tokens).agg(F.count(F.lit(1)).alias("unique_terms"))))
+
+
 def term_statistics(docs: DataFrame, analyzer: Callable[[Column], Column] = X.analyze) -> DataFrame:
     """(term, df, idf) of a corpus."""
     n = F.broadcast(docs.agg(F.count(F.lit(1)).alias("n")))
@@ -200,21 +253,27 @@ def weighted_fusion(vector: DataFrame, keyword: DataFrame, meta: DataFrame, as_o
     return rows.select(key, *(c.alias(n) for n, c in parts.items()), total.alias("score"))
 
 
-def verify(results: DataFrame, chunks: DataFrame, query: Sequence[float], threshold: float = 0.6) -> DataFrame:
-    """results with cross_refs, agreement, verification and verified.
+def verify(results: DataFrame, chunks: DataFrame, query: Sequence[float], threshold: float = 0.6, least_refs: int = 2, verified_from: float = 0.7, key: str = "vec_id") -> DataFrame:
+    """results with cross_refs, agreement, contradicted, verification, verified and flags.
 
-    Chunks of other topics that resemble the query count; they are added up once a topic, and a
-    result gets the total less its own topic's.
+    ``results`` are the few rows of a top-k, with key, topic and text.  Chunks of other topics
+    that resemble the query count; they are added up once a topic, and a result gets the total
+    less its own topic's.  A result that a sibling of its topic contradicts lacks 0.2.
     """
     sim = V.cosine(V.as_double("embedding"), literal_vector(query))
     near = chunks.select("topic", sim.alias("s")).where(F.col("s") > threshold).groupBy("topic").agg(F.count(F.lit(1)).alias("own_n"), F.sum("s").alias("own_s"))
     total = F.broadcast(near.agg(F.coalesce(F.sum("own_n"), F.lit(0)).alias("all_n"), F.coalesce(F.sum("own_s"), F.lit(0.0)).alias("all_s")))
+    own = F.broadcast(results.select(F.col(key).alias("_key"), F.col("topic").alias("_topic"), X.contradiction_features(F.col("text")).alias("_own")))
+    siblings = chunks.select(key, "topic", X.contradiction_features(F.col("text")).alias("_f")).join(own, (F.col("topic") == F.col("_topic")) & (F.col(key) != F.col("_key")))
+    contradicted = siblings.where(X.contradicts(F.col("_f"), F.col("_own"))).select("_key").distinct().withColumn("contradicted", F.lit(True))
     rows = results.join(near, "topic", "left").crossJoin(total)
+    rows = rows.join(contradicted, rows[key] == contradicted["_key"], "left").drop("_key").withColumn("contradicted", F.coalesce("contradicted", F.lit(False)))
     refs = F.col("all_n") - F.coalesce("own_n", F.lit(0))
     agreement = F.coalesce(F.try_divide(F.col("all_s") - F.coalesce("own_s", F.lit(0.0)), refs), F.lit(0.0))
     rows = rows.withColumns({"cross_refs": refs, "agreement": F.when(refs > 0, agreement).otherwise(0.0)})
-    score = 0.5 * F.col("agreement") + 0.3 * F.least(F.lit(1.0), F.col("cross_refs") / 2) + 0.2
-    return rows.withColumn("verification", score).withColumn("verified", F.col("verification") >= 0.7).drop("own_n", "own_s", "all_n", "all_s")
+    score = 0.5 * F.col("agreement") + 0.3 * F.least(F.lit(1.0), F.col("cross_refs") / least_refs) + F.when(F.col("contradicted"), 0.0).otherwise(0.2)
+    flags = F.array_compact(F.array(F.when(F.col("cross_refs") == 0, "no_cross_refs"), F.when(F.col("contradicted"), "contradiction_detected"), F.when(F.col("agreement") < 0.5, "low_agreement")))
+    return rows.withColumns({"verification": score, "flags": flags}).withColumn("verified", F.col("verification") >= verified_from).drop("own_n", "own_s", "all_n", "all_s")
 
 
 def kmeans_lists(vectors: DataFrame, lists: int, sample: int = 4096, rounds: int = 20, seed: int = 42) -> np.ndarray:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from engram.functions import text as X
 from engram.functions import vectors as V
 from engram.operators import filters, maintain, metrics, search
+from engram.session import spread
 from engram.sources import store
 from engram.streaming import events as E
 
@@ -37,7 +38,9 @@ def as_of() -> Column:
 
 
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A table; those whose rows make much work in as many tasks as there are cores."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df) if name in ("documents", "embeddings", "conversations", "pages") else df
 
 
 def r6(c: Column | str) -> Column:
@@ -69,7 +72,7 @@ def texts(spark: SparkSession, sf: str) -> DataFrame:
 
 def vector_of(spark: SparkSession, sf: str, vec_id: int = 0) -> list[float]:
     """One query vector, a row."""
-    return list(read(spark, sf, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()[0])
+    return list(spark.read.parquet(f"{sf}/embeddings.parquet").where(F.col("vec_id") == vec_id).select("embedding").first()[0])
 
 
 META = """(30+(i*37)%70)/1e2 AS confidence, ((i*13)%100)/1e2 AS staleness, ((i*7)%100)/1e2 AS quality, i%3=0 AS verified,
@@ -126,12 +129,10 @@ def topic_prefilter(spark, sf):
     return search.prefilter(vectors(spark, sf), vector_of(spark, sf), 3).select("topic", r6("score").alias("score"))
 
 
-@query(f"WITH {VEC}, {CENT} SELECT vec_id, arg_max(c.topic, round(list_dot_product(e, c), 9) * 1000000 - ascii(c.topic[2])) AS assigned FROM v, c GROUP BY vec_id")
+@query(f"WITH {VEC}, {CENT} SELECT vec_id, assigned FROM (SELECT vec_id, c.topic AS assigned, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_dot_product(e, c), 9) DESC, c.topic) AS r FROM v, c) WHERE r = 1")
 def assign_topic(spark, sf):
     v = vectors(spark, sf)
-    c = F.broadcast(search.centroid_vectors(v).withColumnRenamed("topic", "c_topic"))  # a row a label
-    rows = v.crossJoin(c).withColumn("s", F.round(V.dot(V.as_double("embedding"), F.col("centroid")), 9) * 1000000 - F.ascii(F.substring("c_topic", 2, 1)))
-    return rows.groupBy("vec_id").agg(F.max_by("c_topic", "s").alias("assigned"))
+    return search.assign_topic(v, search.centroid_vectors(v)).select("vec_id", "assigned")
 
 
 SCORED = f"({cos('e', 'qe')})*(0.5+confidence)*(1-0.5*staleness)*(0.5+0.5*quality)"
@@ -157,19 +158,37 @@ def recall_topic(spark, sf):
     return search.exact(vectors(spark, sf).where(F.col("topic") == "t3"), vector_of(spark, sf), 10).select("vec_id", r6("score").alias("score"))
 
 
+def memories(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors with the texts of the documents of the same numbers."""
+    return vectors(spark, sf).join(read(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text", "source", "lang"), "vec_id")
+
+
 def _verified(spark, sf, k=10):
-    v, q = vectors(spark, sf), vector_of(spark, sf)
-    return search.verify(search.exact(v, q, k), v, q, 0.1)
+    m, q = memories(spark, sf), vector_of(spark, sf)
+    return search.verify(search.exact(m, q, k).select("vec_id", "topic", "text", "score"), m, q, 0.1)
 
 
-VERIFY = f"""WITH {VEC}, {Q0}, s AS (SELECT vec_id, topic, {cos("e", "qe")} AS s FROM v, q), r AS (SELECT * FROM s ORDER BY s DESC, vec_id LIMIT 10),
- x AS (SELECT r.vec_id, r.s AS score, count(o.s) AS cross_refs, coalesce(avg(o.s), 0) AS agreement FROM r LEFT JOIN s o ON o.topic <> r.topic AND o.s > 0.1 GROUP BY r.vec_id, r.s),
- y AS (SELECT *, 0.5*agreement + 0.3*least(1.0, cross_refs/2) + 0.2 AS verification FROM x)"""
+def _neg(names: list[str]) -> str:
+    return "(" + " OR ".join("contains(t, '" + w.replace("'", "''") + "')" for w in names) + ")"
+
+
+#: Columns of contradiction features of a lower-cased text t, and the test of two rows a and b.
+FEATURES = f"""{_neg(X.NEGATIONS)} AS neg, {_neg(X.NEGATIONS_SHORT)} AS negs, list_transform(regexp_extract_all(t, '\\b\\d+\\.?\\d*\\b'), lambda x: x::DOUBLE) AS nums,
+ list_distinct(list_filter(regexp_split_to_array(t, '\\s+'), lambda x: length(x) > 3)) AS w, list_sort(list_distinct(regexp_extract_all(t, '{X.DATE}', 1))) AS dates"""
+CONTRADICTS = """(len(list_filter(a.nums, lambda x: len(list_filter(b.nums, lambda y: abs(x-y)/(greatest(x, y)+1e-9) > 0.1)) > 0)) > 0
+ OR (a.neg <> b.neg AND len(list_intersect(a.w, b.w)) >= 3) OR (len(a.dates) > 0 AND len(b.dates) > 0 AND a.dates <> b.dates AND len(list_intersect(a.w, b.w)) >= 2))"""
 
+VERIFY = f"""WITH {VEC}, {Q0}, s AS (SELECT vec_id, topic, lower(text) AS t, {cos("e", "qe")} AS s FROM v JOIN documents ON doc_id = vec_id, q), f AS (SELECT vec_id, topic, s, {FEATURES} FROM s),
+ r AS (SELECT * FROM f ORDER BY s DESC, vec_id LIMIT 10),
+ k AS (SELECT b.vec_id, count(a.vec_id) > 0 AS contradicted FROM r b LEFT JOIN f a ON a.topic = b.topic AND a.vec_id <> b.vec_id AND {CONTRADICTS} GROUP BY b.vec_id),
+ x AS (SELECT r.vec_id, r.s AS score, contradicted, count(o.s) AS cross_refs, coalesce(avg(o.s), 0) AS agreement FROM r JOIN k USING (vec_id) LEFT JOIN s o ON o.topic <> r.topic AND o.s > 0.1 GROUP BY r.vec_id, r.s, contradicted),
+ y AS (SELECT *, 0.5*agreement + 0.3*least(1.0, cross_refs/2) + CASE WHEN contradicted THEN 0 ELSE 0.2 END AS verification FROM x)"""
 
-@query(VERIFY + " SELECT vec_id, cross_refs, round(agreement, 6) AS agreement, round(verification, 6) AS verification, verification >= 0.7 AS verified FROM y")
+
+@query(VERIFY + """ SELECT vec_id, cross_refs, round(agreement, 6) AS agreement, round(verification, 6) AS verification, verification >= 0.7 AS verified,
+ concat_ws(',', CASE WHEN cross_refs = 0 THEN 'no_cross_refs' END, CASE WHEN contradicted THEN 'contradiction_detected' END, CASE WHEN agreement < 0.5 THEN 'low_agreement' END) AS flags FROM y""")
 def verify_results(spark, sf):
-    return _verified(spark, sf).select("vec_id", "cross_refs", r6("agreement").alias("agreement"), r6("verification").alias("verification"), "verified")
+    return _verified(spark, sf).select("vec_id", "cross_refs", r6("agreement").alias("agreement"), r6("verification").alias("verification"), "verified", F.array_join("flags", ",").alias("flags"))
 
 
 @query(VERIFY + " SELECT vec_id, round(score*(0.5+0.5*verification), 6) AS score FROM y")
@@ -287,7 +306,7 @@ def _bm25_sql(tokens: str, terms: list[str]) -> str:
 
 @query(f"WITH {_bm25_sql(SPACED, TERMS)} SELECT doc_id, round(score, 6) AS score FROM bm")
 def bm25_ws(spark, sf):
-    return search.bm25(read(spark, sf, "documents"), TERMS, X.words_lower, keep_zero=True).select("doc_id", r6("score").alias("score"))
+    return search.bm25(read(spark, sf, "documents"), TERMS, search.SPACED, keep_zero=True).select("doc_id", r6("score").alias("score"))
 
 
 @query(f"WITH {_bm25_sql(ANALYZED, TERMS)} SELECT doc_id, round(score, 6) AS score FROM bm WHERE score > 0")
@@ -305,9 +324,7 @@ def bm25_terms(spark, sf):
 
 @query(f"WITH {ANALYZED} SELECT count(*) AS doc_count, round(avg(len(tokens)), 6) AS avg_doc_len, (SELECT count(DISTINCT x) FROM (SELECT unnest(tokens) AS x FROM t)) AS unique_terms FROM t")
 def bm25_stats(spark, sf):
-    docs = read(spark, sf, "documents")
-    sizes = search.tokens_of(docs, X.analyze).agg(F.count(F.lit(1)).alias("doc_count"), r6(F.avg("len")).alias("avg_doc_len"))
-    return sizes.crossJoin(search.term_statistics(docs).agg(F.count(F.lit(1)).alias("unique_terms")))
+    return search.index_statistics(read(spark, sf, "documents")).select("doc_count", r6("avg_doc_len").alias("avg_doc_len"), "unique_terms")
 
 
 FUSE = f"""WITH {_bm25_sql(ANALYZED, TERMS)}, {VEC}, {Q0}, kw AS (SELECT doc_id, score FROM bm WHERE score > 0),
@@ -447,15 +464,8 @@ def _turns(spark, sf):
     return rows.withColumns({"confidence": F.lit(0.9), "staleness": F.lit(0.1)})
 
 
-def _neg(names: list[str]) -> str:
-    return "(" + " OR ".join("contains(t, '" + w.replace("'", "''") + "')" for w in names) + ")"
-
-
-PAIRS = f"""f AS (SELECT 'c'||conv_id AS topic, turn AS seq, t, {_neg(X.NEGATIONS)} AS neg, list_transform(regexp_extract_all(t, '\\b\\d+\\.?\\d*\\b'), lambda x: x::DOUBLE) AS nums,
- list_distinct(list_filter(regexp_split_to_array(t, '\\s+'), lambda x: length(x) > 3)) AS w, list_sort(list_distinct(regexp_extract_all(t, '{X.DATE}', 1))) AS dates FROM (SELECT *, lower(text) AS t FROM conversations)),
- p AS (SELECT a.topic, a.seq AS older, b.seq AS newer FROM f a JOIN f b ON a.topic = b.topic AND a.seq < b.seq WHERE
- len(list_filter(a.nums, lambda x: len(list_filter(b.nums, lambda y: abs(x-y)/(greatest(x, y)+1e-9) > 0.1)) > 0)) > 0
- OR (a.neg <> b.neg AND len(list_intersect(a.w, b.w)) >= 3) OR (len(a.dates) > 0 AND len(b.dates) > 0 AND a.dates <> b.dates AND len(list_intersect(a.w, b.w)) >= 2))"""
+PAIRS = f"""f AS (SELECT 'c'||conv_id AS topic, turn AS seq, {FEATURES} FROM (SELECT *, lower(text) AS t FROM conversations)),
+ p AS (SELECT a.topic, a.seq AS older, b.seq AS newer FROM f a JOIN f b ON a.topic = b.topic AND a.seq < b.seq WHERE {CONTRADICTS})"""
 
 
 @query(f"WITH {PAIRS} SELECT * FROM p")

@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = Path(__file__).resolve().parent
 
@@ -39,3 +39,13 @@ def ship_package(spark: SparkSession) -> None:
             z.write(path, path.relative_to(_ROOT.parent).as_posix())
     context.addPyFile(str(target))
     context._engram_shipped = True  # type: ignore[attr-defined]
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, if its files give fewer splits than that.
+
+    A small table is one split, and so one task, however much work a row makes.  A table with as
+    many splits as cores is left as it is, so that a large one is never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
