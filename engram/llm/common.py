@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -15,6 +16,10 @@ from engram.session import ship_package
 
 #: The columns of ``documents``.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Bytes of a batch of rows that goes to Python or comes back from there.
+ARROW_BYTES = 4 << 20
+
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,14 +47,71 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{scratch_dir(df.sparkSession)}/engram-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN[written] = path
+    return written
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that materialise wrote and that no plan reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop(df))
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Has the session cut Arrow batches by bytes, as 10,000 long rows are more than a worker should hold."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(key, str(ARROW_BYTES))
 
 
 def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     ship_package(df.sparkSession)
+    bound_batches(df.sparkSession)
     return df.mapInArrow(function, schema)
 
 
+def schema_of(df: DataFrame, columns: Sequence[str]) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in columns)
+
+
+def free_name(df: DataFrame, hint: str) -> str:
+    """A column name that df doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while hint.lower() in taken:
+        hint += "_"
+    return hint
+
+
+def with_results(df: DataFrame, function: Callable[[pa.Array], list[list]], text: Column, schema: pa.Schema, limit: int) -> DataFrame:
+    """df with the columns of schema, which replace those of these names.
+
+    ``function`` gets pieces of the text column of at most ``limit`` bytes (or one text) and
+    returns a list for each new column.  Only the texts go to Python and only the results come
+    back; the rows wait in the JVM, which spills them.
+    """
+    ship_package(df.sparkSession)
+    bound_batches(df.sparkSession)
+
+    @F.arrow_udf(", ".join(f"{f.name} {_SQL_TYPES[f.type]}" for f in schema))
+    def results(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            found = []
+            for piece in pieces(iter([pa.RecordBatch.from_arrays([batch], names=["text"])]), "text", limit):
+                columns = function(piece.column(0))
+                found.append(pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], fields=list(schema)))
+            yield pa.concat_arrays(found) if found else pa.array([], pa.struct(list(schema)))
+
+    into = free_name(df, "_results")
+    kept = [c for c in df.columns if c not in schema.names]
+    # as if it were not deterministic, so that no filter on its results has it run twice
+    rows = df.select(*[df[c] for c in kept], results.asNondeterministic()(text).alias(into))
+    return rows.select(*kept, *(F.col(into)[name].alias(name) for name in schema.names))
+
+
+_SQL_TYPES = {pa.string(): "string", pa.float64(): "double", pa.int64(): "long", pa.list_(pa.int64()): "array<long>", pa.list_(pa.string()): "array<string>"}
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column; null counts as empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]

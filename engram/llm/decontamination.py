@@ -13,15 +13,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.llm import words as W
-from engram.llm.common import map_arrow, pieces, table, utf8
+from engram.llm.common import map_arrow, schema_of, table, utf8, with_results
 
 WINDOW = 10
 #: Bytes of text in a shard, and of benchmark texts that are searched in one pass.
-SHARD_BYTES, BENCHMARK_BYTES = 1 << 22, 1 << 24
+SHARD_BYTES, BENCHMARK_BYTES = 1 << 22, 1 << 22
 #: Every suffix position that this divides is kept.
 SAMPLE = 16
 
@@ -131,22 +132,32 @@ class Windows:
     vocabulary: np.ndarray  # sorted hashes of its words; the symbol of the i-th is i + 2
     patterns: np.ndarray  # (windows, WINDOW) symbols, filled from the right
     lengths: np.ndarray
-    items: list[list[str]]  # the items of each window
+    owners: np.ndarray  # the windows' items, one window after the other
+    bounds: np.ndarray  # items of window i are owners[bounds[i] : bounds[i + 1]]
+    names: list[str]
 
     @classmethod
     def of(cls, rows: list[tuple[object, str | None]], size: int = WINDOW) -> Windows:
-        found: dict[tuple[int, ...], set[str]] = {}
-        for item, text in rows:
-            h = W.words((text or "").encode(), W.ALNUM)[0].tolist()
-            for i in range(max(1, len(h) - size + 1) if h else 0):
-                owners = found.setdefault(tuple(h[i : i + size]), set())
-                if item is not None:
-                    owners.add(str(item))
-        vocabulary = np.unique(np.array([x for w in found for x in w], np.uint64))
-        patterns = np.zeros((len(found), size), np.int64)
-        for k, w in enumerate(found):
-            patterns[k, size - len(w) :] = np.searchsorted(vocabulary, np.array(w, np.uint64)) + 2
-        return cls(vocabulary, patterns, np.array([len(w) for w in found], np.int64), [sorted(o) for o in found.values()])
+        """Null items have windows, but no name."""
+        names = sorted({str(item) for item, _ in rows if item is not None})
+        number = {name: i for i, name in enumerate(names)}
+        hashes = [W.words((text or "").encode(), W.ALNUM)[0] for _, text in rows]
+        vocabulary = np.unique(np.concatenate([np.empty(0, np.uint64), *hashes]))
+        parts, of = [np.empty((0, size), np.int32)], [np.empty(0, np.int64)]
+        for (item, _), h in zip(rows, hashes, strict=True):
+            if len(h):
+                symbols = np.zeros(max(len(h), size), np.int32)
+                symbols[-len(h) :] = np.searchsorted(vocabulary, h) + 2
+                parts.append(sliding_window_view(symbols, size))
+                of.append(np.full(len(parts[-1]), -1 if item is None else number[str(item)]))
+        patterns, which = np.unique(np.concatenate(parts), axis=0, return_inverse=True)
+        pairs = np.unique(np.stack([which.ravel(), np.concatenate(of)], axis=1), axis=0)
+        pairs = pairs[pairs[:, 1] >= 0]
+        bounds = np.searchsorted(pairs[:, 0], np.arange(len(patterns) + 1))
+        return cls(vocabulary, patterns, (patterns > 0).sum(axis=1), pairs[:, 1], bounds, names)
+
+    def items(self, window: int) -> list[str]:
+        return [self.names[i] for i in self.owners[self.bounds[window] : self.bounds[window + 1]]]
 
 
 def shard_hits(texts: list[bytes], windows: Windows) -> list[tuple[int, list[int], set[str], np.ndarray, np.ndarray]]:
@@ -184,7 +195,7 @@ def shard_hits(texts: list[bytes], windows: Windows) -> list[tuple[int, list[int
             word = owner[index.locate(rows)]
             document = np.searchsorted(begin, word, "right") - 1
             for pair in np.unique(document * len(n) + which).tolist():
-                items[pair // len(n)].update(windows.items[pair % len(n)])
+                items[pair // len(n)].update(windows.items(pair % len(n)))
             cover = np.zeros(len(h) + 1, np.int64)
             np.add.at(cover, word, 1)
             np.add.at(cover, word + windows.lengths[which], -1)
@@ -206,42 +217,38 @@ def merge_spans(spans: list[int], more: list[int]) -> list[int]:
     return out
 
 
-def _pass(rows: DataFrame, windows: Windows, kept: list[str], schema: str) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "_text", SHARD_BYTES):
-            n_words, spans, items = [], [], []
-            column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            found = shard_hits(utf8(column["_text"]), windows)
-            for (n, own, its, _, _), old_spans, old_items in zip(found, column["hit_spans"].to_pylist(), column["hit_items"].to_pylist(), strict=True):
-                n_words.append(n)
-                spans.append(merge_spans(old_spans, own))
-                items.append(sorted({*old_items, *its}))
-            new = [pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*(column[c] for c in kept), column["_text"], *new], names=[*kept, "_text", "n_words", "hit_spans", "hit_items"])
-
-    return map_arrow(rows, run, schema)
-
-
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with n_words, hit_spans and hit_items; columns of these names are replaced.
-
-    hit_spans is a flat array of half-open word spans in order; hit_items has the ids (as strings,
-    sorted) of the items with a window in the text.  A null or empty text has no words and no
-    hits, and neither has an item without words; an item with a null id marks hits but is not
-    listed; repeated items count once, repeated documents each for themselves.  A benchmark of
-    more than BENCHMARK_BYTES is searched part by part, so that no pass holds more than that.
+    """docs with n_words, hit_spans, hit_items and clean_bytes; columns of these names are replaced.
+
+    hit_spans is a flat array of half-open word spans in order, merged; hit_items has the ids (as
+    strings, sorted) of the items with a window in the text; clean_bytes is the size of the text
+    with the spans removed.  A null or empty text has no words and no hits, and neither has an item
+    without words; an item with a null id marks hits but is not listed; repeated items count once,
+    repeated documents each for themselves.  A benchmark of more than BENCHMARK_BYTES comes in
+    parts, one after the other, each held by a broadcast of its own.
     """
     benchmark = benchmark.select("item_id", "text")
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     parts = max(1, -(-size // BENCHMARK_BYTES))
-    kept = [c for c in docs.columns if c not in ("n_words", "hit_spans", "hit_items")]
-    rows = docs.select(*[docs[c] for c in kept], docs["text"].alias("_text"))
-    rows = rows.withColumns({"n_words": F.lit(0).cast("long"), "hit_spans": F.array().cast("array<bigint>"), "hit_items": F.array().cast("array<string>")})
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    windows = []
     for i in range(parts):
         part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i) if parts > 1 else benchmark
-        rows = _pass(rows, Windows.of([(r[0], r[1]) for r in part.distinct().collect()], window), kept, schema)
-    return rows.drop("_text")
+        windows.append(benchmark.sparkSession.sparkContext.broadcast(Windows.of([(r[0], r[1]) for r in part.distinct().collect()], window)))
+
+    def run(column: pa.Array) -> list[list]:
+        texts = utf8(column)
+        n_words, spans, items, clean = [0] * len(texts), [[] for _ in texts], [set() for _ in texts], [len(t) for t in texts]
+        for part in windows:
+            for i, (n, own, its, starts, ends) in enumerate(shard_hits(texts, part.value)):
+                n_words[i] = n
+                if own:
+                    spans[i] = merge_spans(spans[i], own)
+                    items[i] |= its
+                    clean[i] = len(texts[i]) - sum(int(ends[b - 1] - starts[a]) for a, b in zip(spans[i][::2], spans[i][1::2], strict=True))
+        return [n_words, spans, [sorted(x) for x in items], clean]
+
+    schema = pa.schema([("n_words", pa.int64()), ("hit_spans", pa.list_(pa.int64())), ("hit_items", pa.list_(pa.string())), ("clean_bytes", pa.int64())])
+    return with_results(docs, run, docs["text"], schema, SHARD_BYTES)
 
 
 def cut_spans(text: str, spans: list[int]) -> str:
@@ -265,7 +272,7 @@ def remove_contamination(found: DataFrame) -> DataFrame:
             texts = [cut_spans(t, s) if t and s else t for t, s in zip(batch.column(at).to_pylist(), spans, strict=True)]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    return map_arrow(found, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema))
+    return map_arrow(found, run, schema_of(found, found.columns))
 
 
 def op1_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,5 +280,5 @@ def op1_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(docs, table(spark, sf_dir, "benchmark"))
     # end - (start - (end - ...)): the spans' lengths, added up
     n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda total, x: x - total)
-    found = found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"), F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"))
+    found = found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"), F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), "clean_bytes")
     return found.withColumn("contaminated", F.col("n_hit") > 0)

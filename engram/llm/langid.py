@@ -8,6 +8,7 @@ of that family.  The machines are trained on a bounded sample of labelled rows (
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
@@ -18,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from engram.llm.common import map_arrow, pieces, table
+from engram.llm.common import map_arrow, table, with_results
 
 ROWS, ROWS_A_LANGUAGE = 12_000, 500
 BUCKETS = 1 << 13
 #: Characters of a text that are looked at together.
-PIECE = 1 << 19
+PIECE = 1 << 17
 BATCH_BYTES = 1 << 21
 UNDETERMINED = "und"
 
@@ -46,7 +47,7 @@ def family(lang: str) -> str:
 
 @lru_cache(1)
 def _letters() -> np.ndarray:
-    return np.array([chr(i).isalpha() for i in range(1 << 16)])
+    return np.array([chr(i).isalpha() for i in range(sys.maxunicode + 1)])
 
 
 def gram_counts(text: str) -> np.ndarray | None:
@@ -58,7 +59,7 @@ def gram_counts(text: str) -> np.ndarray | None:
     for at in range(0, len(text), PIECE):
         # surrogates can't be encoded; they are no letters anyway
         points = np.frombuffer(text[max(0, at - 2) : at + PIECE].lower().encode("utf-32-le", "replace"), np.uint32)
-        letter = np.where(points < (1 << 16), is_letter[np.minimum(points, (1 << 16) - 1)], points >= (1 << 17))
+        letter = is_letter[points]
         if not letter.any():
             continue
         found = True
@@ -72,9 +73,7 @@ def gram_counts(text: str) -> np.ndarray | None:
                 h = (h * np.uint64(0x9E3779B97F4A7C15)) + c[i : len(c) - n + 1 + i]
             h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
             counts += np.bincount((h >> shift).astype(np.int64), minlength=BUCKETS)
-    if not found and not any(ch.isalpha() for ch in text):
-        return None
-    return counts
+    return counts if found else None
 
 
 def features(counts: np.ndarray) -> np.ndarray:
@@ -82,25 +81,27 @@ def features(counts: np.ndarray) -> np.ndarray:
     return np.sqrt(counts / max(1, counts.sum())).astype(np.float32)
 
 
-def train_svm(x: np.ndarray, y: np.ndarray, cost: float = 4.0, epochs: int = 30, seed: int = 0) -> np.ndarray:
-    """Weights (the last is the bias) of an L2-loss linear machine for labels -1 and 1, by dual coordinate descent."""
-    x = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
+def train_svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, cost: float = 4.0, epochs: int = 30, seed: int = 0) -> np.ndarray:
+    """Weights (the last is the bias) of an L2-loss linear machine for labels -1 and 1 of some rows of x, by dual coordinate descent."""
     balance = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum())))
     damping = 1 / (2 * cost * balance)
-    norms = (x * x).sum(axis=1) + damping
-    w, alpha, random = np.zeros(x.shape[1], np.float32), np.zeros(len(y)), np.random.default_rng(seed)
+    norms = np.einsum("ij,ij->i", x, x)[rows] + 1 + damping
+    w, bias, alpha, random = np.zeros(x.shape[1], np.float32), 0.0, np.zeros(len(y)), np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
         for i in random.permutation(len(y)):
-            gradient = y[i] * float(w @ x[i]) - 1 + damping[i] * alpha[i]
+            own = x[rows[i]]
+            gradient = y[i] * (float(w @ own) + bias) - 1 + damping[i] * alpha[i]
             new = max(0.0, alpha[i] - gradient / norms[i])
             if new != alpha[i]:
                 moved = max(moved, abs(new - alpha[i]))
-                w += np.float32((new - alpha[i]) * y[i]) * x[i]
+                step = (new - alpha[i]) * y[i]
+                w += np.float32(step) * own
+                bias += step
                 alpha[i] = new
         if moved < 1e-3:
             break
-    return w
+    return np.append(w, np.float32(bias))
 
 
 @dataclass
@@ -111,13 +112,14 @@ class OneVersusOne:
     weights: np.ndarray  # (pairs, BUCKETS + 1); positive for the pair's first class
 
     @classmethod
-    def train(cls, x: np.ndarray, labels: Sequence[str]) -> OneVersusOne:
+    def train(cls, x: np.ndarray, rows: np.ndarray, labels: Sequence[str]) -> OneVersusOne:
+        """``labels`` are those of the ``rows`` of x."""
         classes, of = sorted(set(labels)), np.array(labels)
-        rows = []
+        weights = []
         for a, b in combinations(classes, 2):
             mine = (of == a) | (of == b)
-            rows.append(train_svm(x[mine], np.where(of[mine] == a, 1.0, -1.0)))
-        return cls(classes, np.array(rows, np.float32).reshape(-1, BUCKETS + 1))
+            weights.append(train_svm(x, rows[mine], np.where(of[mine] == a, 1.0, -1.0)))
+        return cls(classes, np.array(weights, np.float32).reshape(-1, BUCKETS + 1))
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         """(n, classes) scores from 0 to 1."""
@@ -141,8 +143,8 @@ class LanguageModel:
         if not len(langs):
             return cls(None, {})
         names = np.array([family(lang) for lang in langs])
-        members = {f: OneVersusOne.train(x[names == f], [lang for lang, n in zip(langs, names, strict=True) if n == f]) for f in sorted(set(names))}
-        return cls(OneVersusOne.train(x, list(names)), members)
+        members = {f: OneVersusOne.train(x, np.flatnonzero(names == f), [lang for lang, n in zip(langs, names, strict=True) if n == f]) for f in sorted(set(names))}
+        return cls(OneVersusOne.train(x, np.arange(len(x)), list(names)), members)
 
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
         """Languages and scores; without labels to learn from, all are undetermined."""
@@ -216,25 +218,19 @@ def identify(docs: DataFrame, model: LanguageModel, text_column: str = "text") -
     A null text, or one without letters, is ``und`` with score 0.  Equal texts get equal answers;
     every row is kept; an empty table gives an empty table.
     """
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "_text", BATCH_BYTES):
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            counts = [gram_counts(t) if t else None for t in texts]
-            known = [i for i, c in enumerate(counts) if c is not None]
-            langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
-            for at in range(0, len(known), 256):
-                part = known[at : at + 256]
-                found, score = model.predict(np.array([features(counts[i]) for i in part]))
-                for i, lang, s in zip(part, found, score, strict=True):
+    def run(column: pa.Array) -> list[list]:
+        texts = column.to_pylist()
+        langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
+        for at in range(0, len(texts), 256):
+            counts = [(i, c) for i, t in enumerate(texts[at : at + 256], at) if t and (c := gram_counts(t)) is not None]
+            if counts:
+                found, score = model.predict(np.array([features(c) for _, c in counts]))
+                for (i, _), lang, s in zip(counts, found, score, strict=True):
                     langs[i], scores[i] = lang, float(min(1.0, max(0.0, s)))
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*kept, "lang_pred", "score"])
+        return [langs, scores]
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept)
-    rows = docs.select(*[docs[c] for c in kept], docs[text_column].alias("_text"))
-    return map_arrow(rows, run, f"{schema}, lang_pred string, score double")
+    return with_results(docs, run, docs[text_column], pa.schema([("lang_pred", pa.string()), ("score", pa.float64())]), BATCH_BYTES)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
