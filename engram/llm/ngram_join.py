@@ -6,18 +6,19 @@ node; nodes with equal prefixes and sizes are one group; groups that share a pre
 filtered by size and position, expanded to their members, filtered by bit maps, and verified on
 their whole sets.
 
-A bucket of a prefix element is never expanded into all pairs.  First every group is held against
-one leader of each of its buckets only, and every member against its group's first.  What these
-links connect need not be compared again: only pairs from different components remain, and a
-bucket of one component is done.  Leaders differ from bucket to bucket, so that a large group of
-near copies, which share many buckets, is connected by few comparisons of each.
+First every group is held against one leader of each of its buckets only, and every member against
+its group's first.  What these links connect need not be compared again: only members of different
+components remain, and a bucket of one component is done.  Leaders differ from bucket to bucket, so
+that a large group of near copies, which share many buckets, is connected by few comparisons of
+each.  A bucket of several components is compared member by member, a large one dealt out by bands
+of sizes; of these pairs only those leave the join that sizes, places and maps let pass.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from functools import reduce
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +26,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.llm import words as W
-from engram.llm.common import map_arrow, materialise, pieces, table, utf8
+from engram.llm.common import discard, map_arrow, materialise, pieces, table, utf8
 from engram.llm.components import components
 
 #: Elements are counted by the first COUNT_BITS bits of their hashes; a bit map has MAP_BITS bits.
 #: A set of more than MAP_BITS elements has a wide one too, of at least as many bits as elements.
-COUNT_BITS, MAP_BITS = 18, 1024
-COARSE = 8
+#: COARSE_BITS of them are tried before.
+COUNT_BITS, MAP_BITS, COARSE_BITS = 18, 1024, 512
 BATCH_BYTES = 1 << 21
 #: A task that verifies pairs keeps sets of about this many bytes at hand.
 SETS_BYTES = 32 << 20
+#: Members of a bucket of several components beyond which it is dealt out by sizes.
+HOT = 256
 #: A table of at most this many bytes may be broadcast.
 BROADCAST_BYTES = 32 << 20
 
@@ -86,7 +89,7 @@ def wide_map(elements: np.ndarray) -> np.ndarray | None:
 
 
 def describe(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(doc_id, node, size, prefix, bits, wide) for every row; node is the MD5 of the text.
+    """(doc_id, node, size, prefix, coarse, bits, wide) for every row; node is the MD5 of the text.
 
     A text that the same task has seen has no prefix and no maps again.
     """
@@ -99,6 +102,7 @@ def describe(docs: DataFrame, n: int, percent: int) -> DataFrame:
             nodes = [hashlib.md5(t, usedforsecurity=False).digest() for t in texts]
             fresh = [i for i, x in enumerate(nodes) if x not in seen and not seen.update({x: -1})]
             prefixes: list = [None] * len(texts)
+            coarse: list = [None] * len(texts)
             maps: list = [None] * len(texts)
             wide: list = [None] * len(texts)
             for i, elements in zip(fresh, _sets([texts[i] for i in fresh], n), strict=True):
@@ -106,14 +110,14 @@ def describe(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 if len(elements):
                     rank = ranks.value[(elements >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
                     order = np.lexsort((elements, rank))[: prefix_length(len(elements), percent)]
-                    prefixes[i], maps[i], wide[i] = elements[order].view(np.int64), bit_map(elements), wide_map(elements)
+                    prefixes[i], coarse[i], maps[i], wide[i] = elements[order].view(np.int64), bit_map(elements, COARSE_BITS), bit_map(elements), wide_map(elements)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(nodes, pa.binary()), pa.array([seen[x] for x in nodes], pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(maps, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64()))],
-                names=["doc_id", "node", "size", "prefix", "bits", "wide"],
+                [batch.column(0), pa.array(nodes, pa.binary()), pa.array([seen[x] for x in nodes], pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (prefixes, coarse, maps, wide))],
+                names=["doc_id", "node", "size", "prefix", "coarse", "bits", "wide"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, node binary, size long, prefix array<bigint>, bits array<bigint>, wide array<bigint>")
+    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, node binary, size long, prefix array<bigint>, coarse array<bigint>, bits array<bigint>, wide array<bigint>")
 
 
 def _fits(size_a: Column, size_b: Column, percent: int) -> Column:
@@ -137,8 +141,9 @@ def _near(differ: Column, size_a: Column, size_b: Column, percent: int) -> Colum
     return ((size_a + size_b) - differ) * (100 + percent) >= (size_a + size_b) * 2 * percent
 
 
-def _by_bits(a: list[Column], b: list[Column], size_a: Column, size_b: Column, percent: int) -> Column:
-    differ = reduce(lambda x, y: x + y, (F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b, strict=True)))
+def _by_bits(a: Column, b: Column, size_a: Column, size_b: Column, percent: int) -> Column:
+    """Whether maps of one width let two sets link."""
+    differ = F.aggregate(F.zip_with(a, b, lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda total, n: total + n)
     return _near(differ, size_a, size_b, percent)
 
 
@@ -149,19 +154,7 @@ def _by_wide(a: Column, b: Column, size_a: Column, size_b: Column, percent: int)
         half = (F.size(x) / 2).cast("int")
         return F.when(F.size(x) == F.size(y) * 2, F.zip_with(F.slice(x, 1, half), F.slice(x, half + 1, half), lambda v, w: v.bitwiseXOR(w))).otherwise(x)
 
-    x, y = folded(a, b), folded(b, a)
-    differ = F.aggregate(F.zip_with(x, y, lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda total, n: total + n)
-    return a.isNull() | b.isNull() | (F.size(x) != F.size(y)) | _near(differ, size_a, size_b, percent)
-
-
-def _bits(column: str) -> list[Column]:
-    return [F.get(column, i) for i in range(MAP_BITS // 64)]
-
-
-def _folded(column: str) -> list[Column]:
-    """A bit map of COARSE words that has the parities of unions of the finer one's classes."""
-    words = _bits(column)
-    return [reduce(lambda x, y: x.bitwiseXOR(y), words[i::COARSE]) for i in range(COARSE)]
+    return a.isNull() | b.isNull() | (F.size(folded(a, b)) != F.size(folded(b, a))) | _by_bits(folded(a, b), folded(b, a), size_a, size_b, percent)
 
 
 def _pack(text: bytes, codec: pa.Codec) -> bytes:
@@ -204,9 +197,9 @@ def whole_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of ids whose whole sets are similar enough."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes.select("id", "node"), "id")
-    texts = materialise(whole_texts(docs, materialise(wanted, "wanted")), "texts")
+    """The pairs (a, b) of ids whose whole sets are similar enough, as a written table."""
+    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes.select("id", "node"), "id"), "wanted")
+    texts = materialise(whole_texts(docs, wanted), "texts")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("packed").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("packed").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +225,9 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent:
                 keep.append(100 * shared >= percent * (len(p) + len(q) - shared))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return map_arrow(both.select("a", "b", "x", "y"), run, "a long, b long")
+    links = materialise(map_arrow(both.select("a", "b", "x", "y"), run, "a long, b long"), "links")
+    discard(wanted, texts)
+    return links
 
 
 def similar_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -245,7 +240,7 @@ def similar_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     """
     docs = docs.select("doc_id", "text")
     described = materialise(describe(docs, n, percent), "described")
-    nodes = described.where(F.col("size") > 0).groupBy("node").agg(F.max("size").alias("size"), F.first("prefix", ignorenulls=True).alias("prefix"), F.first("bits", ignorenulls=True).alias("bits"), F.first("wide", ignorenulls=True).alias("wide"))
+    nodes = described.where(F.col("size") > 0).groupBy("node").agg(F.max("size").alias("size"), *(F.first(c, ignorenulls=True).alias(c) for c in ("prefix", "coarse", "bits", "wide")))
     # the written table fixes the ids
     nodes = materialise(nodes.withColumns({"k1": F.xxhash64("prefix"), "k2": F.xxhash64(F.lit(1), "prefix"), "id": F.monotonically_increasing_id()}), "nodes")
     # groups of equal prefixes and sizes; the first member names the group, the others follow it
@@ -256,65 +251,65 @@ def similar_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     postings = nodes.select("id", "size", "prefix").join(followers, "id", "left_anti").select("id", F.col("size").cast("int").alias("size"), F.posexplode("prefix").alias("pos", "element"))
     shared = postings.groupBy("element").agg(F.count(F.lit(1)).alias("n"), F.min_by("id", F.xxhash64("element", "id")).alias("leader")).where(F.col("n") > 1)
     postings = materialise(postings.join(shared.select("element", "leader"), "element"), "postings")
-    coarse = [f"m{i}" for i in range(COARSE)]
-    maps = nodes.select("id", *(c.alias(m) for c, m in zip(_folded("bits"), coarse, strict=True)))
+    maps = nodes.select("id", "coarse")
 
-    def held_by(pairs: DataFrame, words: DataFrame, names: list[str]) -> DataFrame:
-        def side(name: str) -> DataFrame:
-            return words.select(F.col("id").alias(name), F.col("size").alias(f"size_{name}"), *(F.col(c).alias(f"{c}_{name}") for c in names))
-
-        held = pairs.join(side("a"), "a").join(side("b"), "b")
-        near = _by_bits([F.col(f"{c}_a") for c in names], [F.col(f"{c}_b") for c in names], F.col("size_a"), F.col("size_b"), percent)
-        return held.where(_fits(F.col("size_a"), F.col("size_b"), percent) & near).select("a", "b")
+    def sides(pairs: DataFrame, columns: list[str]) -> DataFrame:
+        for name in ("a", "b"):
+            pairs = pairs.join(nodes.select(F.col("id").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns)), name)
+        return pairs
 
-    fine = [f"w{i}" for i in range(MAP_BITS // 64)]
+    def by(test: Callable[..., Column], column: str) -> Column:
+        return test(F.col(f"{column}_a"), F.col(f"{column}_b"), F.col("size_a"), F.col("size_b"), percent)
 
     def filtered(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose sizes and bit maps let them link; the small maps are tried first, the wide ones last."""
-        some = held_by(pairs, nodes.select("id", "size", *(c.alias(m) for c, m in zip(_folded("bits"), coarse, strict=True))), coarse)
-        some = held_by(some, nodes.select("id", "size", *(c.alias(w) for c, w in zip(_bits("bits"), fine, strict=True))), fine)
-        large = nodes.where(F.col("wide").isNotNull())
-        for name in ("a", "b"):
-            some = some.join(large.select(F.col("id").alias(name), F.col("size").alias(f"size_{name}"), F.col("wide").alias(f"wide_{name}")), name, "left")
-        return some.where(_by_wide(F.col("wide_a"), F.col("wide_b"), F.col("size_a"), F.col("size_b"), percent)).select("a", "b")
+        some = sides(pairs, ["size", "coarse"]).where(_fits(F.col("size_a"), F.col("size_b"), percent) & by(_by_bits, "coarse")).select("a", "b")
+        return sides(some, ["size", "bits", "wide"]).where(by(_by_bits, "bits") & by(_by_wide, "wide")).select("a", "b")
 
     # 1. every group against its buckets' leaders, and every member against its group's first
     star = postings.where(F.col("id") != F.col("leader")).select("id", "leader").distinct()
     after = star.join(followers.withColumnRenamed("id", "follower"), star["id"] == followers["first"]).select(F.col("follower").alias("id"), "leader")
     star = star.unionByName(after).unionByName(followers.select("id", F.col("first").alias("leader")))
     tried = materialise(filtered(star.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()), "star-pairs")
-    links = materialise(verify(tried, nodes, docs, n, percent), "star-links")
-    roots = materialise(components(links), "star-roots").withColumnRenamed("node", "id")
+    links = verify(tried, nodes, docs, n, percent)
+    found = components(links)
+    roots = found.withColumnRenamed("node", "id")
     # 2. what is left: members of different components that share a bucket
     members = postings.select("element", "id", "size", "pos")
     joined = members.withColumnRenamed("id", "_first").join(followers, F.col("_first") == followers["first"]).select("element", "id", "size", "pos")
     members = members.unionByName(joined).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     members = materialise(members, "postings-roots")
-    mixed = members.groupBy("element").agg(F.min("root").alias("least"), F.max("root").alias("most")).where(F.col("least") != F.col("most")).select("element")
-    open_ = members.join(mixed, "element").join(maps, "id")
-    a, b = open_.alias("a"), open_.alias("b")
-    near = (F.col("a.id") < F.col("b.id")) & (F.col("a.root") != F.col("b.root")) & _fits(F.col("a.size"), F.col("b.size"), percent) & _by_position("a", "b", percent)
-    near &= _by_bits([F.col(f"a.{m}") for m in coarse], [F.col(f"b.{m}") for m in coarse], F.col("a.size"), F.col("b.size"), percent)
-    rest = a.join(b, (F.col("a.element") == F.col("b.element")) & near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    mixed = members.groupBy("element").agg(F.min("root").alias("least"), F.max("root").alias("most"), (F.count(F.lit(1)) > HOT).alias("hot")).where(F.col("least") != F.col("most")).select("element", "hot")
+    # only sizes of the same band or the next one fit, so a large bucket is dealt out by them
+    band = F.floor(F.log("size") / math.log(100 / percent + 1e-9)) if percent < 100 else F.col("size")
+    open_ = members.join(mixed, "element").join(maps, "id").withColumn("band", F.when(F.col("hot"), band).otherwise(0).cast("long"))
+    bands = F.when(F.col("hot"), F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).otherwise(F.array("band"))
+    a, b = open_.withColumn("band", F.explode(bands)).alias("a"), open_.alias("b")
+
+    def near(a: str, b: str) -> Column:
+        fits = (F.col(f"{a}.id") < F.col(f"{b}.id")) & (F.col(f"{a}.root") != F.col(f"{b}.root")) & _fits(F.col(f"{a}.size"), F.col(f"{b}.size"), percent)
+        return fits & _by_bits(F.col(f"{a}.coarse"), F.col(f"{b}.coarse"), F.col(f"{a}.size"), F.col(f"{b}.size"), percent)
+
+    same = (F.col("a.element") == F.col("b.element")) & (F.col("a.band") == F.col("b.band"))
+    rest = a.join(b, same & near("a", "b") & _by_position("a", "b", percent)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
     # members of one group share all their prefix, but a bucket is listed only if groups share it
     alone = followers.unionByName(followers.select(F.col("first").alias("id"), "first").distinct()).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    alone = materialise(alone, "group-roots")
+    alone = materialise(alone.join(nodes.select("id", "size"), "id").join(maps, "id"), "group-roots")
     x, y = alone.alias("x"), alone.alias("y")
-    within = x.join(y, (F.col("x.first") == F.col("y.first")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    within = x.join(y, (F.col("x.first") == F.col("y.first")) & near("x", "y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     rest = materialise(filtered(rest.unionByName(within).distinct()).join(tried, ["a", "b"], "left_anti"), "rest-pairs")
-    # one pair of each member first: most others' ends are then connected already
-    some = rest.groupBy("a").agg(F.min_by("b", F.xxhash64("a", "b")).alias("b"))
-    links = materialise(links.unionByName(verify(materialise(some, "some-pairs"), nodes, docs, n, percent)), "links")
-    roots = materialise(components(links), "some-roots")
+    more = verify(rest, nodes, docs, n, percent)
 
+    # 3. links of step 2 join the components of step 1
     def root_of(name: str) -> DataFrame:
-        return roots.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
-
-    apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
-    rest = rest.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").where(apart).select("a", "b").join(some, ["a", "b"], "left_anti")
-    more = verify(materialise(rest, "last-pairs"), nodes, docs, n, percent)
-    roots = materialise(components(links.unionByName(more)), "roots").withColumnRenamed("node", "id")
-    named = materialise(nodes.select("id", "node").join(roots, "id", "left").select("node", F.coalesce("root", "id").alias("root")), "named")
+        return roots.select(F.col("id").alias(name), F.col("root").alias(f"root_{name}"))
+
+    between = more.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    joined = components(between)
+    upper = joined.select(F.col("node").alias("root"), F.col("root").alias("upper"))
+    named = nodes.select("id", "node").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    named = materialise(named.join(upper, "root", "left").select("node", F.coalesce("upper", "root").alias("root")), "named")
+    discard(nodes, followers, postings, tried, links, found, members, alone, rest, more, joined)
     return described.select("doc_id", "node", "size").join(named, "node", "left").select("doc_id", "node", "size", "root")
 
 
@@ -324,7 +319,7 @@ def op7_ngram_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     Null ids are passed over in the choice of the least.
     """
     found = materialise(similar_components(table(spark, sf_dir, "documents")), "components")
-    least = materialise(found.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
+    least = found.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = found.join(least, "root", "left")
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
