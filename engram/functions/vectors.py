@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -119,12 +120,26 @@ def unpack_values(data: bytes, bits: int, n: int) -> np.ndarray:
     return (planes.astype(np.uint32) << np.arange(bits, dtype=np.uint32)).sum(axis=1)
 
 
+def _pack_batch(values: pa.Array, bits: int) -> pa.Array:
+    """Bit streams of a batch of lists; each row starts at a byte."""
+    lengths = pa.compute.list_value_length(values).fill_null(0).to_numpy()
+    flat = values.flatten().to_numpy(zero_copy_only=False).astype(np.uint32)
+    if len(flat) and (lengths == lengths[0]).all():  # one shape: all rows at once
+        planes = ((flat.reshape(len(lengths), -1, 1) >> np.arange(bits, dtype=np.uint32)) & 1).astype(np.uint8).reshape(len(lengths), -1)
+        packed = np.packbits(planes, axis=1, bitorder="little")
+        offsets = np.arange(len(lengths) + 1, dtype=np.int32) * packed.shape[1]
+        return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(packed.tobytes())])
+    ends = np.cumsum(lengths)
+    rows = [pack_values(flat[e - n : e], bits) for e, n in zip(ends, lengths, strict=True)]
+    return pa.array([r if ok else None for r, ok in zip(rows, values.is_valid().to_pylist(), strict=True)], pa.binary())
+
+
 def pack(bits: int):
     """An Arrow-batched function from array<int> to binary."""
 
-    @F.pandas_udf("binary")
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else pack_values(v, bits))
+    @F.arrow_udf("binary")
+    def run(values: pa.Array) -> pa.Array:
+        return _pack_batch(values, bits)
 
     return run
 
@@ -132,13 +147,24 @@ def pack(bits: int):
 def unpack(bits: int):
     """An Arrow-batched function from (binary, dim) to array<int>."""
 
-    @F.pandas_udf("array<int>")
-    def run(data: pd.Series, dim: pd.Series) -> pd.Series:
-        return pd.Series([None if d is None else unpack_values(d, bits, int(n)).astype(np.int32) for d, n in zip(data, dim, strict=True)])
+    @F.arrow_udf("array<int>")
+    def run(data: pa.Array, dim: pa.Array) -> pa.Array:
+        return pa.array([None if d is None else unpack_values(d, bits, int(n)).astype(np.int32) for d, n in zip(data.to_pylist(), dim.to_pylist(), strict=True)], pa.list_(pa.int32()))
 
     return run
 
 
+def dot_packed(query: Column, data: Column, scale: Column, dim: Column, bits: int = 6) -> Column:
+    """Inner product of a vector and packed bytes, which are decoded for it."""
+    qmax = (1 << (bits - 1)) - 1
+    return dot(query, F.transform(unpack(bits)(data, dim), lambda u: (u - qmax) * scale))
+
+
+def cosine_packed(query: Column, data: Column, scale: Column, dim: Column, bits: int = 6) -> Column:
+    qmax = (1 << (bits - 1)) - 1
+    return let(F.transform(unpack(bits)(data, dim), lambda u: (u - qmax) * scale), lambda v: cosine(query, v))
+
+
 def embed_hashed(text: Column, dim: int = 64) -> Column:
     """A deterministic bag-of-words vector of length 1: tokens are counted by their hash."""
     tokens = F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != "")

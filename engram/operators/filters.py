@@ -52,6 +52,18 @@ class Filters:
         self.conditions.append(condition(name, operator, value))
         return self
 
+    def topic_eq(self, topic: str) -> Filters:
+        return self.add("topic", "eq", topic)
+
+    def quality_ge(self, least: float) -> Filters:
+        return self.add("quality", "ge", least)
+
+    def created_after(self, start: Any) -> Filters:
+        return self.add("ts", "gt", start)
+
+    def created_before(self, end: Any) -> Filters:
+        return self.add("ts", "lt", end)
+
     def topic_in(self, topics: list[str]) -> Filters:
         return self.add("topic", "in", topics)
 

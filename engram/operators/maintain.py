@@ -17,22 +17,25 @@ from engram.session import ship_package
 DAY = 86400.0
 
 
-def contradiction_pairs(chunks: DataFrame, rule=X.contradicts) -> DataFrame:
-    """(topic, older, newer): contradicting pairs of one topic, in the order of ``seq``."""
-    f = chunks.select("topic", "seq", X.contradiction_features(F.col("text")).alias("f"))
-    a, b = f.alias("a"), f.alias("b")
+def contradiction_pairs(chunks: DataFrame, rule=X.contradicts, newer: Column | None = None) -> DataFrame:
+    """(topic, older, newer): contradicting pairs of one topic, in the order of ``seq``.
+
+    With a condition ``newer`` only pairs whose later chunk meets it.
+    """
+    f = chunks.select("topic", "seq", X.contradiction_features(F.col("text")).alias("f"), (F.lit(True) if newer is None else newer).alias("new"))
+    a, b = f.alias("a"), (f if newer is None else f.where("new")).alias("b")
     on = (F.col("a.topic") == F.col("b.topic")) & (F.col("a.seq") < F.col("b.seq"))
     return a.join(b, on).where(rule(F.col("a.f"), F.col("b.f"))).select(F.col("a.topic").alias("topic"), F.col("a.seq").alias("older"), F.col("b.seq").alias("newer"))
 
 
-def contradiction_decay(chunks: DataFrame) -> DataFrame:
+def contradiction_decay(chunks: DataFrame, newer: Column | None = None) -> DataFrame:
     """Confidence times 0.6 and staleness plus 0.25 (at most 1) for each later contradiction.
 
     Texts don't change, so the sequence of updates has a closed form in their number.
     """
-    n = contradiction_pairs(chunks).groupBy("topic", F.col("older").alias("seq")).agg(F.count(F.lit(1)).alias("n"))
+    n = contradiction_pairs(chunks, newer=newer).groupBy("topic", F.col("older").alias("seq")).agg(F.count(F.lit(1)).alias("n"))
     out = chunks.join(n, ["topic", "seq"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return out.withColumns({"confidence": F.col("confidence") * F.pow(F.lit(0.6), "n"), "staleness": F.least(F.lit(1.0), F.col("staleness") + 0.25 * F.col("n"))})
+    return out.withColumns({"confidence": F.col("confidence") * F.pow(F.lit(0.6), "n"), "staleness": F.least(F.lit(1.0), F.col("staleness") + 0.25 * F.col("n"))}).drop("n")
 
 
 def resolve_contradictions(chunks: DataFrame, factor: float = 0.5) -> DataFrame:
@@ -128,17 +131,57 @@ def leader_merge(vectors: DataFrame, threshold: float = 0.85) -> DataFrame:
     return vectors.groupBy("topic").applyInPandas(run, "topic string, vec_id long, leader long")
 
 
-def merged(chunks: DataFrame, leaders: DataFrame) -> DataFrame:
-    """One row a leader: most confident text, mean confidence, united sources, first time."""
-    rows = chunks.join(leaders, ["topic", "vec_id"])
-    best = F.max_by("vec_id", F.struct("confidence", -F.col("vec_id")))
-    return rows.groupBy("topic", "leader").agg(best.alias("survivor"), F.avg("confidence").alias("confidence"), F.min("ts").alias("ts"), F.count(F.lit(1)).alias("members"))
+def merged(chunks: DataFrame, leaders: DataFrame, key: str = "vec_id") -> DataFrame:
+    """One row a leader, the survivor's, with ``members``: how many rows it stands for.
+
+    The survivor is the most confident one, the first on ties.  It gets the mean confidence, the
+    united sources (sorted), the first time and, if it stands for several, its text rewritten.
+    """
+    columns = [c for c in chunks.columns if c != "topic"]
+    rows = chunks.join(leaders.select("topic", key, "leader"), ["topic", key])
+    best = F.max_by(F.struct(*columns), F.struct("confidence", -F.col("seq")))
+    groups = rows.groupBy("topic", "leader").agg(
+        best.alias("b"), F.avg("confidence").alias("mean"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_refs")))).alias("refs"), F.min("ts").alias("first"), F.count(F.lit(1)).alias("members")
+    )
+    own = {"confidence": F.col("mean"), "source_refs": F.col("refs"), "ts": F.col("first"), "text": F.when(F.col("members") > 1, X.make_absolute(F.col("b.text"))).otherwise(F.col("b.text"))}
+    return groups.select("topic", "leader", "members", *(own.get(c, F.col(f"b.{c}")).alias(c) for c in columns))
+
 
+def consolidate(chunks: DataFrame, most: int = 300, threshold: float = 0.85, key: str = "vec_id") -> DataFrame:
+    """Resolve, prune, merge, rewrite, deduplicate and cap all topics in one plan.
 
-def consolidate(chunks: DataFrame, most: int = 300) -> DataFrame:
-    """Resolve, prune, rewrite, deduplicate and cap all topics in one plan."""
+    Chunks have topic, key, seq, text, confidence, staleness, entropy, ts, source_refs and
+    embedding; the result has the columns of ``merged`` and ``rewritten``.
+    """
     rows = prune(resolve_contradictions(chunks))
-    return cap(dedup(rows.withColumn("text", X.make_absolute(F.col("text")))), most)
+    if threshold < 1:
+        rows = merged(rows, leader_merge(rows.select("topic", F.col(key).alias("vec_id"), "embedding"), threshold), key)
+    else:
+        rows = rows.withColumns({"leader": F.col(key), "members": F.lit(1).cast("long")})
+    absolute = X.make_absolute(F.col("text"))
+    rows = rows.withColumns({"rewritten": absolute != F.col("text"), "text": absolute})
+    return cap(dedup(rows), most)
+
+
+def consolidation_report(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(topic, before, after, removed, merged, absolute): merged and absolute of the chunks that are left."""
+    n = before.groupBy("topic").agg(F.count(F.lit(1)).alias("before"))
+    left = after.groupBy("topic").agg(F.count(F.lit(1)).alias("after"), F.sum(F.col("members") - 1).alias("merged"), F.count_if("rewritten").alias("absolute"))
+    rows = n.join(left, "topic", "left").fillna(0, ["after", "merged", "absolute"])
+    return rows.select("topic", "before", "after", (F.col("before") - F.col("after")).alias("removed"), "merged", "absolute")
+
+
+def quality_of(chunks: DataFrame, topic: str, chunk_id: str) -> DataFrame:
+    """One row: a chunk's quality; zeros if there is no such chunk."""
+    found = chunks.where((F.col("topic") == topic) & (F.col("chunk_id") == chunk_id))
+    q = X.quality(F.col("text"), F.col("confidence"), F.col("staleness"), F.col("verified"), F.col("quality"))
+    scored = found.select(q.alias("q")).agg(F.first("q.overall").alias("overall"), F.first("q.specificity").alias("specificity"))
+    return scored.select(F.coalesce("overall", F.lit(0.0)).alias("overall"), F.coalesce("specificity", F.lit(0.0)).alias("specificity"))
+
+
+def forget(chunks: DataFrame, which: Column, floor: float = 0.01) -> DataFrame:
+    """Chunks that count for next to nothing from now on, without being deleted."""
+    return chunks.withColumns({c: F.when(which, floor).otherwise(F.col(c)) for c in ("confidence", "importance") if c in chunks.columns})
 
 
 def upsert(base: DataFrame, changes: DataFrame, keys: list[str], version: str) -> DataFrame:

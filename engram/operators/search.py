@@ -242,13 +242,26 @@ def recency(ts: Column, as_of: Column) -> Column:
     return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.exp(-0.023 * age))), F.lit(0.5))
 
 
-def weighted_fusion(vector: DataFrame, keyword: DataFrame, meta: DataFrame, as_of: Column, method: str = "minmax", weights: tuple[float, float, float, float] = (0.6, 0.3, 0.1, 0.0), key: str = "doc_id") -> DataFrame:
-    """Normalized signals, weighted: vector, keyword, recency, confidence; (key, parts, score)."""
+WEIGHTS = {"vector": 0.6, "keyword": 0.3, "recency": 0.1, "confidence": 0.0}
+
+
+def weighted_fusion(
+    vector: DataFrame, keyword: DataFrame, meta: DataFrame, as_of: Column, method: str = "minmax", weights: dict[str, float] = WEIGHTS, key: str = "doc_id", least_vector: float = 0.0, least_keyword: float = 0.0
+) -> DataFrame:
+    """Normalized signals, weighted: vector, keyword, recency, confidence; (key, parts, score).
+
+    A vector or keyword signal below its threshold counts as 0.
+    """
     v = normalized(vector, method, key).withColumnRenamed("score", "v")
     q = normalized(keyword, method, key).withColumnRenamed("score", "q")
     rows = v.join(q, key, "full").join(meta.select(key, "ts", "confidence"), key, "left")
-    signals = {"vector": F.coalesce("v", F.lit(0.0)), "keyword": F.coalesce("q", F.lit(0.0)), "recency": recency(F.col("ts"), as_of), "confidence": F.coalesce("confidence", F.lit(0.5))}
-    parts = {n: (c * w) for (n, c), w in zip(signals.items(), weights, strict=True)}
+
+    def signal(name: str, least: float) -> Column:
+        value = F.coalesce(name, F.lit(0.0))
+        return F.when(value < least, 0.0).otherwise(value) if least else value
+
+    signals = {"vector": signal("v", least_vector), "keyword": signal("q", least_keyword), "recency": recency(F.col("ts"), as_of), "confidence": F.coalesce("confidence", F.lit(0.5))}
+    parts = {n: c * weights[n] for n, c in signals.items()}
     total = parts["vector"] + parts["keyword"] + parts["recency"] + parts["confidence"]
     return rows.select(key, *(c.alias(n) for n, c in parts.items()), total.alias("score"))
 
@@ -304,6 +317,20 @@ def ivf_search(indexed: DataFrame, c: np.ndarray, query: Sequence[float], k: int
     return topk(rows.withColumn("score", V.cosine_distance(V.as_double("embedding"), literal_vector(query))), k, ascending=True)
 
 
+def ivf_recall(vectors: DataFrame, c: np.ndarray, queries: DataFrame, k: int, probes: int) -> DataFrame:
+    """(query_id, recall): which share of each query's exact k best lies in the lists that are probed.
+
+    Within its lists the search is exact, so these are just what it finds.
+    """
+    indexed = with_list(vectors, c).select("vec_id", "bucket")
+    e = V.as_double("embedding")
+    nearest = F.array_sort(F.array(*[F.struct(V.euclidean(e, literal_vector(row)).alias("d"), F.lit(i).alias("i")) for i, row in enumerate(c)]))
+    probed = queries.select(F.col("vec_id").alias("query_id"), F.transform(F.slice(nearest, 1, probes), lambda x: x["i"]).alias("lists"))
+    best = batch_topk(queries.select("vec_id", "embedding"), vectors.select("vec_id", "embedding"), k)
+    rows = best.join(indexed, "vec_id").join(probed, "query_id")
+    return rows.groupBy("query_id").agg(F.avg(F.array_contains("lists", F.col("bucket")).cast("double")).alias("recall"))
+
+
 def index_settings(n: int, dim: int) -> dict[str, int]:
     """Lists and subquantizers by the size of the corpus."""
     lists = 256 if n < 10_000 else 1024 if n < 100_000 else 4096 if n < 1_000_000 else 8192

@@ -586,8 +586,9 @@ def leader_merge(spark, sf):
 
 @query()
 def consolidate_topics(spark, sf):
-    v = vectors(spark, sf)
-    return maintain.merged(v, maintain.leader_merge(v.select("topic", "vec_id", "embedding"))).select("topic", "leader", "survivor", r6("confidence").alias("confidence"), "members")
+    m = memories(spark, sf).withColumn("source_refs", F.array("source"))
+    done = maintain.merged(m, maintain.leader_merge(m.select("topic", "vec_id", "embedding")))
+    return done.select("topic", "leader", F.col("vec_id").alias("survivor"), r6("confidence").alias("confidence"), F.array_join("source_refs", ",").alias("sources"), "members")
 
 
 @query(

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from engram.functions import vectors as V
+
 #: What a missing field of a chunk counts as.
 DEFAULTS = {"confidence": 0.5, "staleness": 0.0, "entropy": 0.0, "quality": 0.5, "verified": False}
 
@@ -37,6 +39,26 @@ def export(df: DataFrame, path: str, vectors: bool = True) -> None:
     out.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
+def export_topic(df: DataFrame, topic: str, vectors: bool = False) -> DataFrame:
+    """One topic's chunks, without what only the engine needs unless it is asked for."""
+    rows = df.where(F.col("topic") == topic)
+    return rows if vectors else rows.drop("embedding", "embedding_q")
+
+
+def export_quantized(df: DataFrame, path: str, bits: int = 6) -> None:
+    """Vectors as packed bytes with scale and width, a fifth of their size."""
+    q = V.quantize(V.as_double("embedding"), bits)
+    rows = df.withColumn("_q", q).withColumns({"data": V.pack(bits)("_q.values"), "scale": F.col("_q.scale"), "bits": F.lit(bits), "dim": F.col("_q.dim")})
+    rows.drop("_q", "embedding").write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def unpacked(df: DataFrame, bits: int = 6) -> DataFrame:
+    """Rows of export_quantized with their vectors as doubles."""
+    qmax = (1 << (bits - 1)) - 1
+    values = V.unpack(bits)("data", "dim")
+    return df.withColumn("_u", values).withColumn("embedding", F.transform("_u", lambda u: (u - qmax) * F.col("scale"))).drop("_u")
+
+
 def import_parquet(spark: SparkSession, path: str, topic: str = "imported") -> DataFrame:
     df = spark.read.parquet(path)
     return df.withColumn("topic", F.coalesce(df["topic"], F.lit(topic)) if "topic" in df.columns else F.lit(topic))
@@ -77,8 +99,13 @@ def backup(df: DataFrame, path: str) -> dict[str, int]:
     return manifest
 
 
-def restore(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/chunks")
+def restore(spark: SparkSession, path: str, target: str | None = None) -> DataFrame:
+    """The snapshot's chunks; with a target they replace what is there."""
+    saved = spark.read.parquet(f"{path}/chunks")
+    if target:
+        write_chunks(saved, target)
+        return spark.read.parquet(target)
+    return saved
 
 
 def ingest_status(items: DataFrame, reason: Column) -> DataFrame:
@@ -87,10 +114,14 @@ def ingest_status(items: DataFrame, reason: Column) -> DataFrame:
 
 
 def memory_index(chunks: DataFrame, lines: int = 30, most_bytes: int = 4096) -> DataFrame:
-    """The best chunk of each topic as one line; the first lines that fit into most_bytes."""
+    """The best chunk of each topic as one line; only the first lines if all are over most_bytes."""
     best = chunks.groupBy("topic").agg(F.max_by("text", F.struct("confidence", F.negative("seq"))).alias("text"))
     line = F.concat(F.lit("- "), F.col("topic"), F.lit(": "), F.substring(F.regexp_replace("text", r"\s+", " "), 1, 100))
-    return best.select("topic", line.alias("line")).orderBy("topic").limit(lines)
+    rows = best.select("topic", line.alias("line"))
+    size = F.broadcast(rows.agg(F.sum(F.octet_length("line") + 1).alias("_size")))  # one row
+    first = rows.orderBy("topic").limit(lines).select("topic", F.lit(True).alias("_first"))
+    rows = rows.join(first, "topic", "left").crossJoin(size).where(F.col("_first") | (F.col("_size") <= most_bytes))
+    return rows.select("topic", "line").orderBy("topic")
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:

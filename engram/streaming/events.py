@@ -23,6 +23,29 @@ def since(events: DataFrame, ts: Column) -> DataFrame:
     return events.where(F.col("ts") >= ts)
 
 
+def after(events: DataFrame, ts: Column) -> DataFrame:
+    """Strictly later events."""
+    return events.where(F.col("ts") > ts)
+
+
+def by_topic(events: DataFrame, column: str, value) -> DataFrame:
+    return events.where(F.col(column) == value)
+
+
+def log_statistics(events: DataFrame) -> DataFrame:
+    """One row: how many events, of how many kinds, the first and last id and time."""
+    return events.agg(F.count(F.lit(1)).alias("events"), F.count_distinct("event_type").alias("kinds"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"), F.max("ts").alias("last_ts"))
+
+
+def export_log(events: DataFrame, path: str) -> None:
+    events.write.mode("overwrite").json(path)
+
+
+def import_log(spark: SparkSession, path: str, local: DataFrame) -> DataFrame:
+    """The local log with an exported one's events, each once."""
+    return replicate(local, spark.read.schema(local.schema).json(path))
+
+
 def id_range(events: DataFrame, start: int, end: int) -> DataFrame:
     return events.where((F.col("event_id") >= start) & (F.col("event_id") < end))
 

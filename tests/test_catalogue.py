@@ -9,7 +9,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from engram.plans.catalogue import QUERIES, SQL
+from engram.plans import QUERIES, SQL
 
 FOLDER = "/root/testdata/sf0.001"
 
