@@ -19,6 +19,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
+#: Of 16 lists so many are probed, for a recall of over 0.9 on vectors that hardly cluster.
+PROBES = 12
+
 TERMS = ["the", "thing", "then", "thing", "oferer", "rent"]
 
 
@@ -406,7 +409,7 @@ def ivf_all_probes(spark, sf):
 def ivf_search(spark, sf):
     v = read(spark, sf, "embeddings")
     c = search.kmeans_lists(v, 16)
-    return search.ivf_search(search.with_list(v, c), c, vector_of(spark, sf), 10, 6).select("vec_id", r6("score").alias("score"))
+    return search.ivf_search(search.with_list(v, c), c, vector_of(spark, sf), 10, PROBES).select("vec_id", r6("score").alias("score"))
 
 
 # --- texts --------------------------------------------------------------------------------

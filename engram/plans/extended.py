@@ -17,7 +17,7 @@ from engram.plans.catalogue import (
     DOC,
     FEATURES,
     FUSE,
-    META,
+    PROBES,
     Q0,
     TERMS,
     VEC,
@@ -278,7 +278,7 @@ def batch_topk_without(spark, sf):
 def ivf_recall(spark, sf):
     """Recall of ivf_search against exact search, for every vector whose id is divisible by 20."""
     v = read(spark, sf, "embeddings")
-    return search.ivf_recall(v, search.kmeans_lists(v, 16), v.where(F.col("vec_id") % 20 == 0), 10, 8)
+    return search.ivf_recall(v, search.kmeans_lists(v, 16), v.where(F.col("vec_id") % 20 == 0), 10, PROBES)
 
 
 # --- maintenance --------------------------------------------------------------------------
