@@ -65,7 +65,9 @@ def test_contradiction_flips_verification(spark):
     df = spark.createDataFrame(rows, "vec_id long, topic string, text string, embedding array<double>")
     got = {r.vec_id: r for r in search.verify(df, df, [1.0, 0.0]).collect()}
     assert not got[1].verified and got[1].contradicted and got[1].flags == ["contradiction_detected"]
-    assert got[5].verified and got[5].flags == [] and got[5].verification == pytest.approx(got[1].verification + 0.2, abs=0.02)
+    for k, rest in ((1, 0.0), (5, 0.2)):
+        assert got[k].verification == pytest.approx(0.5 * got[k].agreement + 0.3 + rest)
+    assert got[5].verified and got[5].flags == []
     calm = df.where("vec_id <> 2")
     assert {r.vec_id: r.verified for r in search.verify(calm, calm, [1.0, 0.0]).collect()}[1]
 
