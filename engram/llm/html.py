@@ -1,13 +1,15 @@
 """Main text of web pages with host suffix arrays (operator 9).
 
-A page is cut into blocks of text by its markup; menus, headers, footers, sidebars, notices,
+A page is cut into blocks of text by its markup.  Menus, headers, footers, sidebars, notices,
 adverts, forms, scripts and reader comments go by their tags, roles and class names.  The token
-streams of the pages of one host are concatenated, and a suffix array of them gives the long
-substrings that repeat across distinct pages.  Of all blocks the repeated, covered runs go and the
-unique runs stay; only an article that is mostly a copy of another page's stays whole.
-
-A run of RUN words is an interval of that suffix array.  Its hash stands for it, so that a host's
-pages are compared as a whole, in many tasks, whatever the size of the host.
+streams of the pages of one host make one sequence, and its suffix array gives the long substrings
+that repeat across distinct pages.  The markup is a prior for what they mean: outside an article a
+run on two pages is boilerplate, in an article one that a large share of the host's pages show.
+Covered runs go and unique runs stay.
+
+Suffixes with a common prefix of RUN words or more are an interval of the suffix array.  The hash
+of that prefix stands for the interval, so that a host's pages are compared as a whole, in many
+tasks, whatever the size of the host; longer substrings are intervals at neighbouring places.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import html as entities
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from hashlib import blake2b
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,20 +27,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.llm import words as W
-from engram.llm.common import map_arrow, materialise, pieces, table
+from engram.llm.common import discard, map_arrow, materialise, pieces, table
 
 #: Words of a run that counts as long.
 RUN = 8
 BATCH_BYTES = 1 << 21
-#: Pages whose repeated words are looked up at a time.
-PAGES = 256
-#: A table of repeated runs of at most this many bytes is broadcast.
-BROADCAST_BYTES = 32 << 20
-#: An article with more than this share of repeated words may be a copy with changes.
+#: A table of at most this many bytes is broadcast.
+BROADCAST_BYTES = 8 << 20
+#: Bits of the filter of runs that may repeat, at least and at most, and for each of them.
+FILTER_BITS = (1 << 16, 1 << 24, 16)
+#: A run in an article is boilerplate if it is on this share of the host's pages, and on so many.
+SHARE, PAGES = 0.25, 4
+#: An article with more than this share of such words is a copy with changes, and stays whole.
 COPIED = 0.5
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-_ATTRIBUTE = re.compile(r"""([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_TO_END = re.compile(r"""((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+_ATTRIBUTE = re.compile(r"""([a-zA-Z_:][\w:.-]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
 
 #: HTML elements by what they mean for the main text.
 _RAW = frozenset("script style textarea title xmp noembed noframes".split())
@@ -69,6 +74,18 @@ class Block:
         return " ".join(self.words)
 
 
+@lru_cache(4096)
+def _traits(tag: str, attributes: str) -> tuple[bool, bool, bool]:
+    """Whether an element is an article, firmly dropped, or dropped, as far as it says so itself."""
+    names = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)} if attributes else {}
+    role = names.get("role", "").lower()
+    marked = {w for key in ("class", "id") for w in re.split(r"[^a-z0-9]+", names.get(key, "").lower())}
+    if tag in ("body", "html"):  # their classes speak of the whole page
+        return role in _MAIN_ROLES, False, False
+    firm = tag in _DROPPED or role in _DROPPED_ROLES or "hidden" in names or not marked.isdisjoint(_COMMENT_NAMES)
+    return tag in ("article", "main") or role in _MAIN_ROLES, firm, firm or not marked.isdisjoint(_DROPPED_NAMES)
+
+
 @dataclass
 class _Open:
     tag: str
@@ -79,21 +96,22 @@ class _Open:
 
 @dataclass
 class _Builder:
+    """The blocks so far and the open elements; every step takes constant time on average."""
+
     blocks: list[Block] = field(default_factory=list)
-    stack: list[_Open] = field(default_factory=list)
+    stack: list[_Open] = field(default_factory=lambda: [_Open("", False, False, False)])
+    places: dict[str, list[int]] = field(default_factory=dict)  # of open elements in the stack
+    containers: list[int] = field(default_factory=lambda: [0])  # places of those that aren't inline
     text: list[str] = field(default_factory=list)
 
-    def top(self) -> _Open:
-        return self.stack[-1] if self.stack else _Open("", False, False, False)
-
     def end_block(self) -> None:
         words = "".join(self.text).split()
         if words:
-            self.blocks.append(Block(words, self.top().article))
+            self.blocks.append(Block(words, self.stack[-1].article))
         self.text = []
 
     def add(self, raw: str) -> None:
-        if not self.top().dropped:
+        if not self.stack[-1].dropped:
             self.text.append(entities.unescape(raw))
 
     def open(self, tag: str, attributes: str) -> None:
@@ -108,61 +126,88 @@ class _Builder:
             self.close_implied("p")
         if tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
             self.close_implied(tag)
-        above = self.top()
-        names = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)} if attributes else {}
-        role = names.get("role", "").lower()
-        marked = {w for key in ("class", "id") for w in re.split(r"[^a-z0-9]+", names.get(key, "").lower())}
-        article = tag in ("article", "main") or role in _MAIN_ROLES
-        firm = tag in _DROPPED or role in _DROPPED_ROLES or "hidden" in names or not marked.isdisjoint(_COMMENT_NAMES)
-        dropped = firm or not marked.isdisjoint(_DROPPED_NAMES)
+        above = self.stack[-1]
+        article, firm, dropped = _traits(tag, attributes)
         if tag == "header" and not above.article:
             firm = dropped = True
-        if tag in ("body", "html"):  # their classes speak of the whole page
-            firm = dropped = False
         # an article may stand in a badly named or unclosed wrapper
         inherited = above.firm if article else above.dropped
         dropped, firm = inherited or dropped, above.firm or firm
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag not in _INLINE:
+            self.containers.append(len(self.stack))
         self.stack.append(_Open(tag, dropped, firm, (above.article or article) and not dropped))
 
+    def end(self, place: int) -> None:
+        while len(self.stack) > place:
+            self.places[self.stack.pop().tag].pop()
+        while self.containers[-1] >= place:
+            self.containers.pop()
+
     def close_implied(self, tag: str) -> None:
         """Ends an open element of this name, unless a container that may hold another stands between."""
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i].tag == tag:
-                del self.stack[i:]
-                return
-            if self.stack[i].tag not in _INLINE:
-                return
+        own = self.places.get(tag)
+        if own and own[-1] >= self.containers[-1]:
+            self.end(own[-1])
 
     def close(self, tag: str) -> None:
         if tag not in _INLINE:
             self.end_block()
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i].tag == tag:
-                del self.stack[i:]
+        own = self.places.get(tag)
+        # a stray end tag doesn't reach over a block
+        if own and (tag not in _INLINE or own[-1] > self.containers[-1]):
+            self.end(own[-1])
+
+
+def tags(source: str, at: int = 0) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, closing, name, attributes) of all tags; comments and declarations have no name.
+
+    Every character is looked at a bounded number of times: a tag whose quotes are not closed, and
+    every tag after it, ends at the next ``>``, and one without it is text.  ``send`` a place to go
+    on from there.
+    """
+    quotes = True
+    while (at := source.find("<", at)) >= 0:
+        closing, name, attributes = False, "", ""
+        if m := _NAME.match(source, at):
+            rest = _TO_END.match(source, m.end()) if quotes else None
+            quotes = bool(rest)
+            end = rest.end() if rest else source.find(">", m.end()) + 1
+            if not end:
                 return
-            if tag in _INLINE and self.stack[i].tag not in _INLINE:
-                return  # a stray end tag doesn't reach over a block
+            closing, name, attributes = bool(m[1]), m[2].lower(), source[m.end() : end - 1]
+        elif source.startswith("<!--", at):
+            end = source.find("-->", at + 4) + 3
+            end = end if end > 2 else len(source)
+        elif source[at + 1 : at + 2] in ("!", "?"):
+            end = source.find(">", at) + 1 or len(source)
+        else:
+            at += 1
+            continue
+        to = yield at, end, closing, name, attributes
+        at = end if to is None else to
 
 
 def page_blocks(source: str) -> list[Block]:
     """The blocks of text of a page that the markup doesn't rule out."""
-    b, at = _Builder(), 0
-    while m := _TAG.search(source, at):
-        if m.start() > at:
-            b.add(source[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            b.close(tag)
-            continue
-        if m[3].endswith("/") and tag not in _VOID:
-            continue
-        b.open(tag, m[3])
-        if tag in _RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(source, at)
-            at = end.start() if end else len(source)
+    b, at, found = _Builder(), 0, tags(source)
+    tag = next(found, None)
+    while tag:
+        start, end, closing, name, attributes = tag
+        if start > at:
+            b.add(source[at:start])
+        at, to = end, None
+        if closing:
+            b.close(name)
+        elif name and (name in _VOID or not attributes.endswith("/")):
+            b.open(name, attributes)
+            if name in _RAW:
+                raw = re.compile(rf"</{name}(?=[\s/>])", re.I).search(source, at)
+                at = to = raw.start() if raw else len(source)
+        try:
+            tag = found.send(to)
+        except StopIteration:
+            break
     b.add(source[at:])
     b.end_block()
     return b.blocks
@@ -229,22 +274,22 @@ def repeated_words(pages: list[list[list[str]]]) -> list[list[np.ndarray]]:
     return [[next(flags) for _ in page] for page in pages]
 
 
-def main_text(blocks: list[tuple[str, bool]], covered: list[np.ndarray]) -> str:
-    """The unique words of the blocks, joined in page order.
+def main_text(blocks: list[Block], covered: list[np.ndarray]) -> str:
+    """The words of the blocks that are not covered, joined in page order.
 
-    An article that is mostly repeated stays whole, as a copy that the host shows elsewhere with
+    An article that is mostly covered stays whole, as a copy that the host shows elsewhere with
     changes, unless the blocks outside have more unique words: then it is but a teaser.
     """
-    size = sum(len(f) for (_, kept), f in zip(blocks, covered, strict=True) if kept)
-    gone = sum(int(f.sum()) for (_, kept), f in zip(blocks, covered, strict=True) if kept)
-    outside = sum(int((~f).sum()) for (_, kept), f in zip(blocks, covered, strict=True) if not kept)
+    inside = [(len(f), int(f.sum())) for b, f in zip(blocks, covered, strict=True) if b.kept]
+    size, gone = sum(n for n, _ in inside), sum(n for _, n in inside)
+    outside = sum(int((~f).sum()) for b, f in zip(blocks, covered, strict=True) if not b.kept)
     copied = gone > COPIED * size and outside <= size
     out = []
-    for (text, kept), flags in zip(blocks, covered, strict=True):
-        if not flags.any() or (kept and copied):
-            out.append(text)
+    for block, flags in zip(blocks, covered, strict=True):
+        if not flags.any() or (block.kept and copied):
+            out.append(block.text)
         elif not flags.all():
-            out.append(" ".join(w for w, gone in zip(text.split(" "), flags, strict=True) if not gone))
+            out.append(" ".join(w for w, gone in zip(block.words, flags, strict=True) if not gone))
     return "\n\n".join(out)
 
 
@@ -252,28 +297,26 @@ def main_text(blocks: list[tuple[str, bool]], covered: list[np.ndarray]) -> str:
 class Runs:
     """The runs of n words of some pages' blocks; a block of fewer words is one run."""
 
-    keys: np.ndarray  # of each page
+    keys: np.ndarray  # of each page: equal for pages of a host with the same blocks
     sizes: np.ndarray  # words of each block
     at: np.ndarray  # the runs' places among all words
     lengths: np.ndarray
     owners: np.ndarray  # the runs' pages
+    kept: np.ndarray  # whether the runs stand in articles
     hashes: np.ndarray
     least: np.ndarray  # the runs' minimizers
 
     @classmethod
-    def of(cls, pages: list[list[str]], hosts: list[str], n: int = RUN) -> Runs:
-        """A page's key stands for its host and its blocks' words, so copies of a page have one key.
-
-        A run's minimizer is the least hash of the shorter runs in it: equal runs have equal ones.
-        """
-        texts = [t for page in pages for t in page]
-        sizes = np.array([t.count(" ") + 1 for t in texts], np.int64)
+    def of(cls, pages: list[list[Block]], hosts: np.ndarray, n: int = RUN) -> Runs:
+        """A run's minimizer is the least hash of the shorter runs in it: equal runs have equal ones."""
+        blocks = [b for page in pages for b in page]
+        sizes = np.array([len(b.words) for b in blocks], np.int64)
         page = np.repeat(np.arange(len(pages)), [len(p) for p in pages])
-        own = np.array([int.from_bytes(blake2b(x.encode(), digest_size=8).digest(), "little") for x in hosts], np.uint64)
-        if not texts:
+        own = W.mix(hosts.astype(np.int64).view(np.uint64))
+        if not blocks:
             none = np.empty(0, np.int64)
-            return cls(own.view(np.int64), sizes, none, none, none, none, none)
-        h = W.words("\n".join(texts).encode(), W.NON_SPACE, lower=False)[0]
+            return cls(own.view(np.int64), sizes, none, none, none, none.astype(bool), none, none)
+        h = W.words("\n".join(b.text for b in blocks).encode(), W.NON_SPACE, lower=False)[0]
         begin = np.cumsum(sizes) - sizes
         block, word_page = np.repeat(np.arange(len(sizes)), sizes), np.repeat(page, sizes)
         words = np.bincount(word_page, minlength=len(pages))
@@ -297,7 +340,7 @@ class Runs:
         lengths = np.concatenate([np.full(len(at), n), sizes[short]])
         at = np.concatenate([at, begin[short]])
         hashes, least = np.concatenate([hashes, ends]).view(np.int64), np.concatenate([least, ends]).view(np.int64)
-        return cls(keys.view(np.int64), sizes, at, lengths, word_page[at], hashes, least)
+        return cls(keys.view(np.int64), sizes, at, lengths, word_page[at], np.array([b.kept for b in blocks])[block[at]], hashes, least)
 
     def covered(self, repeated: np.ndarray) -> list[np.ndarray]:
         """For each block's words, whether one of the repeated runs covers them."""
@@ -309,15 +352,26 @@ class Runs:
         return np.split(np.cumsum(cover)[:total] > 0, np.cumsum(self.sizes)[:-1]) if total else []
 
 
-def _if_small(df: DataFrame) -> DataFrame:
-    """A written table of longs, to be broadcast only if it is small."""
-    return F.broadcast(df) if df.count() * 32 <= BROADCAST_BYTES else df
+def _if_small(df: DataFrame, bytes_: int) -> DataFrame:
+    """df, to be broadcast only if its size, which has been counted, is small."""
+    return F.broadcast(df) if bytes_ <= BROADCAST_BYTES else df
 
 
-def _on_two_pages(runs: DataFrame, run: str) -> DataFrame:
-    """The distinct runs that occur on pages of two keys at least."""
-    ends = runs.groupBy(run).agg(F.min("key").alias("_least"), F.max("key").alias("_most"))
-    return materialise(ends.where("_least <> _most").select(run), f"repeated-{run}")
+def _filter(likely: DataFrame) -> tuple[int, np.ndarray]:
+    """A set of bits by the last bits of the minimizers: those that aren't in it don't repeat."""
+    least, most, each = FILTER_BITS
+    n = likely.count()
+    size = min(most, max(least, 1 << (each * n).bit_length()))
+    at = F.col("least").bitwiseAND(size - 1)
+    rows = likely.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 AS int)))").alias("bits")).toPandas()
+    bits = np.zeros(size // 64, np.int64)
+    bits[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    return n, bits
+
+
+def _passes(least: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = least & (len(bits) * 64 - 1)
+    return (bits[at >> 6] >> (at & 63)) & 1 == 1
 
 
 def extract_pages(pages: DataFrame, run_words: int = RUN) -> DataFrame:
@@ -330,11 +384,14 @@ def extract_pages(pages: DataFrame, run_words: int = RUN) -> DataFrame:
     """
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
     host = F.coalesce(F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit(""))
-    source = pages.select("page_id", "url", "html", host.alias("host"))
+    source = pages.select("page_id", "url", "html", F.xxhash64(host).alias("host"))
+    # equal rows have one name; the text itself is cut in Python alone
+    source = source.withColumn("name", F.xxhash64("host", "html"))
+    hashed = source.select("host", "name", "html")
 
     def found(batch: pa.RecordBatch) -> tuple[list[list[Block]], Runs]:
         cut = [page_blocks(x or "") for x in batch.column("html").to_pylist()]
-        return cut, Runs.of([[x.text for x in page] for page in cut], batch.column("host").to_pylist(), run_words)
+        return cut, Runs.of(cut, batch.column("host").to_numpy(), run_words)
 
     def minimizers_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "html", BATCH_BYTES):
@@ -343,41 +400,49 @@ def extract_pages(pages: DataFrame, run_words: int = RUN) -> DataFrame:
             first[1:] = (r.least[1:] != r.least[:-1]) | (r.owners[1:] != r.owners[:-1])
             yield pa.RecordBatch.from_arrays([pa.array(r.least[first]), pa.array(r.keys[r.owners[first]])], names=["least", "key"])
 
+    # 1. a run on two pages has its minimizer on both: only such runs are dealt out whole
+    ends = map_arrow(hashed.select("host", "html"), minimizers_of, "least long, key long").groupBy("least").agg(F.min("key").alias("a"), F.max("key").alias("b"))
+    likely = materialise(ends.where("a <> b").select("least"), "likely")
+    n_likely, bits = _filter(likely)
+    passing = pages.sparkSession.sparkContext.broadcast(bits)
+
     def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "html", BATCH_BYTES):
             _, r = found(batch)
-            yield pa.RecordBatch.from_arrays([pa.array(r.least), pa.array(r.hashes), pa.array(r.keys[r.owners])], names=["least", "run", "key"])
-
-    # a run on two pages has its minimizer on both: only such runs are dealt out whole
-    minimizers = map_arrow(source, minimizers_of, "least long, key long")
-    likely = _if_small(_on_two_pages(minimizers, "least"))
-    runs = map_arrow(source, runs_of, "least long, run long, key long")
-    runs = materialise(runs.join(likely, "least", "left_semi").select("run", "key").distinct(), "likely-runs")
-    repeated = runs.join(_if_small(_on_two_pages(runs, "run")), "run", "left_semi")
-    covers = materialise(repeated.groupBy("key").agg(F.collect_set("run").alias("runs")), "covers")
-    size = covers.agg(F.sum(F.size("runs") * 8 + 64)).first()[0] or 0
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "html", BATCH_BYTES):
-            cut, r = found(batch)
-            texts = pa.array([[x.text for x in page] for page in cut], pa.list_(pa.string()))
-            kept = pa.array([[x.kept for x in page] for page in cut], pa.list_(pa.bool_()))
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), batch.column("host"), pa.array(r.keys), texts, kept], names=["page_id", "url", "host", "key", "blocks", "kept"])
+            here = np.flatnonzero(_passes(r.least, passing.value))
+            page, hosts, names = r.owners[here], batch.column("host").to_numpy(), batch.column("name").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (r.least[here], r.hashes[here], r.kept[here], r.keys[page], hosts[page], names[page])], names=["least", "run", "kept", "key", "host", "name"])
+
+    # 2. the suffix array's intervals of RUN words, and on how many of the host's pages they lie
+    runs = map_arrow(hashed, runs_of, "least long, run long, kept boolean, key long, host long, name long")
+    runs = materialise(runs.join(_if_small(likely, 16 * n_likely), "least", "left_semi").drop("least").distinct(), "runs")
+    on = runs.select("host", "run", "key").distinct().groupBy("host", "run").agg(F.count(F.lit(1)).alias("on")).where("on > 1")
+    sizes = source.select("host", "name").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("size"))
+    on = on.join(sizes, "host").select("run", F.lit(False).alias("kept")).unionByName(on.join(sizes, "host").where((F.col("on") >= PAGES) & (F.col("on") >= SHARE * F.col("size"))).select("run", F.lit(True).alias("kept")))
+    repeated = materialise(on, "repeated")
+    runs = runs.join(_if_small(repeated, 16 * repeated.count()), ["run", "kept"], "left_semi")
+    covers = materialise(runs.groupBy("name").agg(F.collect_set(F.when(F.col("kept"), F.col("run"))).alias("inside"), F.collect_set(F.when(~F.col("kept"), F.col("run"))).alias("outside")), "covers")
+    size = covers.agg(F.sum(F.size("inside") * 8 + F.size("outside") * 8 + 64)).first()[0] or 0
+    discard(likely, repeated)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for first in range(0, whole.num_rows, PAGES):
-                batch = whole.slice(first, PAGES)
-                blocks, kept, gone = (batch.column(c).to_pylist() for c in ("blocks", "kept", "runs"))
-                # what repeats is a matter of the host, whose name is in the hash
-                repeated = np.array([x for page in gone for x in page or ()], np.int64)
-                flags = iter(Runs.of(blocks, batch.column("host").to_pylist(), run_words).covered(repeated))
-                texts = [main_text(list(zip(b, k, strict=True)), [next(flags) for _ in b]) for b, k in zip(blocks, kept, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-    cut_pages = map_arrow(source, keyed, f"page_id {kinds['page_id']}, url string, host string, key long, blocks array<string>, kept array<boolean>")
-    joined = cut_pages.join(F.broadcast(covers) if size <= BROADCAST_BYTES else covers, "key", "left")
-    return map_arrow(joined.select("page_id", "url", "host", "blocks", "kept", "runs"), extract, f"page_id {kinds['page_id']}, url string, text string, n_chars long")
+        for batch in pieces(batches, "html", BATCH_BYTES):
+            cut = [page_blocks(x or "") for x in batch.column("html").to_pylist()]
+            covered = [[np.zeros(len(b.words), bool) for b in page] for page in cut]
+            for kept, name in ((True, "inside"), (False, "outside")):
+                own = [x or () for x in batch.column(name).to_pylist()]
+                some = [i for i, x in enumerate(own) if len(x)]
+                if some:
+                    r = Runs.of([cut[i] for i in some], batch.column("host").to_numpy()[some], run_words)
+                    flags = iter(r.covered(np.array([x for i in some for x in own[i]], np.int64)))
+                    for i in some:
+                        covered[i] = [f if b.kept == kept else old for b, f, old in zip(cut[i], flags, covered[i], strict=False)]
+            texts = [main_text(page, flags) for page, flags in zip(cut, covered, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    # 3. the covered words go
+    joined = source.join(_if_small(covers, size), "name", "left").select("page_id", "url", "host", "html", "inside", "outside")
+    return map_arrow(joined, extract, f"page_id {kinds['page_id']}, url string, text string, n_chars long")
 
 
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
