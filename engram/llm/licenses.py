@@ -144,20 +144,24 @@ class Template:
     def cover(self, text: list[int], places: dict[int, list[int]], least: float) -> list[tuple[float, int, int]]:
         """The coverages of at least ``least``, and the words [start, end) of the text that give them.
 
-        A find lacks a bounded number of the template's words, so of one more words of the template
-        it has one.  The words that the text has the fewest of are taken, each at its own place in
-        the template, and a stretch of text is looked at around each of their occurrences, unless
-        it has too few of the template's words.
+        Every stretch of the text is aligned that has enough of the template's words, each counted
+        as often as the template has it: no other can reach the coverage.
         """
-        size = len(self.words)
-        lacking = size - math.ceil(least * size - 1e-9)
-        rarest = sorted((len(places.get(x, ())), j, x) for j, x in enumerate(self.words))[: lacking + 1]
+        size, n = len(self.words), len(text)
+        need = math.ceil(least * size - 1e-9)
         own = np.sort(np.concatenate([np.array(places[x], np.int64) for x in set(self.words) if x in places] or [np.empty(0, np.int64)]))
-        shifts = np.unique(np.concatenate([np.array(places.get(x, ()), np.int64) - j for _, j, x in rarest]))
-        begins, ends = np.maximum(shifts - self.slack(), 0), np.minimum(shifts + size + self.slack(), len(text))
-        enough = np.searchsorted(own, ends) - np.searchsorted(own, begins) >= size - lacking
+        reach = np.unique((own[:, None] + np.array([-size - self.slack(), self.slack() + 1])).ravel())
+        if not len(reach):
+            return []
+        shifts = np.arange(max(-size, int(reach[0])), min(n, int(reach[-1])) + 1)
+        windows = np.unique(np.stack([np.maximum(shifts - self.slack(), 0), np.clip(shifts + size + self.slack(), 0, n)], axis=1), axis=0)
+        windows = windows[np.searchsorted(own, windows[:, 1]) - np.searchsorted(own, windows[:, 0]) >= need]
+        most = np.zeros(len(windows), np.int64)
+        for x, times in Counter(self.words).items() if len(windows) else ():
+            at = np.array(places.get(x, ()), np.int64)
+            most += np.minimum(np.searchsorted(at, windows[:, 1]) - np.searchsorted(at, windows[:, 0]), times)
         found = set()
-        for begin, end in zip(begins[enough].tolist(), ends[enough].tolist(), strict=True):
+        for begin, end in windows[most >= need].tolist():
             matches = patience(text[begin:end], self.words)
             if matches and len(matches) / size >= least:
                 found.add((len(matches) / size, begin + matches[0][0], begin + matches[-1][0] + 1))
