@@ -46,7 +46,10 @@ def _netpbm_header(data: bytes, fields: int) -> tuple[list[int], int]:
 
 
 def decode_netpbm(data: bytes) -> np.ndarray:
-    """P1 to P6 as (h, w) or (h, w, 3) arrays of uint8, or of uint16 if maxval is over 255."""
+    """P1 to P6 as (h, w) or (h, w, 3) arrays of uint8, or of uint16 if maxval is over 255.
+
+    Samples are as they are stored; tiles set them against the file's maxval.
+    """
     kind = data[:2]
     if kind not in (b"P1", b"P2", b"P3", b"P4", b"P5", b"P6"):
         raise ValueError("not a Netpbm file")
@@ -72,19 +75,27 @@ def decode_netpbm(data: bytes) -> np.ndarray:
 
 
 def decode_bmp(data: bytes) -> np.ndarray:
-    """Uncompressed BMP of 1, 4, 8, 24 or 32 bits a pixel, as (h, w, 3) arrays in RGB order."""
+    """Uncompressed BMP of 1, 4, 8, 16, 24 or 32 bits a pixel, as (h, w, 3) arrays in RGB order.
+
+    Pixels of 16 and 32 bits may have masks that say where each colour's bits are.
+    """
     if data[:2] != b"BM":
         raise ValueError("not a BMP file")
     (offset,) = struct.unpack_from("<I", data, 10)
     header, w, h, _, bits, compression = struct.unpack_from("<IiiHHI", data, 14)
-    if compression not in (0, 3) or bits not in (1, 4, 8, 24, 32) or w <= 0 or not h:
+    masked = compression in (3, 6) and bits in (16, 32)
+    if not (compression == 0 or masked) or bits not in (1, 4, 8, 16, 24, 32) or w <= 0 or not h:
         raise ValueError("this kind of BMP is not read")
     stride = (w * bits + 31) // 32 * 4
     rows = np.frombuffer(data, np.uint8, stride * abs(h), offset).reshape(abs(h), stride)
     if h > 0:  # stored from the bottom up
         rows = rows[::-1]
-    if bits >= 24:
-        return rows[:, : w * bits // 8].reshape(abs(h), w, bits // 8)[:, :, 2::-1].copy()
+    if bits in (16, 32):
+        masks = struct.unpack_from("<III", data, 54) if masked else (0x7C00, 0x3E0, 0x1F) if bits == 16 else (0xFF0000, 0xFF00, 0xFF)
+        pixels = np.ascontiguousarray(rows[:, : w * bits // 8]).view(f"<u{bits // 8}").astype(np.uint64)
+        return np.stack([_masked(pixels, m) for m in masks], axis=2)
+    if bits == 24:
+        return rows[:, : w * 3].reshape(abs(h), w, 3)[:, :, ::-1].copy()
     (colours,) = struct.unpack_from("<I", data, 46)
     palette = np.frombuffer(data, np.uint8, 4 * (colours or 1 << bits), 14 + header).reshape(-1, 4)[:, 2::-1]
     if bits == 8:
@@ -95,6 +106,21 @@ def decode_bmp(data: bytes) -> np.ndarray:
     return palette[index]
 
 
+def _masked(pixels: np.ndarray, mask: int) -> np.ndarray:
+    """The bits of a mask as values from 0 to 255."""
+    if not mask:
+        return np.zeros(pixels.shape, np.uint8)
+    low = (mask & -mask).bit_length() - 1
+    top = mask >> low
+    value = (pixels & np.uint64(mask)) >> np.uint64(low)
+    return np.rint(value.astype(np.float64) * 255 / top).astype(np.uint8)
+
+
+def maxval(data: bytes) -> int:
+    """The sample value of full brightness."""
+    return _netpbm_header(data, 3)[0][2] if data[:2] in (b"P2", b"P3", b"P5", b"P6") else 255
+
+
 def decode(data: bytes) -> np.ndarray:
     return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
 
@@ -149,9 +175,9 @@ def difference_hash(image: np.ndarray) -> str:
     return np.packbits(small[:, :-1] < small[:, 1:]).tobytes().hex()
 
 
-def npy_tile(image: np.ndarray, size: int) -> bytes:
-    """The image's size by size area means, rounded, as the bytes of an NPY file of uint8."""
-    tile = np.clip(np.rint(area_resize(image, size, size)), 0, 255).astype(np.uint8)
+def npy_tile(image: np.ndarray, size: int, top: int = 255) -> bytes:
+    """The image's size by size area means, ``top`` as 255, rounded, as the bytes of an NPY file of uint8."""
+    tile = np.clip(np.rint(np.round(area_resize(image, size, size) * (255 / top), 6)), 0, 255).astype(np.uint8)
     out = io.BytesIO()
     np.save(out, tile, allow_pickle=False)
     return out.getvalue()
@@ -170,7 +196,7 @@ def media_tiles(images: DataFrame, id_column: str, data_column: str, size: int =
             for data in batch.column(1).to_pylist():
                 try:
                     image = decode(data or b"")
-                    rows.append((image.shape[0], image.shape[1], 1 if image.ndim == 2 else image.shape[2], difference_hash(image), npy_tile(image, size), None))
+                    rows.append((image.shape[0], image.shape[1], 1 if image.ndim == 2 else image.shape[2], difference_hash(image), npy_tile(image, size, maxval(data)), None))
                 except (ValueError, struct.error, IndexError) as e:
                     rows.append((None, None, None, None, None, str(e)))
             kinds = (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.string())
