@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from engram.llm.common import DOCUMENT_COLUMNS, materialise, running_totals, table
+from engram.llm.common import DOCUMENT_COLUMNS, free_name, materialise, running_totals, table
 
 #: The fractional part of the golden ratio.
 PHI = (math.sqrt(5) - 1) / 2
@@ -25,6 +25,8 @@ SHARE, EPOCHS = 1.5, 2
 #: Blocks that meet the targets, at least, where a block has more than a word: this many dealt
 #: evenly to the sources, or this many for each source if that is more.
 SLOTS, SLOTS_A_SOURCE = 1 << 17, 1 << 10
+#: Cells of equal width that points and the sources' shares of them are dealt out by.
+CELLS = 1 << 12
 #: Slots whose ranks one task finds.
 SLOT_RANGE = 1 << 14
 
@@ -66,18 +68,18 @@ def schedule(targets: DataFrame, block_words: Column, blocks: Column) -> DataFra
     of a block of the source and the number of blocks that meet its target.
     """
     upto = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bounds = targets.withColumns({"_upto": F.sum(blocks).over(upto), "_slots": F.sum(blocks).over(Window.partitionBy()), "_words": block_words})
-    bounds = bounds.where(F.col("_slots") > 0)
-    # one row for the cumulative weights; a point finds its source in it
-    whole = bounds.agg(F.max("_slots").alias("_slots"), F.array_sort(F.collect_list(F.struct((F.col("_upto") / F.col("_slots")).alias("upto"), "sid", "source_size", "_words"))).alias("_cum"))
-    whole = whole.where(F.col("_slots") > 0)
-    ranges = whole.select("_cum", "_slots", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_slots") - 1) / SLOT_RANGE).cast("long"))).alias("_range")).repartition("_range")
+    bounds = targets.withColumns({"_upto": F.sum(blocks).over(upto), "_own": blocks, "_slots": F.sum(blocks).over(Window.partitionBy()), "_words": block_words})
+    bounds = bounds.where(F.col("_own") > 0)
+    # a source owns the points from _from to _to; it is found by the cells that these reach into
+    bounds = bounds.withColumns({"_from": (F.col("_upto") - F.col("_own")) / F.col("_slots"), "_to": F.col("_upto") / F.col("_slots")})
+    cells = F.sequence(F.floor(F.col("_from") * CELLS).cast("long"), F.least(F.floor(F.col("_to") * CELLS), F.lit(CELLS)).cast("long"))
+    owners = bounds.select("sid", "source_size", "_words", "_from", "_to", F.explode(cells).alias("_cell"))
+    whole = bounds.agg(F.max("_slots").alias("_slots")).where(F.col("_slots") > 0)
+    ranges = whole.select("_slots", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_slots") - 1) / SLOT_RANGE).cast("long"))).alias("_range")).repartition("_range")
     begin = F.col("_range") * SLOT_RANGE
-    slot_rows = ranges.select("_range", "_cum", F.explode(F.sequence(begin, F.least(begin + (SLOT_RANGE - 1), F.col("_slots") - 1))).alias("slot"))
-    point = (F.col("slot") * F.lit(PHI)) % 1.0
-    last = F.element_at("_cum", -1)
-    hit = F.coalesce(F.try_element_at(F.filter("_cum", lambda c: c["upto"] > F.col("_point")), F.lit(1)), last)
-    picked = slot_rows.withColumn("_point", point).withColumn("_hit", hit).select("_range", "slot", F.col("_hit.sid").alias("sid"), F.col("_hit.source_size").alias("source_size"), F.col("_hit._words").alias("_words"))
+    slot_rows = ranges.select("_range", F.explode(F.sequence(begin, F.least(begin + (SLOT_RANGE - 1), F.col("_slots") - 1))).alias("slot"))
+    slot_rows = slot_rows.withColumn("_point", (F.col("slot") * F.lit(PHI)) % 1.0).withColumn("_cell", F.floor(F.col("_point") * CELLS).cast("long"))
+    picked = slot_rows.join(owners, "_cell").where((F.col("_point") >= F.col("_from")) & (F.col("_point") < F.col("_to"))).select("_range", "slot", "sid", "source_size", "_words")
     # ranks: the source's slots in earlier ranges, and those before it in its own
     keys = ["sid", "_range"]
     sums = picked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
@@ -139,11 +141,12 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, seed: i
     keys = ("doc_id", "source", "_text")
     plan = mix_rows(docs, weights, seed).groupBy(*keys).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
     times = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
-    plan = materialise(plan.select(*(F.col(k).alias(f"_mix_{i}") for i, k in enumerate(keys)), times.alias("_mix_times")), "mix-plan")
+    own, n, time = [free_name(docs, f"_mix_{k}") for k in keys], free_name(docs, "_mix_times"), free_name(docs, "_mix_time")
+    plan = materialise(plan.select(*(F.col(k).alias(name) for k, name in zip(keys, own, strict=True)), times.alias(n)), "mix-plan")
     mine = (docs["doc_id"], docs["source"], F.xxhash64(docs["text"]))
-    same = [c.eqNullSafe(plan[f"_mix_{i}"]) for i, c in enumerate(mine)]
-    out = docs.join(plan.where("_mix_times > 0"), same[0] & same[1] & same[2])
-    return out.withColumn("_mix_time", F.explode(F.array_repeat(F.lit(1), F.col("_mix_times")))).select(*[docs[c] for c in docs.columns])
+    same = [c.eqNullSafe(plan[name]) for c, name in zip(mine, own, strict=True)]
+    out = docs.join(plan.where(plan[n] > 0), same[0] & same[1] & same[2])
+    return out.withColumn(time, F.explode(F.array_repeat(F.lit(1), F.col(n)))).select(*[docs[c] for c in docs.columns])
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

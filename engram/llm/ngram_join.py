@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.llm import words as W
-from engram.llm.common import discard, map_arrow, materialise, pieces, table, utf8
+from engram.llm.common import discard, free_name, map_arrow, materialise, pieces, table, utf8
 from engram.llm.components import components
 
 #: Elements are counted by the first COUNT_BITS bits of their hashes; a bit map has MAP_BITS bits.
@@ -335,11 +335,12 @@ def one_of_each(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     best = materialise(found.groupBy("root").agg(F.min(rank).alias("best")), "best")
     counted = found.join(best, "root").groupBy("doc_id", "node", (F.col("best") == rank).alias("stays")).agg(F.count(F.lit(1)).alias("rows"))
     counted = materialise(counted.where(~F.col("stays") | (F.col("rows") > 1)).select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"), "stays"), "dropped")
-    keyed = docs.withColumn("_digest", F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary"))))
+    digest = free_name(docs, "_digest")
+    keyed = docs.withColumn(digest, F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary"))))
     # a row of counted is 32 bytes; broadcast it only if that is little
     small = counted.count() * 32 <= BROADCAST_BYTES
     listed = F.broadcast(counted) if small else counted
-    same = keyed["doc_id"].eqNullSafe(listed["_id"]) & (keyed["_digest"] == listed["_node"])
-    once = keyed.join(listed, same, "left_anti").drop("_digest")
-    again = keyed.join(listed.where("stays"), same, "left_semi").dropDuplicates(["doc_id", "_digest"]).drop("_digest")
+    same = keyed["doc_id"].eqNullSafe(listed["_id"]) & (keyed[digest] == listed["_node"])
+    once = keyed.join(listed, same, "left_anti").drop(digest)
+    again = keyed.join(listed.where("stays"), same, "left_semi").dropDuplicates(["doc_id", digest]).drop(digest)
     return once.unionByName(again)
