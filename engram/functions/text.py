@@ -91,20 +91,30 @@ def n_analyzed(text: Column) -> Column:
 
 def word_frequency(text: Column, term: str) -> Column:
     """How often words_lower gives the term."""
-    return F.regexp_count(F.lower(text), F.lit(r"(?<!\S)" + re.escape(term) + r"(?!\S)"))
+    return _count_if_there(F.lower(text), term, r"(?<!\S)" + re.escape(term) + r"(?!\S)")
 
 
 def analyzed_frequency(text: Column, term: str) -> Column:
     """How often analyze gives the term; never, if it gives no such token."""
     if term in STOP_WORDS or not re.fullmatch(r"[a-z0-9]{2,}", term):
         return F.lit(0)
-    return F.regexp_count(F.lower(text), F.lit(rf"(?<![\p{{L}}\p{{N}}_]){term}(?![\p{{L}}\p{{N}}_])"))
+    return _count_if_there(F.lower(text), term, rf"(?<![\p{{L}}\p{{N}}_]){term}(?![\p{{L}}\p{{N}}_])")
+
+
+def _count_if_there(text: Column, term: str, pattern: str) -> Column:
+    """A pattern's matches, looked for only in texts that hold the term at all."""
+    return F.when(text.contains(term), F.regexp_count(text, F.lit(pattern))).otherwise(0)
 
 
 def entropy(text: Column) -> Column:
     return F.least(F.lit(1.0), F.length(text) / F.lit(500.0))
 
 
+def iso_time(text: Column) -> Column:
+    """A time written as ISO 8601, Z or an offset included; null if it isn't one."""
+    return text.try_cast("timestamp")
+
+
 def safe_name(topic: Column) -> Column:
     return F.translate(topic, "./\\", "___")
 

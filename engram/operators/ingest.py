@@ -46,6 +46,11 @@ def add_memories(store: DataFrame, items: DataFrame, as_of: Column, embed: Embed
     return both.withColumn("quality", X.quality(F.col("text"), F.col("confidence"), F.col("staleness"), F.lit(False), F.lit(0.0))["overall"])
 
 
+def memory_rows(items: DataFrame, tags: Column, agent: Column, importance: Column, name: Column) -> DataFrame:
+    """items with tags, agent_id, importance and memory_id, a short hash of what names them."""
+    return items.withColumns({"tags": tags, "agent_id": agent, "importance": importance, "memory_id": F.substring(F.sha1(name), 1, 16)})
+
+
 def topic_rows(chunks: DataFrame) -> DataFrame:
     """(topic, chunks, centroid_q): the table of topics, made anew from their chunks.
 

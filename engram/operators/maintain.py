@@ -6,13 +6,16 @@ names; every function takes and returns DataFrames and runs nothing.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.functions import text as X
-from engram.session import ship_package
+from engram.functions import vectors as V
+from engram.operators.ordered import on_partitions
 
 DAY = 86400.0
 
@@ -103,32 +106,63 @@ def cap(chunks: DataFrame, most: int = 300) -> DataFrame:
     return chunks.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
 
 
-def leader_merge(vectors: DataFrame, threshold: float = 0.85) -> DataFrame:
+class _Leaders:
+    """The leaders of a topic so far, in a matrix that grows by doubling."""
+
+    def __init__(self, dim: int) -> None:
+        self.ids: list[int] = []
+        self.matrix = np.zeros((16, dim))
+
+    def add(self, name: int, vector: np.ndarray) -> None:
+        if len(self.ids) == len(self.matrix):
+            self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
+        self.matrix[len(self.ids)] = vector
+        self.ids.append(name)
+
+    def assign(self, ids: list[int], m: np.ndarray, threshold: float) -> list[int]:
+        """The leaders of the next vectors, which become leaders themselves if they have none."""
+        own: list[int | None] = [None] * len(ids)
+        if self.ids:
+            near = m @ self.matrix[: len(self.ids)].T >= threshold
+            own = [self.ids[k] if found else None for k, found in zip(near.argmax(axis=1).tolist(), near.any(axis=1).tolist(), strict=True)]
+        rest = [i for i, x in enumerate(own) if x is None]
+        near = m[rest] @ m[rest].T >= threshold
+        for a, i in enumerate(rest):
+            if own[i] is None:
+                self.add(ids[i], m[i])
+                for b in np.flatnonzero(near[a, a:]) + a:
+                    if own[rest[b]] is None:
+                        own[rest[b]] = ids[i]
+        return own  # type: ignore[return-value]
+
+
+def _lead(threshold: float, block: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    topic, leaders = None, _Leaders(1)
+    for batch in batches:
+        topics, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        m = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+        m = m / (np.sqrt((m * m).sum(axis=1, keepdims=True)) + V.EPS)
+        out: list[int] = []
+        while len(out) < len(ids):
+            at = len(out)
+            if at == 0 and topic != topics[0] or topics[at] != topic:
+                topic, leaders = topics[at], _Leaders(m.shape[1])
+            end = at
+            while end < min(len(ids), at + block) and topics[end] == topic:
+                end += 1
+            out += leaders.assign(ids[at:end], m[at:end], threshold)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int64())], names=["topic", "vec_id", "leader"])
+
+
+def leader_merge(vectors: DataFrame, threshold: float = 0.85, block: int = 1024) -> DataFrame:
     """(topic, vec_id, leader): greedy leaders in the order of vec_id.
 
-    A vector joins the first earlier leader with at least the threshold's cosine, or leads.
-    The assignment is sequential, so a topic is one group of an Arrow function; a leader
-    matrix is all that is held besides the topic's own batch.
+    A vector joins the first earlier leader with at least the threshold's cosine, or leads.  The
+    assignment is sequential, so a topic's rows stream through one task, block by block; what is
+    held is its leaders and a block.
     """
-    ship_package(vectors.sparkSession)
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("vec_id")
-        m = np.array(group["embedding"].tolist(), np.float64)
-        m /= np.sqrt((m * m).sum(axis=1, keepdims=True)) + 1e-9
-        leaders: list[int] = []
-        own = []
-        for i in range(len(m)):
-            near = np.flatnonzero(m[leaders] @ m[i] >= threshold) if leaders else []
-            if len(near):
-                own.append(leaders[near[0]])
-            else:
-                leaders.append(i)
-                own.append(i)
-        ids = group["vec_id"].to_numpy()
-        return pd.DataFrame({"topic": group["topic"].to_numpy(), "vec_id": ids, "leader": ids[own]})
-
-    return vectors.groupBy("topic").applyInPandas(run, "topic string, vec_id long, leader long")
+    rows = vectors.select("topic", F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    return on_partitions(rows, "topic", "vec_id", _lead, "topic string, vec_id long, leader long", threshold, block)
 
 
 def merged(chunks: DataFrame, leaders: DataFrame, key: str = "vec_id") -> DataFrame:

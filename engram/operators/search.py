@@ -22,6 +22,8 @@ from engram.functions import vectors as V
 from engram.session import ship_package
 
 
+#: Dimensions of a vector that are averaged as columns.
+COLUMNS = 128
 #: Topics among which assign_topic chooses, at most.
 CENTROIDS = 1024
 #: Queries of at most this many bytes are broadcast together.
@@ -52,9 +54,8 @@ def batch_topk(queries: DataFrame, vectors: DataFrame, k: int, block: int = 1024
     """
     spark = vectors.sparkSession
     ship_package(spark)
-    dim = queries.select(F.max(F.size("embedding"))).first()[0] or 0
     rows = queries.select(F.col("vec_id").cast("long").alias("query_id"), "embedding")
-    n = rows.count()
+    n, dim = rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
     fitting = max(1, BROADCAST_BYTES // max(1, 4 * dim + 16))
     parts = max(1, -(-n // fitting))
     found = None
@@ -104,8 +105,10 @@ def centroids(vectors: DataFrame, topic: str = "topic") -> DataFrame:
     return vectors.select(topic, F.posexplode(V.as_double("embedding")).alias("pos", "x")).groupBy(topic, "pos").agg(F.avg("x").alias("value"))
 
 
-def centroid_vectors(vectors: DataFrame, topic: str = "topic") -> DataFrame:
-    """(topic, centroid)."""
+def centroid_vectors(vectors: DataFrame, topic: str = "topic", dim: int | None = None) -> DataFrame:
+    """(topic, centroid); a small dimension that is known is averaged place by place, without a row for each."""
+    if dim and dim <= COLUMNS:
+        return vectors.groupBy(topic).agg(F.array(*[F.avg(F.get("embedding", i).cast("double")) for i in range(dim)]).alias("centroid"))
     listed = centroids(vectors, topic).groupBy(topic).agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("p"))
     return listed.select(topic, F.transform("p", lambda p: p["value"]).alias("centroid"))
 
@@ -126,7 +129,7 @@ def assign_topic(vectors: DataFrame, centroids_: DataFrame, topic: str = "topic"
 
 def prefilter(vectors: DataFrame, query: Sequence[float], topics: int, similarity: Callable[[Column, Column], Column] = V.cosine) -> DataFrame:
     """(topic, score): the topics whose centroids are most similar to the query."""
-    scored = centroid_vectors(vectors).select("topic", similarity(F.col("centroid"), literal_vector(query)).alias("score"))
+    scored = centroid_vectors(vectors, dim=len(query)).select("topic", similarity(F.col("centroid"), literal_vector(query)).alias("score"))
     return topk(scored, topics, key="topic")
 
 
@@ -239,7 +242,8 @@ def normalized(scored: DataFrame, method: str, key: str = "doc_id") -> DataFrame
 def recency(ts: Column, as_of: Column) -> Column:
     """exp(-0.023 * age in days), between 0 and 1; 0.5 if there is no time."""
     age = (F.unix_timestamp(as_of) - F.unix_timestamp(ts)) / 86400.0
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.exp(-0.023 * age))), F.lit(0.5))
+    # least and greatest pass over nulls, so a missing time is asked for first
+    return F.when(ts.isNull() | as_of.isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.exp(-0.023 * age))))
 
 
 WEIGHTS = {"vector": 0.6, "keyword": 0.3, "recency": 0.1, "confidence": 0.0}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from engram.functions import text as X
 from engram.functions import vectors as V
 from engram.operators import filters, maintain, metrics, search
-from engram.session import spread
+from engram.session import scratch_folder, spread
 from engram.sources import store
 from engram.streaming import events as E
 
@@ -367,7 +366,7 @@ def _weighted_sql(method: str) -> str:
         + f""", {DOC}, a AS (SELECT doc_id, {n} AS s FROM vs), b AS (SELECT doc_id, {n} AS s FROM kw),
     j AS (SELECT doc_id, coalesce(a.s, 0) AS v, coalesce(b.s, 0) AS k FROM a FULL JOIN b USING (doc_id))
     SELECT doc_id, round(0.6*v, 6) AS vector, round(0.3*k, 6) AS keyword,
-    round(0.6*v+0.3*k+0.1*coalesce(greatest(0, least(1, exp(-0.023*(epoch(TIMESTAMP '2024-02-01')-epoch(ts))/86400))), 0.5), 6) AS score FROM j LEFT JOIN d USING (doc_id)"""
+    round(0.6*v+0.3*k+0.1*CASE WHEN ts IS NULL THEN 0.5 ELSE greatest(0, least(1, exp(-0.023*(epoch(TIMESTAMP '2024-02-01')-epoch(ts))/86400))) END, 6) AS score FROM j LEFT JOIN d USING (doc_id)"""
     )
 
 
@@ -708,25 +707,25 @@ def event_windows(spark, sf):
 
 @query(WINDOWS)
 def stream_windows(spark, sf):
-    folder = tempfile.mkdtemp(prefix="engram-stream-")
+    folder = scratch_folder(spark, "stream")
     return _windows_out(E.run_to_table(E.windows(E.stream_events(spark, sf)), f"{folder}/out", f"{folder}/checkpoint", "complete"))
 
 
 @query("SELECT event_id, event_type FROM events WHERE event_id >= 1000")
 def stream_replay(spark, sf):
-    folder = tempfile.mkdtemp(prefix="engram-stream-")
+    folder = scratch_folder(spark, "stream")
     return E.run_to_table(E.truncate(E.stream_events(spark, sf), 1000).select("event_id", "event_type"), f"{folder}/out", f"{folder}/checkpoint")
 
 
 @query("SELECT DISTINCT user_id FROM events")
 def stream_dedup(spark, sf):
-    folder = tempfile.mkdtemp(prefix="engram-stream-")
+    folder = scratch_folder(spark, "stream")
     return E.run_to_table(E.stream_events(spark, sf).select("user_id").dropDuplicates(["user_id"]), f"{folder}/out", f"{folder}/checkpoint")
 
 
 @query("SELECT topic, count(*) AS n FROM (SELECT 't'||label AS topic FROM embeddings) GROUP BY topic")
 def parquet_roundtrip(spark, sf):
-    folder = tempfile.mkdtemp(prefix="engram-export-")
+    folder = scratch_folder(spark, "export")
     store.export(vectors(spark, sf).select("topic", "vec_id", "embedding"), folder)
     return store.import_parquet(spark, folder).groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-from pathlib import Path
-
 from pyspark.sql import functions as F
 
 from engram.functions import text as X
@@ -36,6 +33,7 @@ from engram.plans.catalogue import (
     vector_of,
     vectors,
 )
+from engram.session import scratch_folder
 from engram.sources import logs, store
 from engram.streaming import events as E
 from engram.streaming import stateful as S
@@ -44,14 +42,6 @@ NOW = "TIMESTAMP '2024-02-01'"
 MEM = f"m AS (SELECT v.*, text, source, lang FROM v JOIN documents ON doc_id = vec_id)"
 
 
-def scratch(spark, name: str) -> str:
-    """A folder for what a query writes: in the shared one where the session names it."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return f"{named.rstrip('/')}/{name}-{Path(tempfile.mktemp()).name}"
-    return tempfile.mkdtemp(prefix=f"engram-{name}-")
-
-
 def events(spark, sf):
     return E.read_events(spark, f"{sf}/events.parquet")
 
@@ -239,7 +229,7 @@ def _thresholds_sql() -> str:
     return (
         FUSE
         + f""", {DOC}, a AS (SELECT doc_id, {n} AS s FROM vs), b AS (SELECT doc_id, {n} AS s FROM kw), j AS (SELECT doc_id, coalesce(a.s, 0) AS v, coalesce(b.s, 0) AS k FROM a FULL JOIN b USING (doc_id)),
-    z AS (SELECT doc_id, CASE WHEN v < 0.3 THEN 0 ELSE v END AS v, CASE WHEN k < 0.2 THEN 0 ELSE k END AS k, coalesce(greatest(0, least(1, exp(-0.023*(epoch({NOW})-epoch(ts))/86400))), 0.5) AS r FROM j LEFT JOIN d USING (doc_id))"""
+    z AS (SELECT doc_id, CASE WHEN v < 0.3 THEN 0 ELSE v END AS v, CASE WHEN k < 0.2 THEN 0 ELSE k END AS k, CASE WHEN ts IS NULL THEN 0.5 ELSE greatest(0, least(1, exp(-0.023*(epoch({NOW})-epoch(ts))/86400))) END AS r FROM j LEFT JOIN d USING (doc_id))"""
     )
 
 
@@ -401,7 +391,7 @@ def memory_statistics(spark, sf):
 
 @query("SELECT count(*) AS vectors, count(*)*48 AS bytes, round(64*4/48.0, 6)::DOUBLE AS ratio FROM embeddings WHERE vec_id % 10 <> 0")
 def vector_store(spark, sf):
-    folder = scratch(spark, "vectors")
+    folder = scratch_folder(spark, "vectors")
     v = vectors(spark, sf).select("vec_id", "embedding")
     store.export_quantized(logs.remove(v, v.where(F.col("vec_id") % 10 == 0), "vec_id"), folder)
     return logs.vector_store_statistics(spark.read.parquet(folder)).select("vectors", "bytes", r6("ratio").alias("ratio"))
@@ -409,7 +399,7 @@ def vector_store(spark, sf):
 
 @query(_codec_sql(6) + " SELECT vec_id, round(list_sum(list_transform(u, lambda x: (x-31)*scale)), 6) AS total FROM u")
 def quantized_export(spark, sf):
-    folder = scratch(spark, "quantized")
+    folder = scratch_folder(spark, "quantized")
     store.export_quantized(vectors(spark, sf).select("vec_id", "embedding"), folder)
     back = store.unpacked(spark.read.parquet(folder))
     return back.select("vec_id", r6(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x)).alias("total"))
@@ -419,7 +409,7 @@ def quantized_export(spark, sf):
 def segments_compacted(spark, sf):
     """Segments written twice, the second time with newer rows, and compacted."""
     v = vectors(spark, sf).select("vec_id", "topic", "confidence", "ts")
-    old, new = scratch(spark, "segments"), scratch(spark, "compact")
+    old, new = scratch_folder(spark, "segments"), scratch_folder(spark, "compact")
     logs.write_segments(v.withColumns({"confidence": F.lit(0.0), "ts": F.col("ts") - F.expr("interval 1 day")}), old, 3)
     logs.write_segments(v, old, 3)
     return logs.compact_segments(spark, old, new, 2).select("vec_id", "topic", r6("confidence").alias("confidence"))
@@ -483,7 +473,7 @@ def pull_filtered(spark, sf):
 def replicate_rows(spark, sf):
     """Every event once, with its values, after two exchanges with an overlapping remote."""
     e = events(spark, sf).withColumn("origin", F.lit("a"))
-    folder = scratch(spark, "log")
+    folder = scratch_folder(spark, "log")
     E.export_log(e.where(F.col("event_id") % 3 != 1), folder)
     once = E.import_log(spark, folder, e.where(F.col("event_id") % 3 != 0))
     return E.import_log(spark, folder, once).select("event_id", "event_type")
@@ -509,7 +499,7 @@ def replay_counted(spark, sf):
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS hits FROM events GROUP BY 1, 2")
 def stream_hot(spark, sf):
-    folder = scratch(spark, "hot")
+    folder = scratch_folder(spark, "hot")
     found = E.run_to_table(S.hot_stream(E.stream_events(spark, sf), "event_type"), f"{folder}/out", f"{folder}/checkpoint", "complete")
     return found.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "hits")
 
@@ -517,7 +507,7 @@ def stream_hot(spark, sf):
 @query("SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
 def stream_periodic(spark, sf):
     """A maintenance job on each micro-batch: here it keeps the accesses of each key."""
-    folder = scratch(spark, "periodic")
+    folder = scratch_folder(spark, "periodic")
 
     def job(batch):
         batch.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).write.mode("append").parquet(f"{folder}/out")
@@ -541,3 +531,33 @@ def scene_changes(spark, sf):
 @query("WITH s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), g AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM s) SELECT user_id, min(ts) AS session_start, count(*) AS n FROM g GROUP BY user_id, k")
 def event_sessions(spark, sf):
     return E.sessions(events(spark, sf)).select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "n")
+
+
+# --- more of the store --------------------------------------------------------------------
+
+
+@query(f"WITH {DOC} SELECT doc_id, round(greatest(0, least(1, exp(-0.023*(epoch({NOW})-epoch(ts))/86400))), 6) AS good, 0.5::DOUBLE AS bad FROM d")
+def recency_of_text(spark, sf):
+    """Times as text, with a Z for UTC; what can't be read counts as half."""
+    rows = texts(spark, sf).withColumn("iso", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    return rows.select("doc_id", r6(search.recency(X.iso_time(F.col("iso")), as_of())).alias("good"), r6(search.recency(X.iso_time(F.concat(F.lit("x"), "iso")), as_of())).alias("bad"))
+
+
+@query(f"WITH {VEC} SELECT topic, vec_id, 'src' || topic AS source, substr(sha1('m' || vec_id::VARCHAR), 1, 16) AS memory_id, len(['a', topic])::BIGINT AS n_tags, round(confidence, 6)::DOUBLE AS importance FROM v WHERE vec_id % 4 = 0")
+def tagged_memories(spark, sf):
+    rows = vectors(spark, sf).where("vec_id % 4 = 0").withColumns({"source": F.concat(F.lit("src"), "topic"), "name": F.concat(F.lit("m"), "vec_id")})
+    added = ingest.memory_rows(rows, tags=F.array(F.lit("a"), "topic"), agent=F.lit("tests"), importance=F.col("confidence"), name=F.col("name"))
+    return added.select("topic", "vec_id", "source", "memory_id", F.size("tags").cast("long").alias("n_tags"), r6("importance").alias("importance"))
+
+
+@query(f"WITH {VEC} SELECT vec_id, topic, round(e[1], 6) AS first FROM v WHERE vec_id IN (3, 5, 8)")
+def vectors_by_key(spark, sf):
+    v = vectors(spark, sf)
+    return pipeline.hits_with_metadata(v.where(F.col("vec_id").isin(3, 5, 8)).select("vec_id", "embedding"), v.select("vec_id", "topic")).select("vec_id", "topic", r6(F.get("embedding", 0).cast("double")).alias("first"))
+
+
+@query()
+def cluster_topics(spark, sf):
+    """Every vector with the nearest of 8 centroids that are fitted on a bounded sample."""
+    v = read(spark, sf, "embeddings")
+    return search.with_list(v, search.kmeans_lists(v, 8)).select("vec_id", F.col("bucket").alias("cluster"))

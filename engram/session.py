@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -49,3 +50,13 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, for what a query writes.
+
+    It lies in the folder that ``spark.checkpoint.dir`` names; only where that is unset, in a local
+    session, a temporary one takes its place.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{named.rstrip('/')}/engram-{name}-{uuid.uuid4().hex}" if named else tempfile.mkdtemp(prefix=f"engram-{name}-")

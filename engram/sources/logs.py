@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import partial
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,12 +90,3 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
 
 def last_version(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.coalesce(F.max(column), F.lit(0)).alias("version"))
-
-
-def on_partitions(df: DataFrame, key: str, order: str, function: Callable[..., object], schema: str, *arguments: object) -> DataFrame:
-    """A fold over the rows of each key in order, which keeps only the fold's own state.
-
-    Keys are dealt out by a hash and sorted within a task, so a key's rows stream by and are never
-    held together.  ``function(arguments, key batches)`` is a generator over Arrow batches.
-    """
-    return df.repartition(key).sortWithinPartitions(key, order).mapInArrow(partial(function, *arguments), schema)

@@ -30,8 +30,8 @@ def read_chunks(spark: SparkSession, path: str, topics: list[str] | None = None)
 
 
 def write_chunks(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Overwrites the topics that df has and no others."""
-    df.repartition("topic").write.mode(mode).option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("topic").parquet(path)
+    """Overwrites the topics that df has and no others; a large topic goes to several tasks."""
+    df.hint("rebalance", F.col("topic")).write.mode(mode).option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("topic").parquet(path)
 
 
 def export(df: DataFrame, path: str, vectors: bool = True) -> None:

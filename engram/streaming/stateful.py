@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from engram.functions import vectors as V
+from engram.operators.ordered import on_partitions
 from engram.session import ship_package
-from engram.sources.logs import on_partitions
 
 
 _BITS = (1 << 64) - 1
@@ -41,7 +41,6 @@ def drop_recent_duplicates(frames: DataFrame, key: str, order: str, value: str,
 
     A null hash is kept and not remembered.
     """
-    ship_package(frames.sparkSession)
     rows = frames.select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(value).alias("v"))
     kinds = [f.dataType.simpleString() for f in rows.schema]
     found = on_partitions(rows, "k", "o", _recent, f"k {kinds[0]}, o {kinds[1]}, v {kinds[2]}", window, distance)
@@ -64,7 +63,6 @@ def _changes(threshold: float, step: int, batches: Iterator[pa.RecordBatch]) ->
 
 def scene_changes(frames: DataFrame, key: str, order: str, value: str, threshold: float, step: int = 1) -> DataFrame:
     """(key, order, value) of every step-th row that differs by over the threshold from the last one kept."""
-    ship_package(frames.sparkSession)
     rows = frames.select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(value).cast("double").alias("v"))
     kinds = [f.dataType.simpleString() for f in rows.schema]
     found = on_partitions(rows, "k", "o", _changes, f"k {kinds[0]}, o {kinds[1]}, v double", threshold, step)
