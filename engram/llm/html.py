@@ -7,9 +7,10 @@ that repeat across distinct pages.  The markup is a prior for what they mean: ou
 run on two pages is boilerplate, in an article one that a large share of the host's pages show.
 Covered runs go and unique runs stay.
 
-Suffixes with a common prefix of RUN words or more are an interval of the suffix array.  The hash
-of that prefix stands for the interval, so that a host's pages are compared as a whole, in many
-tasks, whatever the size of the host; longer substrings are intervals at neighbouring places.
+Suffixes with a common prefix of RUN words or more are an interval of the suffix array, and the
+words of all substrings that repeat are those of such prefixes.  So the array is kept in buckets, a
+bucket an interval, named by the hash of its prefix: a host's pages are compared as a whole, in
+many tasks, whatever the size of the host.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 
 from engram.llm import words as W
 from engram.llm.common import discard, map_arrow, materialise, pieces, table
+from engram.llm.decontamination import suffix_array
 
 #: Words of a run that counts as long.
 RUN = 8
@@ -213,65 +215,61 @@ def page_blocks(source: str) -> list[Block]:
     return b.blocks
 
 
-def run_ranks(tokens: np.ndarray, depth: int = RUN) -> np.ndarray:
-    """For each suffix its rank by its first ``depth`` (a power of two) tokens, by prefix doubling.
-
-    The ranks are those of a suffix array sorted to that depth: suffixes of equal rank are an
-    interval of it with common prefixes of at least ``depth``.
-    """
-    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
-    k = 1
-    while k < depth:
-        after = np.full(len(rank), -1, np.int64)
-        after[: len(rank) - k] = rank[k:]
-        rank = np.unique(rank * (len(rank) + 2) + after + 1, return_inverse=True)[1].astype(np.int64)
-        k *= 2
-    return rank
-
-
-def _on_several_pages(keys: np.ndarray, pages: np.ndarray) -> np.ndarray:
-    """For each place, whether its key occurs on at least two pages."""
-    least, most = np.full(keys.max() + 1, np.iinfo(np.int64).max), np.full(keys.max() + 1, -1, np.int64)
-    np.minimum.at(least, keys, pages)
-    np.maximum.at(most, keys, pages)
-    return least[keys] != most[keys]
+def common_prefixes(s: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """For each place in a suffix array the length of the prefix that its suffix shares with the one before."""
+    rank = np.empty(len(s), np.int64)
+    rank[order] = np.arange(len(s))
+    values, before = s.tolist(), [int(order[r - 1]) if r else -1 for r in rank.tolist()]
+    out, h = np.zeros(len(s), np.int64), 0
+    for i, j in enumerate(before):  # a suffix shares at most one word less than the one that starts a word earlier
+        if j < 0:
+            h = 0
+            continue
+        while i + h < len(values) and j + h < len(values) and values[i + h] == values[j + h]:
+            h += 1
+        out[rank[i]] = h
+        h = max(0, h - 1)
+    return out
 
 
 def repeated_words(pages: list[list[list[str]]]) -> list[list[np.ndarray]]:
     """For each page's blocks' words, whether a run that repeats across distinct pages covers them.
 
-    A run has RUN words at least; a whole shorter block counts as a run between its ends.
+    A run has RUN words at least; a whole shorter block counts as a run between its ends.  This is
+    the suffix array of all pages' tokens with its common prefixes, for pages that one task holds;
+    extract_pages finds the same words of any number of pages by the hashes of runs.
     """
-    texts = [" ".join(w).encode() for page in pages for w in page]
-    owner = np.repeat(np.arange(len(pages)), [len(p) for p in pages])
-    if not texts:
+    flat = [(k, b, w) for k, page in enumerate(pages) for b, w in enumerate(page)]
+    if not flat:
         return [[] for _ in pages]
-    # words as tokens; after each block an end of its own, which no run can pass
-    hashes: list[np.ndarray] = []
-    for first, last, h, bounds, _, _ in W.batches(texts, W.NON_SPACE, lower=False):
-        hashes += [h[bounds[i] : bounds[i + 1]] for i in range(last - first)]
-    sizes = np.array([len(h) for h in hashes])
-    begin = np.concatenate([[0], np.cumsum(sizes + 1)])
-    ids = np.unique(np.concatenate(hashes), return_inverse=True)[1]
-    inside = np.ones(begin[-1], bool)
-    inside[begin[1:] - 1] = False
-    symbol = np.zeros(begin[-1], np.int64)
-    symbol[inside] = ids
-    symbol[~inside] = len(ids) + 1 + np.arange(len(sizes))
-    place_page = np.repeat(owner, sizes + 1)
-    repeats = _on_several_pages(run_ranks(symbol), place_page)
-    cover = np.zeros(begin[-1] + RUN + 1, np.int64)
-    at = np.flatnonzero(repeats & inside)
+    number: dict[str, int] = {}
+    symbols, owner, end = [], [], -1
+    for k, _, words in flat:  # after each block an end of its own, which no run can pass
+        symbols += [number.setdefault(w, len(number) + 1) for w in words] + [end]
+        owner += [k] * (len(words) + 1)
+        end -= 1
+    s, own = np.array(symbols), np.array(owner)
+    order = suffix_array(s)
+    # suffixes with RUN words or more in common are neighbours: an interval of the array
+    interval = np.cumsum(common_prefixes(s, order) < RUN)
+    several = np.zeros(interval[-1] + 1, bool)
+    several[interval[1:][(interval[1:] == interval[:-1]) & (own[order[1:]] != own[order[:-1]])]] = True
+    cover = np.zeros(len(s) + RUN + 1, np.int64)
+    at = order[several[interval]]
     np.add.at(cover, at, 1)
     np.add.at(cover, at + RUN, -1)
-    covered = np.cumsum(cover)[: begin[-1]] > 0
-    short = np.flatnonzero(sizes < RUN)
-    if len(short):
-        whole = np.unique([texts[i] for i in short], return_inverse=True)[1]
-        for i in short[_on_several_pages(whole, owner[short])]:
-            covered[begin[i] : begin[i + 1]] = True
-    flags = iter([covered[a : b - 1] for a, b in zip(begin[:-1], begin[1:], strict=True)])
-    return [[next(flags) for _ in page] for page in pages]
+    covered = np.cumsum(cover)[: len(s)] > 0
+    short: dict[tuple[str, ...], set[int]] = {}
+    for k, _, words in flat:
+        if len(words) < RUN:
+            short.setdefault(tuple(words), set()).add(k)
+    out: list[list[np.ndarray]] = [[] for _ in pages]
+    begin = 0
+    for k, _, words in flat:
+        whole = len(words) < RUN and len(short[tuple(words)]) > 1
+        out[k].append(np.full(len(words), True) if whole else covered[begin : begin + len(words)])
+        begin += len(words) + 1
+    return out
 
 
 def main_text(blocks: list[Block], covered: list[np.ndarray]) -> str:

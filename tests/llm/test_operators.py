@@ -502,6 +502,32 @@ def test_repeated_words_against_plain():
             assert (got == expected).all()
 
 
+def test_buckets_cover_what_the_suffix_array_does():
+    """Runs by hash and the suffix array with its common prefixes cover the same words."""
+    random = np.random.default_rng(9)
+    pages = [[html.Block([f"w{x}" for x in random.integers(0, 3, random.integers(1, 60))], False) for _ in range(random.integers(0, 4))] for _ in range(12)]
+    keys = html.Runs.of(pages, np.zeros(len(pages), np.int64))
+    on = defaultdict(set)
+    for run, page in zip(keys.hashes.tolist(), keys.owners.tolist(), strict=True):
+        on[run].add(page)
+    flags = iter(keys.covered(np.array([run for run, p in on.items() if len(p) > 1], np.int64)))
+    for page, expected in zip(pages, html.repeated_words([[b.words for b in page] for page in pages]), strict=True):
+        for _, e in zip(page, expected, strict=True):
+            assert (next(flags) == e).all()
+
+
+def test_common_prefixes():
+    random = np.random.default_rng(2)
+    s = random.integers(0, 3, 200)
+    order = decontamination.suffix_array(s)
+    for k, n in enumerate(html.common_prefixes(s, order)):
+        a, b = (s[order[k - 1] :], s[order[k] :]) if k else ([], [])
+        plain = 0
+        while plain < min(len(a), len(b)) and a[plain] == b[plain]:
+            plain += 1
+        assert n == plain
+
+
 def test_html_compares_a_host_whole(spark):
     """Runs on just two of a host's many pages go, with the pages far apart."""
     def words(k):
