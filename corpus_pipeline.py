@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as Parquet in
 the shared folder and reads again for the next one.  All stages but the last return the columns
-of documents.  An empty table passes through all of them; nulls are handled as the operators say.
+of documents, other columns of any name included.  An empty table passes through all of them.
+Nulls, ties, repeated rows and very long texts are handled as each stage says.
 """
 
 from __future__ import annotations
@@ -26,29 +27,50 @@ SHARDS = 16
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be determined go; a null lang becomes the predicted one."""
+    """Documents whose language can't be determined go; a null lang becomes the predicted one.
+
+    That are those with a null or empty text or without a letter, and all of them where no row has
+    a lang to learn from.  Whole texts are read; repeated rows get equal answers and all stay.
+    """
     found = identify(docs, train(docs)).where(F.col("lang_pred") != UNDETERMINED)
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones stays (word 5-grams, Jaccard 0.8 or more)."""
+    """One document of each group of linked ones stays (word 5-grams, Jaccard 0.8 or more).
+
+    It is the one of the least doc_id, null ids last; among equal ids the least hash of the text,
+    and of equal rows one.  A document of fewer than five words links with equal ones only, and one
+    without words, or with a null text, with none: it stays.
+    """
     return one_of_each(docs, n=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go.
+
+    A null text holds none; an item without words has none; an item of fewer than ten words is one
+    window.  An empty benchmark lets all documents pass.
+    """
     found = find_contamination(docs, table(spark, sf_dir, "benchmark"))
     return found.where(F.size("hit_spans") == 0).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
+    """Each document as often as the mix of sources takes it: not at all, once or twice.
+
+    Null is a source of its own; a document without words, or with a null text, stays once; rows
+    that agree in doc_id, source and text are taken equally often.  Reruns agree.
+    """
     return mixed_documents(docs)
 
 
 def assign_to_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their shard, and the one that one more shard would give them."""
+    """The documents with their shard, and the one that one more shard would give them.
+
+    doc_id alone decides, so copies and repeated rows share a shard, and null ids are one key;
+    columns named shard and grown_shard are replaced.
+    """
     return assign_shards(docs, [1.0] * SHARDS)
 
 
