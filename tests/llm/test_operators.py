@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import math
 import re
 import struct
 import time
@@ -146,6 +147,76 @@ def test_mixing(docs, empty):
     assert times[6] == 1 and mixing.mixed_documents(docs).columns == docs.columns
 
 
+def plain_mix(df):
+    """The schedule step by step: (doc_id, source, text hash) -> words taken by each of its copies, in their order."""
+    hashed = df.select("doc_id", "source", "text", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(42), "doc_id", F.xxhash64("text")).alias("order")).collect()
+    size = {r.h: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in hashed}
+    by_source = defaultdict(list)
+    for r in hashed:
+        by_source[r.source].append(r)
+    sources = sorted(s for s in by_source if s is not None) + [s for s in by_source if s is None]
+    totals = {s: sum(size[r.h] for r in by_source[s]) for s in sources}
+    weight = {s: mixing.WEIGHTS[i % 3] for i, s in enumerate(sources)}
+    target, free, rest = {}, set(sources), 1.5 * sum(totals.values())
+    while free:
+        level = rest / sum(weight[s] for s in free)
+        over = {s for s in free if level * weight[s] >= 2 * totals[s]}
+        if not over:
+            target |= {s: level * weight[s] for s in free}
+            break
+        target |= {s: 2.0 * totals[s] for s in over}
+        rest -= sum(2 * totals[s] for s in over)
+        free -= over
+    least = max(mixing.SLOTS_A_SOURCE, mixing.SLOTS // len(sources))
+    words = {s: max(1, int(target[s] // least)) for s in sources}
+    blocks = {s: -int(-target[s] // words[s]) for s in sources}
+    slots, upto = sum(blocks.values()), {}
+    at = 0
+    for s in sources:
+        upto[s] = (at / slots, (at + blocks[s]) / slots) if slots else (0, 0)
+        at += blocks[s]
+    rank, uses = Counter(), Counter()
+    for slot in range(slots):
+        point = (slot * mixing.PHI) % 1.0
+        s = next(s for s in sources if upto[s][0] <= point < upto[s][1])
+        k = rank[s]
+        rank[s] += 1
+        n = -(-totals[s] // words[s])
+        if k < 2 * n:
+            uses[s, k % n] += 1
+    taken = defaultdict(list)
+    for s in sources:
+        place = 0
+        for r in sorted(by_source[s], key=lambda r: (r.order, r.doc_id is not None, r.doc_id or 0, r.h, size[r.h])):
+            n = 0
+            for word in range(place, place + size[r.h]):
+                n += uses[s, word // words[s]]
+            taken[r.doc_id, s, r.h].append(n)
+            place += size[r.h]
+    return {k: sorted(v) for k, v in taken.items()}
+
+
+def test_mixing_against_plain(spark, docs, monkeypatch):
+    monkeypatch.setattr(mixing, "SLOTS", 64)  # blocks of several words
+    monkeypatch.setattr(mixing, "SLOTS_A_SOURCE", 16)
+    for df in (docs, spark.range(200).selectExpr("id % 190 AS doc_id", "repeat('w ', int(id % 13)) AS text", "nullif(concat('s', id % 5), 's4') AS source")):
+        got = defaultdict(list)
+        for r in mixing.mix_rows(df).collect():
+            got[r.doc_id, r.source, r._text].append(r.taken)
+        assert {k: sorted(v) for k, v in got.items()} == plain_mix(df)
+
+
+def plain_shard(hashes, shards):
+    """The shard of the largest score -1 / ln(u), by the hashes of a key with each shard."""
+    return max(range(shards), key=lambda k: (1 / -math.log(((hashes[k] % 2**64 >> 12) + 0.5) / 2**52), k))
+
+
+def test_shards_against_plain(docs):
+    hashes = docs.select("doc_id", F.array(*[F.xxhash64("doc_id", F.lit(k), F.lit(42)) for k in range(17)]).alias("h"))
+    expected = sorted(((r.doc_id, plain_shard(r.h, 16), plain_shard(r.h, 17)) for r in hashes.collect()), key=repr)
+    assert collect(sharding.shard_documents(docs), "doc_id", "shard", "grown_shard") == expected
+
+
 def test_mixing_small_source(spark):
     """A source of fewer words than a large one's block is taken as often as its target says."""
     large = [(k, "a " * 200_000, f"s{k:02}") for k in range(20) if k != 7]

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 from pyspark.sql import functions as F
-from test_operators import SCHEMA, plain_components, rows
+from test_operators import SCHEMA, plain_components, plain_mix, plain_shard, rows
 
 import corpus_pipeline
-from engram.llm import decontamination, langid
+from engram.llm import decontamination, langid, mixing
 
 
 def test_pipeline(spark, tmp_path):
@@ -29,10 +30,19 @@ def test_pipeline(spark, tmp_path):
         frame = f(spark, frame, str(tmp_path))
         assert frame.columns == docs.columns
     assert sorted((r.doc_id for r in frame.collect()), key=repr) == expected
+    # the mix and the shards by their plain versions
+    kept, size = Counter(), {}
+    for (doc_id, source, h), taken in plain_mix(frame).items():
+        size[doc_id, source, h] = None
+        kept[doc_id, source, h] = sum(taken) / len(taken)
+    lengths = {(r.doc_id, r.source, r.h): r.n for r in frame.select("doc_id", "source", F.xxhash64("text").alias("h"), mixing.n_words(F.col("text")).alias("n")).collect()}
+    times = Counter({k: 1 if not lengths[k] else math.floor(kept[k] / lengths[k] + 0.5) for k in size})
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert set(docs.columns) < set(out.columns)
-    times = Counter(r.doc_id for r in out.collect())
-    assert set(times) <= set(expected) and max(times.values()) <= 2
+    got = Counter((r.doc_id, r.source, r.h) for r in out.select("doc_id", "source", F.xxhash64("text").alias("h")).collect())
+    assert got == +times
+    hashes = out.select("doc_id", "shard", "grown_shard", F.array(*[F.xxhash64("doc_id", F.lit(k), F.lit(42)) for k in range(17)]).alias("h")).collect()
+    assert all((r.shard, r.grown_shard) == (plain_shard(r.h, 16), plain_shard(r.h, 17)) for r in hashes)
 
 
 def test_empty_tables(spark, tmp_path):
