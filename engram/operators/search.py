@@ -188,6 +188,16 @@ def bm25(docs: DataFrame, query: Sequence[str], analyzer: Analyzer = ANALYZED, k
     return scored if keep_zero else scored.where(F.col("score") > 0)
 
 
+def only(scored: DataFrame, allowed: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Scores of the allowed documents, as the whole corpus gives them."""
+    return scored.join(allowed.select(key), key, "left_semi")
+
+
+def term_frequencies(docs: DataFrame, analyzer: Analyzer = ANALYZED, key: str = "doc_id") -> DataFrame:
+    """(key, term, tf): how often each document has each of its terms."""
+    return docs.select(key, F.explode(analyzer.tokens(F.coalesce("text", F.lit("")))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
 def index_statistics(docs: DataFrame, analyzer: Analyzer = ANALYZED) -> DataFrame:
     """One row: documents, mean length, distinct terms."""
     text = F.coalesce("text", F.lit(""))
@@ -208,13 +218,14 @@ def ranked(scored: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), F.col(key))) - 1)
 
 
-def rrf(lists: Sequence[DataFrame], depth: int, constant: int = 60, key: str = "doc_id") -> DataFrame:
-    """Reciprocal rank fusion of the first ``depth`` of each list."""
+def rrf(lists: Sequence[DataFrame], depth: int, constant: int = 60, key: str = "doc_id", min_score: float = 0.0) -> DataFrame:
+    """Reciprocal rank fusion of the first ``depth`` of each list; lower scores than min_score go."""
     parts = [ranked(x, depth, key).select(key, (F.lit(1.0) / (constant + F.col("rank"))).alias("part")) for x in lists]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.groupBy(key).agg(F.sum("part").alias("score"))
+    fused = out.groupBy(key).agg(F.sum("part").alias("score"))
+    return fused.where(F.col("score") >= min_score) if min_score else fused
 
 
 def linear_fusion(keyword: DataFrame, vector: DataFrame, alpha: float = 0.5, key: str = "doc_id") -> DataFrame:

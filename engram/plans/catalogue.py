@@ -208,11 +208,11 @@ def _codec_sql(bits: int) -> str:
 
 
 def _quantize_query(bits: int) -> None:
-    sql = _codec_sql(bits) + " SELECT vec_id, round(scale, 9) AS scale, list_sum(u)::BIGINT AS total, u[1] AS first FROM u"
+    sql = _codec_sql(bits) + " SELECT vec_id, round(scale, 9) AS scale, array_to_string(u, ',') AS u FROM u"
 
     def run(spark, sf):
         q = vectors(spark, sf).select("vec_id", V.quantize(V.as_double("embedding"), bits).alias("q"))
-        return q.select("vec_id", F.round("q.scale", 9).alias("scale"), F.aggregate("q.values", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"), F.get("q.values", 0).alias("first"))
+        return q.select("vec_id", F.round("q.scale", 9).alias("scale"), F.array_join(F.col("q.values").cast("array<string>"), ",").alias("u"))
 
     run.__name__ = f"quantize_q{bits}"
     query(sql)(run)
@@ -390,11 +390,11 @@ def recency(spark, sf):
     return texts(spark, sf).select("doc_id", r6(search.recency(F.col("ts"), as_of())).alias("recency"))
 
 
-@query(f"WITH {VEC}, {Q0}, m AS (SELECT vec_id, max(s) AS score FROM (SELECT vec_id, 0.6*{cos('e', 'qe')} AS s FROM v, q UNION ALL SELECT vec_id, 0.4*list_dot_product(e, qe) FROM v, q) GROUP BY vec_id) SELECT vec_id, round(score, 6) AS score FROM m ORDER BY m.score DESC, vec_id LIMIT 10")
+@query(f"WITH {VEC}, {Q0}, m AS (SELECT vec_id, max(s) AS score, arg_max(via, s) AS via FROM (SELECT vec_id, 0.6*{cos('e', 'qe')} AS s, 'text' AS via FROM v, q UNION ALL SELECT vec_id, 0.4*list_dot_product(e, qe), 'clip' FROM v, q) GROUP BY vec_id) SELECT vec_id, round(score, 6) AS score, via FROM m ORDER BY m.score DESC, vec_id LIMIT 10")
 def merge_max(spark, sf):
     v, q = vectors(spark, sf), search.literal_vector(vector_of(spark, sf))
     e = V.as_double("embedding")
-    return search.merge_max([("text", v.withColumn("score", V.cosine(e, q)), 0.6), ("clip", v.withColumn("score", V.dot(e, q)), 0.4)], 10).select("vec_id", r6("score").alias("score"))
+    return search.merge_max([("text", v.withColumn("score", V.cosine(e, q)), 0.6), ("clip", v.withColumn("score", V.dot(e, q)), 0.4)], 10).select("vec_id", r6("score").alias("score"), "via")
 
 
 @query(f"WITH {VEC}, {Q0} SELECT vec_id, round(1-list_dot_product(e, qe)/(sqrt(list_dot_product(e, e))*sqrt(list_dot_product(qe, qe))+1e-8), 6) AS score FROM v, q ORDER BY round(1-list_dot_product(e, qe)/(sqrt(list_dot_product(e, e))*sqrt(list_dot_product(qe, qe))+1e-8), 12), vec_id LIMIT 10")
@@ -723,11 +723,12 @@ def stream_dedup(spark, sf):
     return E.run_to_table(E.stream_events(spark, sf).select("user_id").dropDuplicates(["user_id"]), f"{folder}/out", f"{folder}/checkpoint")
 
 
-@query("SELECT topic, count(*) AS n FROM (SELECT 't'||label AS topic FROM embeddings) GROUP BY topic")
+@query("SELECT 't'||label AS topic, vec_id, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings")
 def parquet_roundtrip(spark, sf):
     folder = scratch_folder(spark, "export")
     store.export(vectors(spark, sf).select("topic", "vec_id", "embedding"), folder)
-    return store.import_parquet(spark, folder).groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
+    total = F.aggregate(V.as_double("embedding"), F.lit(0.0), lambda s, x: s + x)
+    return store.import_parquet(spark, folder).select("topic", "vec_id", r6(total).alias("total"))
 
 
 @query(

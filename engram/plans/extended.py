@@ -561,3 +561,36 @@ def cluster_topics(spark, sf):
     """Every vector with the nearest of 8 centroids that are fitted on a bounded sample."""
     v = read(spark, sf, "embeddings")
     return search.with_list(v, search.kmeans_lists(v, 8)).select("vec_id", F.col("bucket").alias("cluster"))
+
+
+@query(f"WITH {_bm25_sql(ANALYZED, TERMS)} SELECT doc_id, round(score, 6) AS score FROM bm WHERE score > 0 AND doc_id IN (SELECT doc_id FROM documents WHERE source IN ('src1', 'src2')) ORDER BY bm.score DESC, doc_id LIMIT 20")
+def bm25_topics(spark, sf):
+    docs = read(spark, sf, "documents")
+    found = search.only(search.bm25(docs, TERMS), docs.where(F.col("source").isin("src1", "src2")))
+    return search.topk(found, 20, key="doc_id").select("doc_id", r6("score").alias("score"))
+
+
+@query(f"WITH {_bm25_sql(ANALYZED, TERMS)} SELECT doc_id, round(score, 6) AS score FROM bm WHERE doc_id = 7")
+def bm25_one_document(spark, sf):
+    docs = read(spark, sf, "documents")
+    return search.only(search.bm25(docs, TERMS, keep_zero=True), docs.where("doc_id = 7")).select("doc_id", r6("score").alias("score"))
+
+
+@query(f"WITH {ANALYZED} SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(tokens) AS term FROM t) GROUP BY ALL")
+def term_frequencies(spark, sf):
+    return search.term_frequencies(read(spark, sf, "documents"))
+
+
+@query(
+    FUSE
+    + """, a AS (SELECT doc_id, 1.0/(60+row_number() OVER (ORDER BY score DESC, doc_id)-1) AS p FROM (SELECT * FROM kw ORDER BY score DESC, doc_id LIMIT 40)),
+    b AS (SELECT doc_id, 1.0/(60+row_number() OVER (ORDER BY score DESC, doc_id)-1) AS p FROM (SELECT * FROM vs ORDER BY score DESC, doc_id LIMIT 40))
+    SELECT doc_id, round(sum(p), 6) AS score FROM (FROM a UNION ALL FROM b) GROUP BY doc_id HAVING sum(p) >= 0.0125"""
+)
+def rrf_min_score(spark, sf):
+    return search.rrf(_lists(spark, sf), 40, min_score=0.0125).select("doc_id", r6("score").alias("score"))
+
+
+@query(f"WITH {DOC}, f AS (SELECT topic, doc_id AS seq, {FEATURES} FROM (SELECT *, lower(text) AS t FROM d)) SELECT a.topic, a.seq AS older, b.seq AS newer FROM f a JOIN f b ON a.topic = b.topic AND a.seq < b.seq WHERE {CONTRADICTS}")
+def document_contradictions(spark, sf):
+    return maintain.contradiction_pairs(texts(spark, sf))
