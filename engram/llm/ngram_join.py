@@ -230,6 +230,11 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent:
     return links
 
 
+def _if_small(written: DataFrame, row_bytes: int = 32) -> DataFrame:
+    """A written table, to be broadcast only if its rows, which are counted, are few."""
+    return F.broadcast(written) if written.count() * row_bytes <= BROADCAST_BYTES else written
+
+
 def similar_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, node, size, root) for every row: root names the component of the row's text.
 
@@ -247,8 +252,9 @@ def similar_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     groups = nodes.groupBy("size", "k1", "k2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
     followers = nodes.select("id", "size", "k1", "k2").join(groups, ["size", "k1", "k2"]).where(F.col("id") != F.col("first")).select("id", "first")
     followers = materialise(followers, "followers")
+    few = _if_small(followers)
     # prefix elements that at least two groups have, each with one group as its leader
-    postings = nodes.select("id", "size", "prefix").join(followers, "id", "left_anti").select("id", F.col("size").cast("int").alias("size"), F.posexplode("prefix").alias("pos", "element"))
+    postings = nodes.select("id", "size", "prefix").join(few, "id", "left_anti").select("id", F.col("size").cast("int").alias("size"), F.posexplode("prefix").alias("pos", "element"))
     shared = postings.groupBy("element").agg(F.count(F.lit(1)).alias("n"), F.min_by("id", F.xxhash64("element", "id")).alias("leader")).where(F.col("n") > 1)
     postings = materialise(postings.join(shared.select("element", "leader"), "element"), "postings")
     maps = nodes.select("id", "coarse")
@@ -268,15 +274,15 @@ def similar_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
 
     # 1. every group against its buckets' leaders, and every member against its group's first
     star = postings.where(F.col("id") != F.col("leader")).select("id", "leader").distinct()
-    after = star.join(followers.withColumnRenamed("id", "follower"), star["id"] == followers["first"]).select(F.col("follower").alias("id"), "leader")
+    after = star.join(few.select(F.col("id").alias("follower"), F.col("first").alias("_first")), F.col("id") == F.col("_first")).select(F.col("follower").alias("id"), "leader")
     star = star.unionByName(after).unionByName(followers.select("id", F.col("first").alias("leader")))
     tried = materialise(filtered(star.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()), "star-pairs")
     links = verify(tried, nodes, docs, n, percent)
     found = components(links)
-    roots = found.withColumnRenamed("node", "id")
+    roots = _if_small(found).withColumnRenamed("node", "id")
     # 2. what is left: members of different components that share a bucket
     members = postings.select("element", "id", "size", "pos")
-    joined = members.withColumnRenamed("id", "_first").join(followers, F.col("_first") == followers["first"]).select("element", "id", "size", "pos")
+    joined = members.withColumnRenamed("id", "_first").join(few, F.col("_first") == F.col("first")).select("element", "id", "size", "pos")
     members = members.unionByName(joined).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     members = materialise(members, "postings-roots")
     mixed = members.groupBy("element").agg(F.min("root").alias("least"), F.max("root").alias("most"), (F.count(F.lit(1)) > HOT).alias("hot")).where(F.col("least") != F.col("most")).select("element", "hot")
