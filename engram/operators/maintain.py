@@ -18,16 +18,23 @@ from engram.functions import vectors as V
 from engram.operators.ordered import on_partitions
 
 DAY = 86400.0
+#: Chunks of a topic that one task holds against the topic's others.
+PART = 1024
 
 
 def contradiction_pairs(chunks: DataFrame, rule=X.contradicts, newer: Column | None = None) -> DataFrame:
     """(topic, older, newer): contradicting pairs of one topic, in the order of ``seq``.
 
-    With a condition ``newer`` only pairs whose later chunk meets it.
+    With a condition ``newer`` only pairs whose later chunk meets it.  The result may have every
+    pair, as texts with different numbers contradict.
     """
     f = chunks.select("topic", "seq", X.contradiction_features(F.col("text")).alias("f"), (F.lit(True) if newer is None else newer).alias("new"))
-    a, b = f.alias("a"), (f if newer is None else f.where("new")).alias("b")
-    on = (F.col("a.topic") == F.col("b.topic")) & (F.col("a.seq") < F.col("b.seq"))
+    # a topic of many chunks is dealt out: each part of its older ones meets all newer ones
+    parts = f.groupBy("topic").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    f = f.join(parts, "topic")
+    a = f.withColumn("part", F.pmod(F.xxhash64("seq"), F.col("parts")).cast("int")).alias("a")
+    b = (f if newer is None else f.where("new")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("b")
+    on = (F.col("a.topic") == F.col("b.topic")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.seq") < F.col("b.seq"))
     return a.join(b, on).where(rule(F.col("a.f"), F.col("b.f"))).select(F.col("a.topic").alias("topic"), F.col("a.seq").alias("older"), F.col("b.seq").alias("newer"))
 
 

@@ -25,7 +25,7 @@ from engram.session import ship_package
 #: Dimensions of a vector that are averaged as columns.
 COLUMNS = 128
 #: Topics among which assign_topic chooses, at most.
-CENTROIDS = 1024
+CENTROIDS = 1 << 14
 #: Queries of at most this many bytes are broadcast together.
 BROADCAST_BYTES = 32 << 20
 
@@ -113,18 +113,29 @@ def centroid_vectors(vectors: DataFrame, topic: str = "topic", dim: int | None =
     return listed.select(topic, F.transform("p", lambda p: p["value"]).alias("centroid"))
 
 
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dim)
+
+
 def assign_topic(vectors: DataFrame, centroids_: DataFrame, topic: str = "topic", centroid: str = "centroid") -> DataFrame:
     """vectors with ``assigned``: the topic of the largest inner product, ties to the first by name.
 
     Centroids are collected up to CENTROIDS of them; a larger table is refused, as that is no
     small set of topics any more.
     """
-    listed = centroids_.select(F.col(topic).alias("t"), F.col(centroid).alias("c")).limit(CENTROIDS + 1).collect()
+    listed = sorted((r["t"], r["c"]) for r in centroids_.select(F.col(topic).alias("t"), F.col(centroid).alias("c")).limit(CENTROIDS + 1).collect())
     if len(listed) > CENTROIDS:
         raise ValueError(f"more than {CENTROIDS} centroids")
-    e = V.as_double("embedding")
-    best = V.let(e, lambda v: F.array_min(F.array(*[F.struct((-F.round(V.dot(v, literal_vector(r["c"])), 9)).alias("d"), F.lit(r["t"]).alias("t")) for r in listed])))
-    return vectors.withColumn("assigned", best["t"] if listed else F.lit(None).cast("string"))
+    if not listed:
+        return vectors.withColumn("assigned", F.lit(None).cast("string"))
+    ship_package(vectors.sparkSession)
+    names, c = pa.array([t for t, _ in listed]), np.array([c for _, c in listed], np.float64)
+
+    @F.arrow_udf("string")
+    def best(embedding: pa.Array) -> pa.Array:
+        return names.take(pa.array(np.round(_matrix(embedding, c.shape[1]) @ c.T, 9).argmax(axis=1)))
+
+    return vectors.withColumn("assigned", best("embedding"))
 
 
 def prefilter(vectors: DataFrame, query: Sequence[float], topics: int, similarity: Callable[[Column, Column], Column] = V.cosine) -> DataFrame:
@@ -318,11 +329,19 @@ def kmeans_lists(vectors: DataFrame, lists: int, sample: int = 4096, rounds: int
     return c
 
 
+def _distances(m: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return (m * m).sum(axis=1, keepdims=True) - 2 * m @ c.T + (c * c).sum(axis=1)
+
+
 def with_list(vectors: DataFrame, c: np.ndarray) -> DataFrame:
     """vectors with ``bucket``, the nearest centroid: every row is indexed."""
-    e = V.as_double("embedding")
-    nearest = F.array_min(F.array(*[F.struct(V.euclidean(e, literal_vector(row)).alias("d"), F.lit(i).alias("i")) for i, row in enumerate(c)]))
-    return vectors.withColumn("bucket", nearest["i"])
+    ship_package(vectors.sparkSession)
+
+    @F.arrow_udf("int")
+    def nearest(embedding: pa.Array) -> pa.Array:
+        return pa.array(_distances(_matrix(embedding, c.shape[1]), c).argmin(axis=1).astype(np.int32))
+
+    return vectors.withColumn("bucket", nearest("embedding"))
 
 
 def ivf_search(indexed: DataFrame, c: np.ndarray, query: Sequence[float], k: int, probes: int) -> DataFrame:
@@ -338,9 +357,13 @@ def ivf_recall(vectors: DataFrame, c: np.ndarray, queries: DataFrame, k: int, pr
     Within its lists the search is exact, so these are just what it finds.
     """
     indexed = with_list(vectors, c).select("vec_id", "bucket")
-    e = V.as_double("embedding")
-    nearest = F.array_sort(F.array(*[F.struct(V.euclidean(e, literal_vector(row)).alias("d"), F.lit(i).alias("i")) for i, row in enumerate(c)]))
-    probed = queries.select(F.col("vec_id").alias("query_id"), F.transform(F.slice(nearest, 1, probes), lambda x: x["i"]).alias("lists"))
+
+    @F.arrow_udf("array<int>")
+    def first(embedding: pa.Array) -> pa.Array:
+        order = np.argsort(_distances(_matrix(embedding, c.shape[1]), c), axis=1, kind="stable")[:, :probes]
+        return pa.array(list(order.astype(np.int32)), pa.list_(pa.int32()))
+
+    probed = queries.select(F.col("vec_id").alias("query_id"), first("embedding").alias("lists"))
     best = batch_topk(queries.select("vec_id", "embedding"), vectors.select("vec_id", "embedding"), k)
     rows = best.join(indexed, "vec_id").join(probed, "query_id")
     return rows.groupBy("query_id").agg(F.avg(F.array_contains("lists", F.col("bucket")).cast("double")).alias("recall"))

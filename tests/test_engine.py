@@ -72,6 +72,15 @@ def test_contradiction_flips_verification(spark):
     assert {r.vec_id: r.verified for r in search.verify(calm, calm, [1.0, 0.0]).collect()}[1]
 
 
+def test_contradictions_of_a_large_topic(spark, monkeypatch):
+    rows = [("t" if i % 7 else "u", i, f"the limit is {i % 5 * 10} units") for i in range(80)]
+    df = spark.createDataFrame(rows, "topic string, seq long, text string")
+    whole = sorted(map(tuple, maintain.contradiction_pairs(df).collect()))
+    expected = sorted((a[0], a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[1] % 5 != b[1] % 5)
+    monkeypatch.setattr(maintain, "PART", 10)
+    assert whole == expected == sorted(map(tuple, maintain.contradiction_pairs(df).collect()))
+
+
 def test_ivf_recall(spark):
     recall = [r.recall for r in QUERIES["ivf_recall"](spark, "/root/testdata/sf0.01").collect()]
     assert len(recall) == 25 and sum(recall) / len(recall) >= 0.9
