@@ -16,6 +16,7 @@ from engram.plans.catalogue import (
     FUSE,
     PROBES,
     Q0,
+    SQL,
     TERMS,
     VEC,
     _absolute_sql,
@@ -351,7 +352,7 @@ def schema_of_documents(spark, sf):
     return read(spark, sf, "documents").select(X.schema_of_chunks(F.col("text")).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT flag, count(*) AS n FROM (SELECT unnest(string_split(flags, ',')) AS flag FROM (" + __import__("engram.plans.catalogue", fromlist=["SQL"]).SQL["quality_score"] + ")) WHERE flag <> '' GROUP BY flag")
+@query("SELECT flag, count(*) AS n FROM (SELECT unnest(string_split(flags, ',')) AS flag FROM (" + SQL["quality_score"] + ")) WHERE flag <> '' GROUP BY flag")
 def quality_flags(spark, sf):
     q = X.quality(F.col("text"), F.col("confidence"), F.col("staleness"), F.col("verified"), F.col("quality"))
     return texts(spark, sf).select(F.explode(q["flags"]).alias("flag")).groupBy("flag").agg(F.count(F.lit(1)).alias("n"))
@@ -483,8 +484,9 @@ def replicate_rows(spark, sf):
 def sync_high_water(spark, sf):
     e = events(spark, sf).withColumn("origin", F.lit("a"))
     marks = spark.createDataFrame([("peer", 400)], "remote string, event_id long")
+    local = e.where("event_id < 500")
     for _ in range(2):  # the second pull finds nothing new
-        local, marks = S.synchronise(e.where("event_id < 500") if _ == 0 else local, e, marks, "peer")
+        local, marks = S.synchronise(local, e, marks, "peer")
     return local.agg(F.count(F.lit(1)).alias("events")).crossJoin(marks.agg(F.max("event_id").alias("mark")))
 
 
