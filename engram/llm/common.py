@@ -7,6 +7,7 @@ import uuid
 import weakref
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,6 +19,8 @@ from engram.session import ship_package
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Bytes of a batch of rows that goes to Python or comes back from there.
 ARROW_BYTES = 4 << 20
+#: Bits of a filter for each hash in it, and of a filter at least and at most.
+FILTER_BITS, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 24
 
 _WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
@@ -131,6 +134,26 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
             yield batch.slice(at)
 
 
+def key_filter(written: DataFrame, key: str) -> tuple[int, np.ndarray]:
+    """The number of rows of a table of hashes, and a set of bits by the hashes' last bits.
+
+    What isn't in the set isn't in the table.  The set has FILTER_BITS for each row, within bounds
+    whatever the table's size, so it lets the more through the larger the table is.
+    """
+    n = written.count()
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (FILTER_BITS * n).bit_length()))
+    at = F.col(key).bitwiseAND(size - 1)
+    rows = written.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 AS int)))").alias("bits")).toPandas()
+    bits = np.zeros(size // 64, np.int64)
+    bits[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    return n, bits
+
+
+def passes(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = hashes & (len(bits) * 64 - 1)
+    return (bits[at >> 6] >> (at & 63)) & 1 == 1
+
+
 def running_totals(df: DataFrame, group: Sequence[str], order: Sequence[str], value: Column, into: str) -> DataFrame:
     """Adds ``into``: the sum of ``value`` over the rows of the group that come before.
 

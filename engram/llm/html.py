@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.llm import words as W
-from engram.llm.common import discard, map_arrow, materialise, pieces, table
+from engram.llm.common import discard, key_filter, map_arrow, materialise, passes, pieces, table
 from engram.llm.decontamination import suffix_array
 
 #: Words of a run that counts as long.
@@ -36,8 +36,6 @@ RUN = 8
 BATCH_BYTES = 1 << 21
 #: A table of at most this many bytes is broadcast.
 BROADCAST_BYTES = 8 << 20
-#: Bits of the filter of runs that may repeat, at least and at most, and for each of them.
-FILTER_BITS = (1 << 16, 1 << 24, 16)
 #: A run in an article is boilerplate if it is on this share of the host's pages, and on so many.
 SHARE, PAGES = 0.25, 4
 #: An article with more than this share of such words is a copy with changes, and stays whole.
@@ -355,23 +353,6 @@ def _if_small(df: DataFrame, bytes_: int) -> DataFrame:
     return F.broadcast(df) if bytes_ <= BROADCAST_BYTES else df
 
 
-def _filter(likely: DataFrame) -> tuple[int, np.ndarray]:
-    """A set of bits by the last bits of the minimizers: those that aren't in it don't repeat."""
-    least, most, each = FILTER_BITS
-    n = likely.count()
-    size = min(most, max(least, 1 << (each * n).bit_length()))
-    at = F.col("least").bitwiseAND(size - 1)
-    rows = likely.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 AS int)))").alias("bits")).toPandas()
-    bits = np.zeros(size // 64, np.int64)
-    bits[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
-    return n, bits
-
-
-def _passes(least: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    at = least & (len(bits) * 64 - 1)
-    return (bits[at >> 6] >> (at & 63)) & 1 == 1
-
-
 def extract_pages(pages: DataFrame, run_words: int = RUN) -> DataFrame:
     """page_id, url, text and n_chars for every row of pages.
 
@@ -401,13 +382,13 @@ def extract_pages(pages: DataFrame, run_words: int = RUN) -> DataFrame:
     # 1. a run on two pages has its minimizer on both: only such runs are dealt out whole
     ends = map_arrow(hashed.select("host", "html"), minimizers_of, "least long, key long").groupBy("least").agg(F.min("key").alias("a"), F.max("key").alias("b"))
     likely = materialise(ends.where("a <> b").select("least"), "likely")
-    n_likely, bits = _filter(likely)
+    n_likely, bits = key_filter(likely, "least")
     passing = pages.sparkSession.sparkContext.broadcast(bits)
 
     def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "html", BATCH_BYTES):
             _, r = found(batch)
-            here = np.flatnonzero(_passes(r.least, passing.value))
+            here = np.flatnonzero(passes(r.least, passing.value))
             page, hosts, names = r.owners[here], batch.column("host").to_numpy(), batch.column("name").to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (r.least[here], r.hashes[here], r.kept[here], r.keys[page], hosts[page], names[page])], names=["least", "run", "kept", "key", "host", "name"])
 

@@ -22,11 +22,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.llm import words as W
-from engram.llm.common import discard, free_name, map_arrow, materialise, pieces, table, utf8
+from engram.llm.common import discard, free_name, key_filter, map_arrow, materialise, passes, pieces, table, utf8
 from engram.llm.components import components
 
 #: Elements are counted by the first COUNT_BITS bits of their hashes; a bit map has MAP_BITS bits.
@@ -253,10 +254,25 @@ def similar_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     followers = nodes.select("id", "size", "k1", "k2").join(groups, ["size", "k1", "k2"]).where(F.col("id") != F.col("first")).select("id", "first")
     followers = materialise(followers, "followers")
     few = _if_small(followers)
-    # prefix elements that at least two groups have, each with one group as its leader
-    postings = nodes.select("id", "size", "prefix").join(few, "id", "left_anti").select("id", F.col("size").cast("int").alias("size"), F.posexplode("prefix").alias("pos", "element"))
-    shared = postings.groupBy("element").agg(F.count(F.lit(1)).alias("n"), F.min_by("id", F.xxhash64("element", "id")).alias("leader")).where(F.col("n") > 1)
-    postings = materialise(postings.join(shared.select("element", "leader"), "element"), "postings")
+    # prefix elements that at least two groups have, each with one group as its leader; the others stay where they are
+    prefixes = nodes.select("id", F.col("size").cast("int").alias("size"), "prefix").join(few, "id", "left_anti")
+    counted = prefixes.select("id", F.explode("prefix").alias("element")).groupBy("element")
+    shared = counted.agg(F.count(F.lit(1)).alias("n"), F.min_by("id", F.xxhash64("element", "id")).alias("leader")).where(F.col("n") > 1).select("element", "leader")
+    shared = materialise(shared, "shared")
+    bits = docs.sparkSession.sparkContext.broadcast(key_filter(shared, "element")[1])
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            elements, lengths = lists.flatten().to_numpy(), pa.compute.list_value_length(lists).to_numpy()
+            here = np.flatnonzero(passes(elements, bits.value))
+            row = np.repeat(np.arange(batch.num_rows), lengths)[here]
+            pos = here - (np.cumsum(lengths) - lengths)[row]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(pos.astype(np.int32)), pa.array(elements[here])], names=["id", "size", "pos", "element"])
+
+    postings = map_arrow(prefixes, likely, "id long, size int, pos int, element long").join(shared, "element")
+    postings = materialise(postings, "postings")
+    discard(shared)
     maps = nodes.select("id", "coarse")
 
     def sides(pairs: DataFrame, columns: list[str]) -> DataFrame:
