@@ -10,6 +10,7 @@ import struct
 import time
 import zlib
 from collections import Counter, defaultdict
+from random import Random
 
 import duckdb
 import numpy as np
@@ -357,7 +358,7 @@ def test_media(spark, docs, empty):
     rows_ = [(1, media.encode_pgm(image)), (2, None), (3, b"P5 9"), (4, b"P1\n# c\n2 2\n1 0 0 1"), (5, b"P6 1 1 255 abc")]
     out = {r.i: r for r in media.media_tiles(spark.createDataFrame(rows_, "i int, d binary"), "i", "d", 4).collect()}
     assert out[1].height == 13 and out[2].error and out[3].error and out[4].width == 2 and out[5].channels == 3
-    assert np.load(__import__("io").BytesIO(bytes(out[1].tile))).shape == (4, 4)
+    assert np.load(io.BytesIO(bytes(out[1].tile))).shape == (4, 4)
 
 
 def test_bmp():
@@ -425,7 +426,7 @@ def test_media_digest_against_plain(docs):
 
 def test_licenses_against_all_stretches():
     """What has too few of a template's words is passed over; aligning every stretch finds no more."""
-    random = __import__("random").Random(7)
+    random = Random(7)
     scanner = licenses.Scanner()
 
     def everywhere(template, text, places, least):
@@ -773,7 +774,7 @@ def person(random):
 
 
 def test_base_spans_against_the_patterns(spark):
-    random = __import__("random").Random(2)
+    random = Random(2)
     texts = [person(random) for _ in range(60)] + ["".join(random.choice("0123456789..@+-- ()ab") for _ in range(60)) for _ in range(3000)]
     texts += ["a@b.c+d@e.f", "1.2.3.4.5.6.7.8", "0001.2.3.0255", "x@y@z.w", "@a.b", "a@b", "+1 234 567 890 1.2.3.4", "é9@a.b", None, ""]
     for text in texts:
@@ -796,14 +797,14 @@ def test_personal_data_takes_linear_time(text):
 
 @pytest.fixture(scope="module")
 def field(spark):
-    random = __import__("random").Random(5)
+    random = Random(5)
     docs = spark.createDataFrame([(i, person(random)) for i in range(300)], "doc_id long, text string")
     return pii.train_on(docs)
 
 
 def test_field_finds_what_the_patterns_miss(field):
     """On held-out texts with altered data; without skip edges fewer are found."""
-    random = __import__("random").Random(6)
+    random = Random(6)
     texts = []
     for _ in range(150):
         text = person(random)
@@ -831,7 +832,7 @@ def test_field_finds_what_the_patterns_miss(field):
 
 
 def test_field_leaves_other_numbers(field):
-    random = __import__("random").Random(8)
+    random = Random(8)
     for _ in range(100):
         words = "it was the old river and all of them".split()
         words.insert(random.randrange(8), pii._other(random))
