@@ -74,8 +74,9 @@ def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iter
     return df.mapInArrow(function, schema)
 
 
-def schema_of(df: DataFrame, columns: Sequence[str]) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in columns)
+def quoted(name: str) -> str:
+    """A column's name as it is, with dots and spaces."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def free_name(df: DataFrame, hint: str) -> str:
@@ -86,8 +87,8 @@ def free_name(df: DataFrame, hint: str) -> str:
     return hint
 
 
-def with_results(df: DataFrame, function: Callable[[pa.Array], list[list]], text: Column, schema: pa.Schema, limit: int) -> DataFrame:
-    """df with the columns of schema, which replace those of these names.
+def with_results(df: DataFrame, function: Callable[[pa.Array], list[list]], text: Column, schema: pa.Schema, limit: int, into: str | None = None) -> DataFrame:
+    """df with the columns of schema, which replace those of these names; or as one struct ``into``.
 
     ``function`` gets pieces of the text column of at most ``limit`` bytes (or one text) and
     returns a list for each new column.  Only the texts go to Python and only the results come
@@ -105,11 +106,13 @@ def with_results(df: DataFrame, function: Callable[[pa.Array], list[list]], text
                 found.append(pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], fields=list(schema)))
             yield pa.concat_arrays(found) if found else pa.array([], pa.struct(list(schema)))
 
-    into = free_name(df, "_results")
-    kept = [c for c in df.columns if c not in schema.names]
     # as if it were not deterministic, so that no filter on its results has it run twice
-    rows = df.select(*[df[c] for c in kept], results.asNondeterministic()(text).alias(into))
-    return rows.select(*kept, *(F.col(into)[name].alias(name) for name in schema.names))
+    found = results.asNondeterministic()(text)
+    if into:
+        return df.select("*", found.alias(into))
+    into, kept = free_name(df, "_results"), [c for c in df.columns if c not in schema.names]
+    rows = df.select(*[df[quoted(c)] for c in kept], found.alias(into))
+    return rows.select(*map(quoted, kept), *(F.col(into)[name].alias(name) for name in schema.names))
 
 
 _SQL_TYPES = {pa.string(): "string", pa.float64(): "double", pa.int64(): "long", pa.list_(pa.int64()): "array<long>", pa.list_(pa.string()): "array<string>"}

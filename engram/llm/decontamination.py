@@ -8,7 +8,6 @@ occurrences located by walking to sampled suffix positions, and covered words me
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.llm import words as W
-from engram.llm.common import map_arrow, schema_of, table, utf8, with_results
+from engram.llm.common import bound_batches, table, utf8, with_results
+from engram.session import ship_package
 
 WINDOW = 10
 #: Bytes of text in a shard, and of benchmark texts that are searched in one pass.
@@ -217,8 +217,8 @@ def merge_spans(spans: list[int], more: list[int]) -> list[int]:
     return out
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with n_words, hit_spans, hit_items and clean_bytes; columns of these names are replaced.
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, into: str | None = None) -> DataFrame:
+    """docs with n_words, hit_spans, hit_items and clean_bytes; columns of these names are replaced, or all go into a struct.
 
     hit_spans is a flat array of half-open word spans in order, merged; hit_items has the ids (as
     strings, sorted) of the items with a window in the text; clean_bytes is the size of the text
@@ -248,7 +248,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         return [n_words, spans, [sorted(x) for x in items], clean]
 
     schema = pa.schema([("n_words", pa.int64()), ("hit_spans", pa.list_(pa.int64())), ("hit_items", pa.list_(pa.string())), ("clean_bytes", pa.int64())])
-    return with_results(docs, run, docs["text"], schema, SHARD_BYTES)
+    return with_results(docs, run, docs["text"], schema, SHARD_BYTES, into)
 
 
 def cut_spans(text: str, spans: list[int]) -> str:
@@ -264,15 +264,14 @@ def cut_spans(text: str, spans: list[int]) -> str:
 
 def remove_contamination(found: DataFrame) -> DataFrame:
     """The result of find_contamination with its hit spans cut out of text; null texts stay null."""
+    ship_package(found.sparkSession)
+    bound_batches(found.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index("text")
-            spans = batch.column(batch.schema.get_field_index("hit_spans")).to_pylist()
-            texts = [cut_spans(t, s) if t and s else t for t, s in zip(batch.column(at).to_pylist(), spans, strict=True)]
-            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.array([cut_spans(t, s) if t and s else t for t, s in zip(texts.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
 
-    return map_arrow(found, run, schema_of(found, found.columns))
+    return found.withColumn("text", cut("text", "hit_spans"))
 
 
 def op1_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -212,8 +212,8 @@ def train(docs: DataFrame) -> LanguageModel:
     return LanguageModel.train(x, [lang for lang, _ in rows])
 
 
-def identify(docs: DataFrame, model: LanguageModel, text_column: str = "text") -> DataFrame:
-    """docs with lang_pred and score (0 to 1); columns of these names are replaced.
+def identify(docs: DataFrame, model: LanguageModel, text_column: str = "text", into: str | None = None) -> DataFrame:
+    """docs with lang_pred and score (0 to 1); columns of these names are replaced, or both go into a struct.
 
     A null text, or one without letters, is ``und`` with score 0.  Equal texts get equal answers;
     every row is kept; an empty table gives an empty table.
@@ -230,7 +230,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_column: str = "text") -
                     langs[i], scores[i] = lang, float(min(1.0, max(0.0, s)))
         return [langs, scores]
 
-    return with_results(docs, run, docs[text_column], pa.schema([("lang_pred", pa.string()), ("score", pa.float64())]), BATCH_BYTES)
+    return with_results(docs, run, docs[text_column], pa.schema([("lang_pred", pa.string()), ("score", pa.float64())]), BATCH_BYTES, into)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from engram.llm.common import DOCUMENT_COLUMNS, free_name, materialise, running_totals, table
+from engram.llm.common import DOCUMENT_COLUMNS, free_name, materialise, quoted, running_totals, table
 
 #: The fractional part of the golden ratio.
 PHI = (math.sqrt(5) - 1) / 2
@@ -146,7 +146,7 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, seed: i
     mine = (docs["doc_id"], docs["source"], F.xxhash64(docs["text"]))
     same = [c.eqNullSafe(plan[name]) for c, name in zip(mine, own, strict=True)]
     out = docs.join(plan.where(plan[n] > 0), same[0] & same[1] & same[2])
-    return out.withColumn(time, F.explode(F.array_repeat(F.lit(1), F.col(n)))).select(*[docs[c] for c in docs.columns])
+    return out.withColumn(time, F.explode(F.array_repeat(F.lit(1), F.col(n)))).select(*[docs[quoted(c)] for c in docs.columns])
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
