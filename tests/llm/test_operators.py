@@ -255,7 +255,7 @@ HELPERS = "_text _results _digest _id _node _row _range _value _hash _copies _co
 
 def test_columns_named_like_helpers(spark):
     """Other columns may have the names of the operators' own; they come back as they were."""
-    extra = [c for c in HELPERS.split()]
+    extra = [*HELPERS.split(), "a.b", "with space", "doc_id.text"]
     df = spark.createDataFrame([(1, BASE, "en", "a", 5), (2, BASE, None, None, None), (3, None, "de", "b", 0)], "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit(c) for c in extra})
     bench = spark.createDataFrame([(1, BASE)], "item_id long, text string")
     found = langid.identify(df, langid.train(df))
@@ -273,6 +273,7 @@ def test_columns_named_like_helpers(spark):
     assert pii.find_personal_data(df, pii.train([])).count() == 3
     pages = df.select("*", F.lit(1).alias("page_id"), F.lit("http://a.b/").alias("url"), F.col("text").alias("html"))
     assert html.extract_pages(pages).count() == 3
+    assert decontamination.remove_contamination(hits).columns == hits.columns and decontamination.remove_contamination(hits).count() == 3
 
 
 def test_licenses(docs, empty):

@@ -45,6 +45,15 @@ def test_pipeline(spark, tmp_path):
     assert all((r.shard, r.grown_shard) == (plain_shard(r.h, 16), plain_shard(r.h, 17)) for r in hashes)
 
 
+def test_other_columns_pass(spark, tmp_path):
+    spark.createDataFrame([(1, "naïve café übermäßig señor")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame([r[:5] for r in rows()], ", ".join(SCHEMA.split(", ")[:5])).withColumns({c: F.lit(c) for c in ("a.b", "shard.x", "_text", "score")})
+    for _, f in corpus_pipeline.STAGES[:4]:
+        after = f(spark, docs, str(tmp_path))
+        assert after.columns == docs.columns and after.where("`a.b` <> 'a.b' OR score <> 'score' OR _text <> '_text'").isEmpty()
+    assert corpus_pipeline.assign_to_shards(spark, docs, str(tmp_path)).columns == [*docs.columns, "shard", "grown_shard"]
+
+
 def test_empty_tables(spark, tmp_path):
     docs = spark.createDataFrame([], ", ".join(SCHEMA.split(", ")[:5]))
     docs.write.parquet(str(tmp_path / "documents.parquet"))
