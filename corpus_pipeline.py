@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm.common import materialise, table
+from engram.llm.common import free_name, materialise, table
 from engram.llm.decontamination import find_contamination
 from engram.llm.langid import UNDETERMINED, identify, train
 from engram.llm.mixing import mixed_documents
@@ -32,8 +32,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     That are those with a null or empty text or without a letter, and all of them where no row has
     a lang to learn from.  Whole texts are read; repeated rows get equal answers and all stay.
     """
-    found = identify(docs, train(docs)).where(F.col("lang_pred") != UNDETERMINED)
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    into = free_name(docs, "_language")
+    found = identify(docs, train(docs), into=into).where(F.col(into)["lang_pred"] != UNDETERMINED)
+    return found.withColumn("lang", F.coalesce("lang", F.col(into)["lang_pred"])).drop(into)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +53,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     A null text holds none; an item without words has none; an item of fewer than ten words is one
     window.  An empty benchmark lets all documents pass.
     """
-    found = find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(F.size("hit_spans") == 0).select(*docs.columns)
+    into = free_name(docs, "_contamination")
+    found = find_contamination(docs, table(spark, sf_dir, "benchmark"), into=into)
+    return found.where(F.size(F.col(into)["hit_spans"]) == 0).drop(into)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
