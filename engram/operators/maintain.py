@@ -12,14 +12,43 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from engram.functions import text as X
 from engram.functions import vectors as V
+from engram.operators import contradictions
 from engram.operators.ordered import on_partitions
 
 DAY = 86400.0
-#: Chunks of a topic that one task holds against the topic's others.
-PART = 1024
+#: Chunks of a topic that one task holds against the topic's others; topics of up to so many chunks are joined.
+PART, SMALL = 4096, 64
+
+
+def _held(chunks: DataFrame, rule, newer: Column | None, pairs: bool) -> DataFrame:
+    """(topic, older, newer) of contradicting chunks; without ``pairs`` (topic, older), perhaps repeated.
+
+    A small topic's chunks are gathered and held against each other.  Large topics, of which there is
+    one to SMALL chunks at most, go through ``contradictions.links``, as do only the two fixed rules.
+    """
+    columns = ["topic", "older", "newer"][: 2 + pairs]
+    rows = chunks.select("topic", "seq", "text", (F.lit(True) if newer is None else newer).alias("new"))
+    featured = ["topic", "seq", "new", X.contradiction_features(F.col("text")).alias("f")]
+    if rule not in (X.contradicts, X.contradicts_short) or not isinstance(chunks.schema["seq"].dataType, IntegralType):
+        a, b = rows.select(*featured).alias("a"), rows.where("new").select(*featured).alias("b")
+        on = (F.col("a.topic") == F.col("b.topic")) & (F.col("a.seq") < F.col("b.seq"))
+        return a.join(b, on).where(rule(F.col("a.f"), F.col("b.f"))).select(F.col("a.topic").alias("topic"), F.col("a.seq").alias("older"), F.col("b.seq").alias("newer")).select(*columns)
+    n = F.count(F.lit(1))
+    large = F.broadcast(rows.groupBy("topic").agg(F.ceil(n / PART).cast("int").alias("parts"), n.alias("_n")).where(F.col("_n") > SMALL).drop("_n"))
+    whole, tasks = rule is X.contradicts, int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    linked = contradictions.links(rows.join(large, "topic"), tasks, X.NEGATIONS if whole else X.NEGATIONS_SHORT, whole, pairs, F.col("new"))
+
+    def contradicted(a: Column) -> Column:
+        later = F.filter("all", lambda b: (b["seq"] > a["seq"]) & b["new"] & rule(a["f"], b["f"]))
+        return F.transform(later, lambda b: F.struct(a["seq"].alias("older"), b["seq"].alias("newer")))
+
+    gathered = rows.where(F.col("topic").isNotNull()).join(large, "topic", "left_anti").select(*featured).groupBy("topic").agg(F.collect_list(F.struct("seq", "new", "f")).alias("all"))
+    found = gathered.select("topic", F.explode(F.flatten(F.transform("all", contradicted))).alias("p"))
+    return found.select("topic", "p.older", "p.newer").select(*columns).unionByName(linked)
 
 
 def contradiction_pairs(chunks: DataFrame, rule=X.contradicts, newer: Column | None = None) -> DataFrame:
@@ -28,14 +57,7 @@ def contradiction_pairs(chunks: DataFrame, rule=X.contradicts, newer: Column | N
     With a condition ``newer`` only pairs whose later chunk meets it.  The result may have every
     pair, as texts with different numbers contradict.
     """
-    f = chunks.select("topic", "seq", X.contradiction_features(F.col("text")).alias("f"), (F.lit(True) if newer is None else newer).alias("new"))
-    # a topic of many chunks is dealt out: each part of its older ones meets all newer ones
-    parts = f.groupBy("topic").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
-    f = f.join(parts, "topic")
-    a = f.withColumn("part", F.pmod(F.xxhash64("seq"), F.col("parts")).cast("int")).alias("a")
-    b = (f if newer is None else f.where("new")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("b")
-    on = (F.col("a.topic") == F.col("b.topic")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.seq") < F.col("b.seq"))
-    return a.join(b, on).where(rule(F.col("a.f"), F.col("b.f"))).select(F.col("a.topic").alias("topic"), F.col("a.seq").alias("older"), F.col("b.seq").alias("newer"))
+    return _held(chunks, rule, newer, True)
 
 
 def contradiction_decay(chunks: DataFrame, newer: Column | None = None) -> DataFrame:
@@ -50,7 +72,7 @@ def contradiction_decay(chunks: DataFrame, newer: Column | None = None) -> DataF
 
 def resolve_contradictions(chunks: DataFrame, factor: float = 0.5) -> DataFrame:
     """Chunks that a newer one contradicts lose confidence once, and gain 0.3 staleness."""
-    hit = contradiction_pairs(chunks, X.contradicts_short).select("topic", F.col("older").alias("seq")).distinct().withColumn("hit", F.lit(True))
+    hit = _held(chunks, X.contradicts_short, None, False).select("topic", F.col("older").alias("seq")).distinct().withColumn("hit", F.lit(True))
     out = chunks.join(hit, ["topic", "seq"], "left")
     return out.withColumns({"confidence": F.when(F.col("hit"), F.col("confidence") * factor).otherwise(F.col("confidence")), "staleness": F.when(F.col("hit"), F.least(F.lit(1.0), F.col("staleness") + 0.3)).otherwise(F.col("staleness"))}).drop("hit")
 

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import itertools
 import random
+import re
+import time
 from collections import defaultdict, deque
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from engram import plugins
 from engram.functions import text as X
 from engram.functions import vectors as V
-from engram.operators import ingest, maintain, metrics, pipeline, search
+from engram.operators import contradictions, ingest, maintain, metrics, pipeline, search
 from engram.plans import QUERIES
 from engram.sources import logs, store
 from engram.streaming import events as E
@@ -81,6 +85,73 @@ def test_contradictions_of_a_large_topic(spark, monkeypatch):
     assert whole == expected == sorted(map(tuple, maintain.contradiction_pairs(df).collect()))
 
 
+def plain_contradictions(rows, negations, whole):
+    def of(text):
+        t = text.lower()
+        numbers = [float(x) for x in re.findall(r"\b\d+\.?\d*\b", t, re.ASCII)]
+        return numbers, any(w in t for w in negations), {w for w in t.split() if len(w) > 3}, {d for d in re.findall(X.DATE, t, re.ASCII)}
+
+    out, found = [], [(topic, seq, *of(text)) for topic, seq, text in rows if text is not None]
+    for (t, i, n, g, w, d), (u, j, m, h, v, e) in itertools.permutations(found, 2):
+        if t == u and t is not None and i < j:
+            far = any(not abs(x - y) / (max(x, y) + 1e-9) <= 0.1 for x in n for y in m)  # NaN is the largest
+            if (g != h and len(w & v) >= 3) or whole and (far or d and e and d != e and len(w & v) >= 2):
+                out.append((t, i, j))
+    return sorted(out)
+
+
+def test_contradictions_in_blocks_against_plain(spark, monkeypatch):
+    rng = random.Random(4)
+    names = [f"{a}{b}ra" for a in ("bri", "tel", "mas", "dro", "élu") for b in ("ge", "mi", "sta")]
+
+    def text():
+        words = rng.choices(names, weights=range(1, 16), k=rng.randrange(8))
+        words += rng.choices(["never", "2024-01-05", "2024-02-07", "05/06/2023", "12", "12.5", "400", "9" * 400], k=1) if rng.random() < 0.5 else []
+        return " \n".join(rng.sample(words, len(words)))
+
+    rows = [(rng.choice(["big", "big", "large", "tiny", None]), i, None if i % 50 == 0 else text()) for i in range(300)]
+    rows += [("few", 1000, "brigera telmira masstara"), ("few", 1001, "brigera telmira masstara never"), ("few", 1002, "")]
+    df = spark.createDataFrame(rows, "topic string, seq int, text string").repartition(3)
+    monkeypatch.setattr(maintain, "SMALL", 3)
+    for part in (16, 4096):
+        monkeypatch.setattr(maintain, "PART", part)
+        got = maintain.contradiction_pairs(df)
+        assert got.dtypes == [("topic", "string"), ("older", "int"), ("newer", "int")]
+        expected = plain_contradictions(rows, X.NEGATIONS, True)
+        assert sorted(map(tuple, got.collect())) == expected and {p[0] for p in expected} == {"big", "large", "tiny", "few"}
+        late = maintain.contradiction_pairs(df, newer=F.col("seq") % 3 == 0)
+        assert sorted(map(tuple, late.collect())) == [p for p in expected if p[2] % 3 == 0]
+        marked = df.withColumns({"confidence": F.lit(1.0), "staleness": F.lit(0.9)})
+        done = {(r.topic, r.seq): (r.confidence, r.staleness) for r in maintain.resolve_contradictions(marked).collect()}
+        hit = {p[:2] for p in plain_contradictions(rows, X.NEGATIONS_SHORT, False)}
+        assert done == {(t, i): (0.5, 1.0) if (t, i) in hit else (1.0, 0.9) for t, i, _ in rows} and hit
+
+
+def test_counts_of_shared_words(monkeypatch):
+    rng = random.Random(6)
+    left, right = ([{f"w{int(30 * rng.random() ** 2)}" for _ in range(rng.randrange(1, 9))} for _ in range(n)] for n in (23, 17))
+    for cells, dense in ((1, 1 / 256), (60, 0.1), (60, 2.0), (1 << 22, 0.1)):
+        monkeypatch.setattr(contradictions, "CELLS", cells)
+        monkeypatch.setattr(contradictions, "DENSE", dense)
+        found = list(contradictions._shared(*(pa.chunked_array([[" ".join(sorted(w)) for w in side]]) for side in (left, right))))
+        assert [first for first, _ in found] == list(np.cumsum([0] + [len(c) for _, c in found[:-1]]))
+        assert np.concatenate([c for _, c in found]).tolist() == [[len(a & b) for a in left] for b in right]
+
+
+def large_topic(spark):
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choices("aeilrsu", k=6)) for _ in range(3000)]
+    rows = [("t", i, i, " ".join(rng.choices(vocabulary, k=200)) + (" never" if i % 2 else "")) for i in range(5000)]
+    own = {"confidence": F.lit(1.0), "staleness": F.lit(0.0), "entropy": F.lit(1.0), "ts": now(), "source_refs": F.array(F.lit("a")), "embedding": F.array(*(F.when(F.col("seq") % 8 == i, 1.0).otherwise(0.0) for i in range(8)))}
+    return spark.createDataFrame(rows, "topic string, vec_id long, seq long, text string").withColumns(own)
+
+
+def test_consolidation_report_of_a_large_topic_in_time(spark):
+    began, df = time.monotonic(), large_topic(spark)
+    assert maintain.consolidation_report(df, maintain.consolidate(df)).collect()[0].asDict() == {"topic": "t", "before": 5000, "after": 8, "removed": 4992, "merged": 4992, "absolute": 0}
+    assert time.monotonic() - began < 30
+
+
 def test_ivf_recall(spark):
     recall = [r.recall for r in QUERIES["ivf_recall"](spark, "/root/testdata/sf0.01").collect()]
     assert len(recall) == 25 and sum(recall) / len(recall) >= 0.9
