@@ -152,6 +152,12 @@ def test_consolidation_report_of_a_large_topic_in_time(spark):
     assert time.monotonic() - began < 30
 
 
+def test_consolidation_without_merge_of_a_large_topic_in_time(spark):
+    began, df = time.monotonic(), large_topic(spark)
+    assert maintain.consolidate(df, threshold=1.0).count() == 300
+    assert time.monotonic() - began < 30
+
+
 def test_ivf_recall(spark):
     recall = [r.recall for r in QUERIES["ivf_recall"](spark, "/root/testdata/sf0.01").collect()]
     assert len(recall) == 25 and sum(recall) / len(recall) >= 0.9
