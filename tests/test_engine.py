@@ -164,6 +164,12 @@ def test_contradiction_pairs_of_a_large_topic_in_time(spark):
     assert time.monotonic() - began < 30
 
 
+def test_resolving_contradictions_of_a_large_topic_in_time(spark):
+    began, df = time.monotonic(), large_topic(spark)
+    assert maintain.resolve_contradictions(df).where("confidence = 0.5").count() > 4900
+    assert time.monotonic() - began < 30
+
+
 def test_ivf_recall(spark):
     recall = [r.recall for r in QUERIES["ivf_recall"](spark, "/root/testdata/sf0.01").collect()]
     assert len(recall) == 25 and sum(recall) / len(recall) >= 0.9
