@@ -19,7 +19,7 @@ NUMBERS, NEGATION, DATED = 0, 1, 2
 #: Long words that two texts must share for a negation, and for dates, to count.
 SHARED, SHARED_DATED = 3, 2
 #: Pairs of chunks that are counted at a time, and rows of a result.
-CELLS, OUT = 1 << 22, 1 << 17
+CELLS, OUT = 1 << 20, 1 << 16
 #: A word of more than this share of a block's pairs is a column of a matrix; the pairs of others are listed.
 DENSE = 1 / 256
 
@@ -84,7 +84,7 @@ def _shared(left: pa.ChunkedArray, right: pa.ChunkedArray) -> Iterator[tuple[int
     lists = pc.split_pattern(pa.chunked_array([*left.chunks, *right.chunks], left.type), " ")
     n, m = len(left), len(right)
     codes = pc.list_flatten(lists).combine_chunks().dictionary_encode().indices.to_numpy()
-    row = np.repeat(np.arange(n + m), pc.list_value_length(lists).to_numpy())
+    row = np.repeat(np.arange(n + m, dtype=np.int32), pc.list_value_length(lists).to_numpy())
     border = int(np.searchsorted(row, n))
     vocabulary = int(codes.max(initial=-1)) + 1
     in_left, in_right = np.bincount(codes[:border], minlength=vocabulary), np.bincount(codes[border:], minlength=vocabulary)
@@ -121,7 +121,7 @@ def _shared(left: pa.ChunkedArray, right: pa.ChunkedArray) -> Iterator[tuple[int
             end = max(at + 1, int(np.searchsorted(ends, done + CELLS, side="right")))
             lengths = length[own[at:end]]
             offset = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            cell = np.repeat(rows[at:end] * n, lengths) + posting[np.repeat(start[own[at:end]], lengths) + offset]
+            cell = np.repeat(rows[at:end].astype(np.int64) * n, lengths) + posting[np.repeat(start[own[at:end]], lengths) + offset]
             counts += np.bincount(cell, minlength=height * n).reshape(height, n).astype(np.int32)
             at = end
         yield first, counts

@@ -21,7 +21,7 @@ from engram.operators.ordered import on_partitions
 
 DAY = 86400.0
 #: Chunks of a topic that one task holds against the topic's others; topics of up to so many chunks are joined.
-PART, SMALL = 4096, 64
+PART, SMALL = 10_240, 64
 
 
 def _held(chunks: DataFrame, rule, newer: Column | None, pairs: bool) -> DataFrame:
