@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +19,14 @@ NUMBERS, NEGATION, DATED = 0, 1, 2
 SHARED, SHARED_DATED = 3, 2
 #: Pairs of chunks that are counted at a time, and rows of a result.
 CELLS, OUT = 1 << 20, 1 << 16
+#: Rows of small blocks that are held together, and chunks of the other side with which a search begins.
+TOGETHER, FIRST = 1024, 64
 #: A word of more than this share of a block's pairs is a column of a matrix; the pairs of others are listed.
 DENSE = 1 / 256
 
 
-def links(chunks: DataFrame, size: int, negations: list[str], whole: bool, pairs: bool, newer: Column | None = None) -> DataFrame:
-    """Contradicting pairs (topic, older, newer); without ``pairs`` only (topic, older), perhaps repeated.
+def links(chunks: DataFrame, size: int, negations: list[str], whole: bool, newer: Column | None = None) -> DataFrame:
+    """Contradicting pairs (topic, older, newer).
 
     Chunks have topic, an integer seq, text and ``parts``.  A topic is dealt into so many parts, and a
     block holds one part against another.  With ``whole`` numbers and dates count too, as in
@@ -54,11 +55,48 @@ def links(chunks: DataFrame, size: int, negations: list[str], whole: bool, pairs
     rows = rows.select("topic", "at.kind", "at.i", "at.j", "at.right", "seq", "new", "neg", "low", "high", "dates", words.alias("words"))
     block = ["topic", "kind", "i", "j"]
     tasks = max(int(size), 4 * chunks.sparkSession.sparkContext.defaultParallelism)
-    schema = f"topic {chunks.schema['topic'].dataType.simpleString()}, older long" + (", newer long" if pairs else "")
-    out = rows.repartition(tasks, *block).sortWithinPartitions(*block, "right").mapInArrow(partial(_compare, pairs), schema)
+    schema = f"topic {chunks.schema['topic'].dataType.simpleString()}, older long, newer long"
+    out = rows.repartition(tasks, *block).sortWithinPartitions(*block, "right").mapInArrow(_compare, schema)
     return out.withColumns({c: F.col(c).cast(seq) for c in out.columns[1:]})
 
 
+def older(chunks: DataFrame, size: int, negations: list[str]) -> DataFrame:
+    """(topic, older): chunks that a newer one contradicts by ``text.contradicts_short``, perhaps repeated.
+
+    As in ``links`` a block holds a part of a topic's negated texts against a part of its others, but a
+    chunk that is found leaves the search, which begins with the newest chunks of the other side.
+    """
+    ship_package(chunks.sparkSession)
+    seq, topic = chunks.schema["seq"].dataType, chunks.schema["topic"].dataType.simpleString()
+    rows = chunks.where(F.col("topic").isNotNull() & F.col("seq").isNotNull() & F.col("text").isNotNull())
+    rows = rows.select("topic", F.col("seq").cast("long").alias("seq"), "parts", X.negated(F.col("text"), negations).alias("neg"), F.lower("text").alias("words"))
+    rows = rows.mapInArrow(_long_words, f"topic {topic}, seq long, parts int, neg boolean, words string")
+    own, others = F.pmod(F.xxhash64("seq"), F.col("parts")).cast("int"), F.sequence(F.lit(0), F.col("parts") - 1)
+    at = F.transform(others, lambda p: F.struct(F.when(F.col("neg"), own).otherwise(p).alias("i"), F.when(F.col("neg"), p).otherwise(own).alias("j")))
+    block = ["topic", "kind", "i", "j"]
+    rows = rows.withColumn("at", F.explode(at)).select("topic", F.lit(NEGATION).alias("kind"), "at.i", "at.j", "seq", "neg", "words")
+    tasks = max(int(size), 4 * chunks.sparkSession.sparkContext.defaultParallelism)
+    out = rows.repartition(tasks, *block).sortWithinPartitions(*block).mapInArrow(_contradicted, f"topic {topic}, older long")
+    return out.withColumn("older", F.col("older").cast(seq))
+
+
+def _long_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lower-case texts as their distinct long words, joined; without those of too few to contradict any."""
+    for batch in batches:
+        lists = pc.ascii_split_whitespace(batch.column("words"))
+        tokens, row = lists.flatten(), np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        coded = tokens.dictionary_encode()
+        codes, vocabulary = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+        long = pc.greater(pc.utf8_length(vocabulary), 3).to_numpy(zero_copy_only=False)[codes]
+        width = max(1, len(vocabulary))
+        found = np.sort(row[long] * width + codes[long])  # numpy's unique is many times slower
+        row, codes = np.divmod(found[np.diff(found, prepend=-1) > 0], width)
+        n = np.bincount(row, minlength=len(lists))
+        ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+        words = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), vocabulary.take(pa.array(codes))), " ")
+        yield batch.set_column(batch.schema.get_field_index("words"), "words", words).filter(pa.array(n >= SHARED))
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
     """The kind and the rows of each block, which follow each other."""
     last, held = None, []
@@ -79,12 +117,20 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]
         yield last[1], pa.Table.from_batches(held)
 
 
+def _coded(words: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all rows as numbers, and their rows."""
+    lists = pc.split_pattern(words, " ")
+    codes = pc.list_flatten(lists).combine_chunks().dictionary_encode().indices.to_numpy()
+    return codes, np.repeat(np.arange(len(words), dtype=np.int32), pc.list_value_length(lists).to_numpy())
+
+
 def _shared(left: pa.ChunkedArray, right: pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray]]:
     """(first right row, counts of shared words of right rows and all left ones), some right rows at a time."""
-    lists = pc.split_pattern(pa.chunked_array([*left.chunks, *right.chunks], left.type), " ")
-    n, m = len(left), len(right)
-    codes = pc.list_flatten(lists).combine_chunks().dictionary_encode().indices.to_numpy()
-    row = np.repeat(np.arange(n + m, dtype=np.int32), pc.list_value_length(lists).to_numpy())
+    return _counts(*_coded(pa.chunked_array([*left.chunks, *right.chunks], left.type)), len(left), len(right))
+
+
+def _counts(codes: np.ndarray, row: np.ndarray, n: int, m: int) -> Iterator[tuple[int, np.ndarray]]:
+    """``_shared`` of n left and m right rows, whose words follow each other."""
     border = int(np.searchsorted(row, n))
     vocabulary = int(codes.max(initial=-1)) + 1
     in_left, in_right = np.bincount(codes[:border], minlength=vocabulary), np.bincount(codes[border:], minlength=vocabulary)
@@ -170,7 +216,7 @@ def _pairs(kind: int, left: _Side, right: _Side) -> Iterator[tuple[np.ndarray, n
         yield a[fits], b[fits]
 
 
-def _compare(pairs: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for kind, rows in _blocks(batches):
         left, right = (_Side(rows.filter(m)) for m in (pc.invert(rows.column("right")), rows.column("right")))
         if not len(left.seq) or not len(right.seq):
@@ -179,7 +225,64 @@ def _compare(pairs: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         for a, b in _pairs(kind, left, right):
             x, y = left.seq[a], right.seq[b]
             new = np.where(x < y, right.new[b], left.new[a])
-            found = [np.minimum(x, y)[new], np.maximum(x, y)[new]] if pairs else [np.unique(np.minimum(x, y)[new])]
+            found = [np.minimum(x, y)[new], np.maximum(x, y)[new]]
             for at in range(0, len(found[0]), OUT):
                 some = [pa.array(v[at : at + OUT], pa.int64()) for v in found]
-                yield pa.RecordBatch.from_arrays([pa.repeat(topic, len(some[0])), *some], names=["topic", "older", "newer"][: 1 + len(some)])
+                yield pa.RecordBatch.from_arrays([pa.repeat(topic, len(some[0])), *some], names=["topic", "older", "newer"])
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.Table]]:
+    """Rows of one large block or of several small ones, with the numbers of their blocks."""
+    held: list[pa.Table] = []
+    n = 0
+    for _, rows in _blocks(batches):
+        if held and n + rows.num_rows > TOGETHER:
+            yield np.repeat(np.arange(len(held)), [t.num_rows for t in held]), pa.concat_tables(held)
+            held, n = [], 0
+        held.append(rows)
+        n += rows.num_rows
+    if held:
+        yield np.repeat(np.arange(len(held)), [t.num_rows for t in held]), pa.concat_tables(held)
+
+
+def _some(codes: np.ndarray, start: np.ndarray, length: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of some rows, in their order, and the places of their rows in it."""
+    n = length[rows]
+    at = np.arange(n.sum()) + np.repeat(start[rows] - (np.cumsum(n) - n), n)
+    return codes[at], np.repeat(np.arange(len(rows), dtype=np.int32), n)
+
+
+def _contradicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(topic, older) of each block's chunks that a newer one of the other side contradicts."""
+    for block, rows in _gathered(batches):
+        neg, seq = (rows.column(c).to_numpy() for c in ("neg", "seq"))
+        if neg.all() or not neg.any():
+            continue
+        codes, row = _coded(rows.column("words"))
+        if block[-1]:  # a word of another block is another word
+            codes = np.unique(block[row] * (int(codes.max()) + 1) + codes, return_inverse=True)[1]
+        length = np.bincount(row, minlength=len(seq))
+        start = np.cumsum(length) - length
+        newest = np.argsort(seq)[::-1]
+        number, hit = np.full(int(codes.max()) + 1, -1), np.zeros(len(seq), bool)
+        for side in (True, False):
+            left, right = np.flatnonzero(neg == side), newest[neg[newest] != side]
+            at, step = 0, FIRST
+            while at < len(right):
+                left = left[~hit[left] & (seq[left] < seq[right[at]])]
+                if not len(left):
+                    break
+                some = right[at : at + step]
+                (a, i), (b, j) = (_some(codes, start, length, which) for which in (left, some))
+                vocabulary, b = np.unique(b, return_inverse=True)
+                number[vocabulary] = np.arange(len(vocabulary))
+                a = number[a]
+                number[vocabulary] = -1
+                a, i = a[a >= 0], i[a >= 0]
+                for first, counts in _counts(np.concatenate([a, b]), np.concatenate([i, j + len(left)]), len(left), len(some)):
+                    later = seq[some[first : first + len(counts)], None] > seq[left][None, :]
+                    hit[left[((counts >= SHARED) & later).any(axis=0)]] = True
+                at, step = at + step, 4 * step
+        found = rows.filter(pa.array(hit))
+        for batch in found.select(["topic", "seq"]).rename_columns(["topic", "older"]).to_batches():
+            yield batch

@@ -24,23 +24,31 @@ DAY = 86400.0
 PART, SMALL = 10_240, 64
 
 
-def _held(chunks: DataFrame, rule, newer: Column | None, pairs: bool) -> DataFrame:
-    """(topic, older, newer) of contradicting chunks; without ``pairs`` (topic, older), perhaps repeated.
+def _large(rows: DataFrame) -> DataFrame:
+    """(topic, parts) of large topics, of which there is one to SMALL rows at most."""
+    n = F.count(F.lit(1))
+    return F.broadcast(rows.groupBy("topic").agg(F.ceil(n / PART).cast("int").alias("parts"), n.alias("_n")).where(F.col("_n") > SMALL).drop("_n"))
+
+
+def _tasks(rows: DataFrame) -> int:
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    A small topic's chunks are gathered and held against each other.  Large topics, of which there is
-    one to SMALL chunks at most, go through ``contradictions.links``, as do only the two fixed rules.
+
+def contradiction_pairs(chunks: DataFrame, rule=X.contradicts, newer: Column | None = None) -> DataFrame:
+    """(topic, older, newer): contradicting pairs of one topic, in the order of ``seq``.
+
+    With a condition ``newer`` only pairs whose later chunk meets it.  The result may have every
+    pair, as texts with different numbers contradict.  A small topic's chunks are gathered and held
+    against each other.  Large topics go through ``contradictions.links``, as do only the two fixed rules.
     """
-    columns = ["topic", "older", "newer"][: 2 + pairs]
     rows = chunks.select("topic", "seq", "text", (F.lit(True) if newer is None else newer).alias("new"))
     featured = ["topic", "seq", "new", X.contradiction_features(F.col("text")).alias("f")]
     if rule not in (X.contradicts, X.contradicts_short) or not isinstance(chunks.schema["seq"].dataType, IntegralType):
         a, b = rows.select(*featured).alias("a"), rows.where("new").select(*featured).alias("b")
         on = (F.col("a.topic") == F.col("b.topic")) & (F.col("a.seq") < F.col("b.seq"))
-        return a.join(b, on).where(rule(F.col("a.f"), F.col("b.f"))).select(F.col("a.topic").alias("topic"), F.col("a.seq").alias("older"), F.col("b.seq").alias("newer")).select(*columns)
-    n = F.count(F.lit(1))
-    large = F.broadcast(rows.groupBy("topic").agg(F.ceil(n / PART).cast("int").alias("parts"), n.alias("_n")).where(F.col("_n") > SMALL).drop("_n"))
-    whole, tasks = rule is X.contradicts, int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    linked = contradictions.links(rows.join(large, "topic"), tasks, X.NEGATIONS if whole else X.NEGATIONS_SHORT, whole, pairs, F.col("new"))
+        return a.join(b, on).where(rule(F.col("a.f"), F.col("b.f"))).select(F.col("a.topic").alias("topic"), F.col("a.seq").alias("older"), F.col("b.seq").alias("newer"))
+    large, whole = _large(rows), rule is X.contradicts
+    linked = contradictions.links(rows.join(large, "topic"), _tasks(rows), X.NEGATIONS if whole else X.NEGATIONS_SHORT, whole, F.col("new"))
 
     def contradicted(a: Column) -> Column:
         later = F.filter("all", lambda b: (b["seq"] > a["seq"]) & b["new"] & rule(a["f"], b["f"]))
@@ -48,16 +56,7 @@ def _held(chunks: DataFrame, rule, newer: Column | None, pairs: bool) -> DataFra
 
     gathered = rows.where(F.col("topic").isNotNull()).join(large, "topic", "left_anti").select(*featured).groupBy("topic").agg(F.collect_list(F.struct("seq", "new", "f")).alias("all"))
     found = gathered.select("topic", F.explode(F.flatten(F.transform("all", contradicted))).alias("p"))
-    return found.select("topic", "p.older", "p.newer").select(*columns).unionByName(linked)
-
-
-def contradiction_pairs(chunks: DataFrame, rule=X.contradicts, newer: Column | None = None) -> DataFrame:
-    """(topic, older, newer): contradicting pairs of one topic, in the order of ``seq``.
-
-    With a condition ``newer`` only pairs whose later chunk meets it.  The result may have every
-    pair, as texts with different numbers contradict.
-    """
-    return _held(chunks, rule, newer, True)
+    return found.select("topic", "p.older", "p.newer").unionByName(linked)
 
 
 def contradiction_decay(chunks: DataFrame, newer: Column | None = None) -> DataFrame:
@@ -72,7 +71,13 @@ def contradiction_decay(chunks: DataFrame, newer: Column | None = None) -> DataF
 
 def resolve_contradictions(chunks: DataFrame, factor: float = 0.5) -> DataFrame:
     """Chunks that a newer one contradicts lose confidence once, and gain 0.3 staleness."""
-    hit = _held(chunks, X.contradicts_short, None, False).select("topic", F.col("older").alias("seq")).distinct().withColumn("hit", F.lit(True))
+    rows = chunks.select("topic", "seq", "text")
+    if isinstance(chunks.schema["seq"].dataType, IntegralType):
+        dealt = rows.join(_large(rows), "topic", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        found = contradictions.older(dealt, _tasks(rows), X.NEGATIONS_SHORT)
+    else:
+        found = contradiction_pairs(chunks, X.contradicts_short)
+    hit = found.select("topic", F.col("older").alias("seq")).distinct().withColumn("hit", F.lit(True))
     out = chunks.join(hit, ["topic", "seq"], "left")
     return out.withColumns({"confidence": F.when(F.col("hit"), F.col("confidence") * factor).otherwise(F.col("confidence")), "staleness": F.when(F.col("hit"), F.least(F.lit(1.0), F.col("staleness") + 0.3)).otherwise(F.col("staleness"))}).drop("hit")
 

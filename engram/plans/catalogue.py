@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from engram.functions import text as X
 from engram.functions import vectors as V
 from engram.operators import filters, maintain, metrics, search
-from engram.session import scratch_folder, spread
+from engram.session import few, scratch_folder, spread
 from engram.sources import store
 from engram.streaming import events as E
 
@@ -160,9 +160,13 @@ def recall_topic(spark, sf):
     return search.exact(vectors(spark, sf).where(F.col("topic") == "t3"), vector_of(spark, sf), 10).select("vec_id", r6("score").alias("score"))
 
 
-def memories(spark: SparkSession, sf: str) -> DataFrame:
-    """Vectors with the texts of the documents of the same numbers."""
-    return vectors(spark, sf).join(read(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text", "source", "lang"), "vec_id")
+def memories(spark: SparkSession, sf: str, embedding: bool = True) -> DataFrame:
+    """Vectors with the texts of the documents of the same numbers; on request without the vectors themselves.
+
+    Documents far outweigh what is left of the vectors then, and are not shuffled if those are few.
+    """
+    v = vectors(spark, sf) if embedding else few(vectors(spark, sf).drop("embedding"))
+    return v.join(read(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text", "source", "lang"), "vec_id")
 
 
 def _verified(spark, sf, k=10):

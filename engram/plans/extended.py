@@ -275,9 +275,9 @@ def ivf_recall(spark, sf):
 # --- maintenance --------------------------------------------------------------------------
 
 
-def _chunks(spark, sf):
-    rows = memories(spark, sf).withColumns({"entropy": X.entropy(F.col("text")), "source_refs": F.array("source")})
-    return rows.select("topic", "vec_id", "seq", "text", "confidence", "staleness", "entropy", "ts", "source_refs", "embedding")
+def _chunks(spark, sf, embedding=True):
+    rows = memories(spark, sf, embedding).withColumns({"entropy": X.entropy(F.col("text")), "source_refs": F.array("source")})
+    return rows.select("topic", "vec_id", "seq", "text", "confidence", "staleness", "entropy", "ts", "source_refs", *["embedding"][:embedding])
 
 
 RESOLVED = f"""WITH {VEC}, {MEM}, f AS (SELECT vec_id, topic, {FEATURES} FROM (SELECT *, lower(text) AS t FROM m)),
@@ -297,7 +297,7 @@ def resolve_contradictions(spark, sf):
     k AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY confidence DESC, vec_id) AS k FROM u WHERE r = 1) SELECT vec_id, topic, round(confidence, 6)::DOUBLE AS confidence, md5(t) AS digest, t <> old AS rewritten FROM k WHERE k <= 300"""
 )
 def consolidate_without_merge(spark, sf):
-    done = maintain.consolidate(_chunks(spark, sf), threshold=1.0)
+    done = maintain.consolidate(_chunks(spark, sf, False), threshold=1.0)
     return done.select("vec_id", "topic", r6("confidence").alias("confidence"), F.md5("text").alias("digest"), "rewritten")
 
 

@@ -8,8 +8,11 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _ROOT = Path(__file__).resolve().parent
+#: A narrow table of so many rows is broadcast.
+FEW = 1 << 19
 
 
 def session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "engram", **conf: str) -> SparkSession:
@@ -52,6 +55,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
+def few(df: DataFrame) -> DataFrame:
+    """df, a narrow table as it is read, to be broadcast if its rows are counted to be few."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share, for what a query writes.
 

@@ -138,6 +138,46 @@ def test_counts_of_shared_words(monkeypatch):
         assert np.concatenate([c for _, c in found]).tolist() == [[len(a & b) for a in left] for b in right]
 
 
+def test_search_for_newer_contradictions_against_plain(monkeypatch):
+    rng = random.Random(9)
+    names = [a + b for a in ("brig", "ÀÉ", "🙂x") for b in ("era", "ib", "🙂🙂")]
+
+    def text():
+        words = rng.choices(names, weights=range(1, 10), k=rng.randrange(9)) + ["never"] * rng.randrange(2) + ["x"] * rng.randrange(2)
+        return rng.choice([" ", " \n", "\x0b\t"]).join(words) + rng.choice(["", " "])
+
+    topics = ["a"] * 90 + ["b"] * 4 + ["c"] * 2 + ["d"] * 60 + ["e"]
+    rows = [(t, i - 60 if i else -(1 << 63), text()) for i, t in zip(rng.sample(range(len(topics)), len(topics)), topics, strict=True)]
+    lowered = [x.lower() for _, _, x in rows]
+    given = {"topic": [t for t, *_ in rows], "kind": [contradictions.NEGATION] * len(rows), "i": [0] * len(rows), "j": [0] * len(rows), "seq": [s for _, s, _ in rows], "neg": ["never" in x for x in lowered], "words": lowered}
+    expected = sorted({p[:2] for p in plain_contradictions(rows, ["never"], False)})
+    assert 20 < len(expected) < len(rows) - 20
+    for together, first, size in ((1, 1, 7), (8, 3, 50), (100, 2, 1000), (1024, 64, 1000)):
+        monkeypatch.setattr(contradictions, "TOGETHER", together)
+        monkeypatch.setattr(contradictions, "FIRST", first)
+        shorter = contradictions._long_words(iter(pa.table(given).to_batches(max_chunksize=size)))
+        found = [b.to_pydict() for b in contradictions._contradicted(shorter)]
+        assert sorted((t, s) for b in found for t, s in zip(b["topic"], b["older"], strict=True)) == expected
+
+
+def test_search_for_newer_contradictions_ends_early(monkeypatch):
+    n, seen, whole = 4000, [], contradictions._counts
+    words = ["brigera telmira masstara " + " ".join(f"word{(i * 7 + k) % 900}" for k in range(40)) for i in range(n)]
+    rows = pa.table({"topic": ["t"] * n, "kind": [1] * n, "i": [0] * n, "j": [0] * n, "seq": range(n), "neg": [i % 2 == 0 for i in range(n)], "words": words})
+    monkeypatch.setattr(contradictions, "_counts", lambda codes, row, left, right: seen.append(left * right) or whole(codes, row, left, right))
+    found = [s for b in contradictions._contradicted(iter(rows.to_batches())) for s in b["older"].to_pylist()]
+    assert sorted(found) == list(range(n - 1)) and sum(seen) < n * n / 4 / 8
+
+
+def scans_of_texts(df):
+    return len(re.findall(r"FileScan parquet \[[^\]]*\btext#", df._jdf.queryExecution().executedPlan().toString()))
+
+
+def test_consolidation_without_merge_reads_texts_twice(spark):
+    """Once to find what is contradicted, once for what is left."""
+    assert scans_of_texts(QUERIES["consolidate_without_merge"](spark, SF)) == 2
+
+
 def large_topic(spark):
     rng = random.Random(5)
     vocabulary = ["".join(rng.choices("aeilrsu", k=6)) for _ in range(3000)]
