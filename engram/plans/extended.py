@@ -287,7 +287,7 @@ RESOLVED = f"""WITH {VEC}, {MEM}, f AS (SELECT vec_id, topic, {FEATURES} FROM (S
 
 @query(RESOLVED + " SELECT vec_id, round(confidence, 6)::DOUBLE AS confidence, round(staleness, 6)::DOUBLE AS staleness FROM rs")
 def resolve_contradictions(spark, sf):
-    return maintain.resolve_contradictions(_chunks(spark, sf)).select("vec_id", r6("confidence").alias("confidence"), r6("staleness").alias("staleness"))
+    return maintain.resolve_contradictions(_chunks(spark, sf, False)).select("vec_id", r6("confidence").alias("confidence"), r6("staleness").alias("staleness"))
 
 
 @query(

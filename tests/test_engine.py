@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from engram import plugins
+from engram import plugins, session
 from engram.functions import text as X
 from engram.functions import vectors as V
 from engram.operators import contradictions, ingest, maintain, metrics, pipeline, search
@@ -173,6 +173,23 @@ def scans_of_texts(df):
     return len(re.findall(r"FileScan parquet \[[^\]]*\btext#", df._jdf.queryExecution().executedPlan().toString()))
 
 
+def test_resolving_reads_texts_once(spark, monkeypatch):
+    done = QUERIES["resolve_contradictions"](spark, SF)
+    assert scans_of_texts(done) == 1
+    monkeypatch.setattr(session, "FEW", 0)
+    shuffled = QUERIES["resolve_contradictions"](spark, SF)
+    assert sorted(map(tuple, shuffled.collect())) == sorted(map(tuple, done.collect()))
+
+
+def test_resolving_without_topic_seq_or_text(spark):
+    rows = [("t", 1, "brigera telmira masstara"), ("t", 2, "brigera telmira masstara never"), (None, 1, "brigera telmira masstara"), ("t", None, "brigera telmira masstara"), ("t", 3, None)]
+    own = {"confidence": F.lit(1.0), "staleness": F.lit(0.0)}
+    for kind in ("int", "string"):
+        df = spark.createDataFrame(rows, "topic string, seq int, text string").withColumn("seq", F.col("seq").cast(kind)).withColumns(own)
+        done = sorted((r.topic or "", str(r.seq), r.confidence) for r in maintain.resolve_contradictions(df).collect())
+        assert done == [("", "1", 1.0), ("t", "1", 0.5), ("t", "2", 1.0), ("t", "3", 1.0), ("t", "None", 1.0)]
+
+
 def test_consolidation_without_merge_reads_texts_twice(spark):
     """Once to find what is contradicted, once for what is left."""
     assert scans_of_texts(QUERIES["consolidate_without_merge"](spark, SF)) == 2
